@@ -1,17 +1,16 @@
-"""User rules: one pass over the files for every page of rules, no join at all."""
+"""User rules: they become part of the pass over the files, page by page, with no join."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-
-from ..functions.text import with_lines
+from ..functions.text import bind, with_lines
 from ..packs.catalog import Check
 from ..packs.probes import Pattern
 from ..sources.rules import active_rules, engine_problems, pattern_problem
+from ..schemas import FINDING
 from .probe import (
-    Probe, all_hits, catalog_array, each_match, flatten_hits, hit, pattern_gate,
+    FINDING_COLUMNS, Probe, all_hits, catalog_array, each_match, flatten_findings, hit, pattern_gate,
 )
 
 # Texts of rule findings.
@@ -27,7 +26,6 @@ TODO_HINT = (
     "\n处理建议:\n1. 完成待办任务\n2. 如果暂时不需要，删除该标记\n3. 添加任务跟踪系统的链接"
 )
 DEFAULT_SUGGESTION = "请根据项目规范修复此问题"
-NO_RULE = Check("", "professional", "info", "", "", "", "")
 
 
 def _check(rule: Row, problem: str | None) -> Check:
@@ -54,20 +52,6 @@ def _probe(ordinal: int, rule: Row, problem: str | None) -> Probe:
                  lambda: each_match(ordinal, pattern, (0,), what="m.g0"), suffixes)
 
 
-def _with_hints(findings: DataFrame) -> DataFrame:
-    """Hints that depend on the matched text, for rules of the CUSTOM family."""
-    custom = F.col("check_id").startswith("CUSTOM") & (F.col("rule_id") != "")
-    match = F.col("metadata")["match"]
-    hint = (
-        F.when(custom & F.lower(match).contains("print"), F.lit(PRINT_HINT))
-        .when(custom & (match.contains("TODO") | match.contains("FIXME")), F.lit(TODO_HINT))
-    )
-    text = F.concat_ws("\n", F.nullif("suggestion", F.lit("")), hint)
-    return findings.withColumn(
-        "suggestion", F.when(text == "", F.lit(DEFAULT_SUGGESTION)).otherwise(text)
-    )
-
-
 def rule_pages(spark: SparkSession, rules: DataFrame) -> list[tuple[list[Probe], list[Check]]]:
     """Probes and catalog entries for every page of active rules."""
     pages = []
@@ -84,35 +68,53 @@ def rule_pages(spark: SparkSession, rules: DataFrame) -> list[tuple[list[Probe],
     return pages
 
 
-def _page_findings(files: DataFrame, probes: list[Probe], checks: list[Check]) -> DataFrame:
+def _rule_finding(h: Column, entry: Column) -> Column:
     """Rule texts may contain anything, so only the line number is filled in; the match
-    goes to the metadata instead of the texts."""
-    entries = catalog_array(checks)
-    found = with_lines(files).select("file_id", "path", all_hits(probes).alias("hits"))
-    matched = found.select(
-        "file_id", "path",
-        F.expr(
-            "transform(hits, h -> named_struct('check', h.check, 'line_number', h.line_number, "
-            "'snippet', h.snippet, 'what', '{what}', 'count', h.count, 'severity', h.severity, "
-            "'tags', array(h.what)))"
-        ).alias("hits"),
+    goes to the metadata and decides which hint follows the suggestion."""
+    real = entry["rule_id"] != ""
+    custom = real & entry["check_id"].startswith("CUSTOM")
+    match = h["what"]
+    hint = F.when(custom & F.lower(match).contains("print"), F.lit(PRINT_HINT)).when(
+        custom & (match.contains("TODO") | match.contains("FIXME")), F.lit(TODO_HINT)
+    )
+    text = F.concat_ws("\n", F.nullif(entry["suggestion"], F.lit("")), hint)
+    values = {
+        "check_id": entry["check_id"], "check_name": entry["name"], "category": entry["category"],
+        "severity": entry["severity"],
+        "message": F.replace(entry["message"], F.lit("{line}"), h["line_number"].cast("string")),
+        "line_number": h["line_number"], "snippet": h["snippet"],
+        "suggestion": F.when(text == "", F.lit(DEFAULT_SUGGESTION)).otherwise(text),
+        "rule_id": entry["rule_id"],
+        "metadata": F.when(
+            real, F.create_map(F.lit("rule"), entry["rule_id"], F.lit("match"), match)
+        ).otherwise(F.expr("CAST(map() AS MAP<STRING, STRING>)")),
+        "tags": F.expr("CAST(array() AS ARRAY<STRING>)"),
+    }
+    return F.struct(*[values[name].alias(name) for name in FINDING_COLUMNS]).cast(FINDING)
+
+
+def rule_findings(spark: SparkSession, rules: DataFrame | None) -> Column:
+    """array<finding> of all active rules over the columns of one file row; rules with a
+    bad pattern say so once per file."""
+    nothing = F.expr(f"CAST(array() AS ARRAY<{FINDING}>)")
+    if rules is None:
+        return nothing
+    parts = [nothing]
+    for probes, checks in rule_pages(spark, rules):
+        parts.append(_page(probes, checks))
+    return F.concat(*parts) if len(parts) > 1 else nothing
+
+
+def _page(probes: list[Probe], checks: list[Check]) -> Column:
+    return bind(
+        catalog_array(checks),
+        lambda entries: F.transform(
+            all_hits(probes), lambda h: _rule_finding(h, F.get(entries, h["check"]))
+        ),
     )
-    rows = flatten_hits(matched, entries)
-    match = F.get(F.col("tags"), F.lit(0))
-    real = F.col("rule_id") != ""
-    return rows.select(
-        *[c for c in rows.columns if c not in ("metadata", "tags", "severity_rank")],
-        F.when(real, F.create_map(F.lit("rule"), F.col("rule_id"), F.lit("match"), match))
-        .otherwise(F.col("metadata")).alias("metadata"),
-        F.expr("CAST(array() AS ARRAY<STRING>)").alias("tags"),
-        "severity_rank",
-    ).select(*rows.columns)
 
 
 def apply_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings of all active rules; rules with a bad pattern say so once per file."""
-    pages = rule_pages(files.sparkSession, rules)
-    if not pages:
-        return _page_findings(files.where(F.lit(False)), [], [NO_RULE])
-    parts = [_with_hints(_page_findings(files, probes, checks)) for probes, checks in pages]
-    return reduce(DataFrame.unionByName, parts)
+    """Findings of all active rules, one row each."""
+    found = rule_findings(files.sparkSession, rules)
+    return flatten_findings(with_lines(files).select("file_id", "path", found.alias("findings")))

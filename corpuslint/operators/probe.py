@@ -192,6 +192,20 @@ def flatten_hits(found: DataFrame, entries: Column | None = None) -> DataFrame:
     )
 
 
+def flatten_findings(found: DataFrame) -> DataFrame:
+    """One row per finding from rows with a ``findings`` array; see ``flatten_hits``."""
+    return (
+        found.select("file_id", "path", F.explode_outer("findings").alias("f"))
+        .where(F.col("f").isNotNull())
+        .select("file_id", "path", "f.*")
+        .withColumn("severity_rank", severity_rank(F.col("severity")))
+    )
+
+
+def check_name(h: Column, entry: Column) -> Column:
+    return _fill(entry["name"], h)
+
+
 def all_hits(probes: Iterable[Probe]) -> Column:
     """Hits of several probes over the columns of one file row."""
     parts = [F.when(p.applies(), p.rows()).otherwise(no_hits()) for p in probes]

@@ -190,8 +190,8 @@ def deep_nesting(allowed: int = pack.MAX_NESTING) -> Probe:
         )
 
     blanks = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
-    gate = F.lit(f"(?md)^[{blanks}]{{{width}}}")
-    return Probe("QUAL007", "quality", lambda: F.regexp_like(content(), gate), rows)
+    margin = f"(?md)^[{blanks}]{{{width}}}"
+    return Probe("QUAL007", "quality", lambda: F.regexp_like(content(), F.lit(margin)), rows)
 
 
 def magic_numbers() -> Probe:

@@ -6,6 +6,8 @@ Every aggregate has a partial step before its shuffle and a key from a small fix
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring
@@ -54,37 +56,66 @@ def file_metrics(files: DataFrame) -> DataFrame:
     )
 
 
-def _totals(files: DataFrame, findings: DataFrame, skills: DataFrame) -> DataFrame:
-    """One row with every counter the summary and the recommendations need. The three
-    inputs are reduced to one row each and those rows are added up, so nothing is joined."""
+def _counters() -> dict[str, Column]:
+    """Aggregates over rows with ``severity``, ``category`` and ``check_name``."""
     severity, category = F.col("severity"), F.col("category")
-    counters = {
-        "total_files": F.count("*"),
-        "total_lines": F.sum(line_count(F.col("content"))),
-    }
-    counted = {
-        "total_checks": F.count("*"),
+    return {
+        "total_checks": F.count("severity"),
         **{f"n_{s}": F.count_if(severity == s) for s in SEVERITIES},
         **{f"n_{c}": F.count_if(category == c) for c in CATEGORIES},
         "n_undocumented": F.count_if(F.col("check_name").contains("文档")),
         "penalty": F.sum(scoring.penalty(severity)),
     }
-    names = [*counters, *counted, "n_skills"]
 
-    def row(table: DataFrame, values: dict[str, Column]) -> DataFrame:
-        return table.agg(*[
-            F.coalesce(values.get(name, F.lit(0)), F.lit(0)).cast("bigint").alias(name)
-            for name in names
-        ])
 
-    parts = row(files, counters).unionByName(row(findings, counted)).unionByName(
-        row(skills, {"n_skills": F.count("*")})
-    )
-    return parts.agg(*[F.sum(name).alias(name) for name in names])
+COUNTERS = ("total_files", "total_lines", "n_skills", *(
+    "total_checks", *(f"n_{s}" for s in SEVERITIES), *(f"n_{c}" for c in CATEGORIES),
+    "n_undocumented", "penalty",
+))
+
+
+def _one_row(table: DataFrame, values: dict[str, Column]) -> DataFrame:
+    return table.agg(*[
+        F.coalesce(values.get(name, F.lit(0)), F.lit(0)).cast("bigint").alias(name)
+        for name in COUNTERS
+    ])
+
+
+def add_up(*rows: DataFrame) -> DataFrame:
+    """Sum of one-row counter tables; nothing is joined."""
+    parts = reduce(DataFrame.unionByName, rows)
+    return parts.agg(*[F.sum(name).alias(name) for name in COUNTERS])
+
+
+def finding_totals(findings: DataFrame) -> DataFrame:
+    return _one_row(findings, _counters())
+
+
+def skill_totals(skills: DataFrame) -> DataFrame:
+    return _one_row(skills, {"n_skills": F.count("*")})
 
 
 def totals(files: DataFrame, findings: DataFrame, skills: DataFrame) -> DataFrame:
-    return _totals(files, findings, skills)
+    """One row with every counter the summary and the recommendations need, from three
+    separate tables. Each is reduced to one row and the rows are added up."""
+    read = _one_row(files, {
+        "total_files": F.count("*"), "total_lines": F.sum(line_count(F.col("content"))),
+    })
+    return add_up(read, finding_totals(findings), skill_totals(skills))
+
+
+def totals_of_files(rows: DataFrame) -> DataFrame:
+    """The same counters in one pass over per-file rows ``line_count, n_skills, found``,
+    where ``found`` is an array of severity, category and check name. A file without
+    findings still gives one row, and the first row of a file carries its own counts."""
+    exploded = rows.select("line_count", "n_skills", F.posexplode_outer("found").alias("pos", "f"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    return _one_row(exploded.select("line_count", "n_skills", "pos", "f.*"), {
+        **_counters(),
+        "total_files": F.count_if(first),
+        "total_lines": F.sum(F.when(first, F.col("line_count"))),
+        "n_skills": F.sum(F.when(first, F.col("n_skills"))),
+    })
 
 
 def _histogram(prefix: str, names: tuple[str, ...]) -> Column:

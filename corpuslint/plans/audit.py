@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import line_count, with_lines
 from ..operators import (
     best_practices, documentation, java, performance, quality, rollups, security, skills,
 )
-from ..operators.custom_rules import apply_rules
-from ..operators.probe import Probe, all_hits, catalog_array, flatten_hits, no_hits, to_finding
+from ..operators.custom_rules import rule_findings
+from ..operators.probe import (
+    Probe, all_hits, catalog_array, check_name, flatten_findings, flatten_hits, to_finding,
+)
 from ..packs.probes import MAX_FUNCTION_LINES, MAX_LINE_LENGTH, SUFFIXES
 from ..schemas import FINDING, SEVERITIES
 from ..sources.files import scan, scan_paths, spread
@@ -92,6 +95,10 @@ def chosen_analyzers(enabled: str | list[str] = "all") -> list[str]:
     return list(ANALYZERS) if "all" in names else [name for name in ANALYZERS if name in names]
 
 
+# Column expressions do not depend on the data, so equal audits share them.
+_BUILT: dict[tuple, tuple[Column, Column]] = {}
+
+
 class Audit:
     """One audit over a file table.
 
@@ -118,6 +125,7 @@ class Audit:
         self.limits = {"QUAL001": max_line_length, "QUAL002": max_function_lines}
         self.project = project
         self._stored: DataFrame | None = None
+        self._rule_findings: Column | None = None
 
     def probes(self) -> list[Probe]:
         made = {
@@ -140,21 +148,33 @@ class Audit:
         return F.concat(*parts) if parts else F.expr(skills.no_skills())
 
     def file_results(self) -> DataFrame:
-        """``file_id, path, line_count, hits, skills``, one row per file, no shuffle."""
+        """``file_id, path, line_count, hits, rule_findings, skills``: one row per file in
+        one narrow pass, no shuffle."""
         if self._stored is not None:
             return self._stored
         rows = with_lines(self.files)
-        with_traits = "skills" in self.analyzers
-        if with_traits:
+        if "skills" in self.analyzers:
             rows = rows.select("*", *skills.trait_columns(only_readable=True))
-        hits = all_hits(self.probes())
-        if with_traits:
-            hits = F.concat(hits, skills.trait_hits())
+        hits, found_skills = self._columns()
+        if self._rule_findings is None:
+            self._rule_findings = rule_findings(self.files.sparkSession, self.rules)
         return rows.select(
             "file_id", "path", line_count(F.col("content")).alias("line_count"),
-            hits.alias("hits"), self._skills().alias("skills"),
+            hits.alias("hits"), self._rule_findings.alias("rule_findings"),
+            found_skills.alias("skills"),
         )
 
+    def _columns(self) -> tuple[Column, Column]:
+        """Hits and skills of one file row."""
+        engine = id(getattr(SparkContext, "_gateway", None))
+        key = (engine, *self.analyzers, *self.limits.values(), *map(id, EXTRA_PROBES.values()))
+        if key not in _BUILT:
+            hits = all_hits(self.probes())
+            if "skills" in self.analyzers:
+                hits = F.concat(hits, skills.trait_hits())
+            _BUILT[key] = (hits, self._skills())
+        return _BUILT[key]
+
     def save(self, path: str) -> "Audit":
         """Write the per-file results once; later rollups read them instead of the files.
         The table also cuts the lineage, so a lost executor costs a re-read, not a re-audit."""
@@ -162,24 +182,36 @@ class Audit:
         self._stored = self.files.sparkSession.read.parquet(path)
         return self
 
+    def _entries(self) -> Column:
+        return catalog_array(limits=self.limits)
+
+    def _kept(self, found: DataFrame) -> DataFrame:
+        return rollups.at_least(found, self.min_severity) if self.min_severity else found
+
+    def _extension_findings(self, columns: list[str]) -> list[DataFrame]:
+        return [make(self.files).select(*columns) for make in EXTRA_FINDINGS.values()]
+
     def findings(self) -> DataFrame:
         """One row per finding, with the rule and extension findings."""
-        parts = [flatten_hits(self.file_results(), catalog_array(limits=self.limits))]
+        results = self.file_results()
+        parts = [flatten_hits(results, self._entries())]
         if self.rules is not None:
-            parts.append(apply_rules(self.files, self.rules))
-        parts += [make(self.files).select(*parts[0].columns) for make in EXTRA_FINDINGS.values()]
-        found = reduce(DataFrame.unionByName, parts)
-        return rollups.at_least(found, self.min_severity) if self.min_severity else found
+            parts.append(flatten_findings(results.withColumnRenamed("rule_findings", "findings")))
+        parts += self._extension_findings(parts[0].columns)
+        return self._kept(reduce(DataFrame.unionByName, parts))
 
     def findings_by_file(self) -> DataFrame:
-        """``path, findings``: every file once, clean files with an empty array. The built-in
-        findings never leave their row, so a file with many findings needs no grouping."""
-        entries = catalog_array(limits=self.limits)
+        """``path, findings``: every file once, clean files with an empty array. Findings
+        never leave their row, so a file with many of them needs no grouping."""
         rows = self.file_results().select(
-            "path", F.coalesce(F.col("hits"), no_hits()).alias("hits"), entries.alias("entries")
+            "path", "hits", "rule_findings", self._entries().alias("entries")
         )
-        found = F.transform("hits", lambda h: to_finding(h, F.get(F.col("entries"), h["check"])))
-        return rows.select("path", found.cast(f"ARRAY<{FINDING}>").alias("findings"))
+        built_in = F.transform("hits", lambda h: to_finding(h, F.get(F.col("entries"), h["check"])))
+        found = F.concat(built_in.cast(f"ARRAY<{FINDING}>"), F.col("rule_findings"))
+        if self.min_severity:
+            last = SEVERITIES.index(self.min_severity) + 1
+            found = F.filter(found, lambda f: f["severity"].isin(*SEVERITIES[:last]))
+        return rows.select("path", found.alias("findings"))
 
     def skills(self) -> DataFrame:
         parts = [skills.explode_skills(self.file_results())]
@@ -190,7 +222,34 @@ class Audit:
         return rollups.dedup_skills(self.skills(), keys)
 
     def totals(self) -> DataFrame:
-        return rollups.totals(self.files, self.findings(), self.skills())
+        """Counters of the whole audit in one pass over the per-file rows."""
+        rows = self.file_results().select(
+            "line_count", F.size("skills").alias("n_skills"), "hits", "rule_findings",
+            self._entries().alias("entries"),
+        )
+
+        def brief(h: Column) -> Column:
+            entry = F.get(F.col("entries"), h["check"])
+            return F.struct(
+                F.coalesce(h["severity"], entry["severity"]).alias("severity"),
+                entry["category"].alias("category"), check_name(h, entry).alias("check_name"),
+            )
+
+        named = F.expr(
+            "transform(rule_findings, f -> named_struct('severity', f.severity, "
+            "'category', f.category, 'check_name', f.check_name))"
+        )
+        found = F.concat(F.transform("hits", brief), named)
+        if self.min_severity:
+            last = SEVERITIES.index(self.min_severity) + 1
+            found = F.filter(found, lambda f: f["severity"].isin(*SEVERITIES[:last]))
+        counted = [rollups.totals_of_files(rows.select("line_count", "n_skills", found.alias("found")))]
+        needed = ["severity", "category", "check_name"]
+        counted += [
+            rollups.finding_totals(self._kept(extra)) for extra in self._extension_findings(needed)
+        ]
+        counted += [rollups.skill_totals(make(self.files)) for make in EXTRA_SKILLS.values()]
+        return rollups.add_up(*counted) if len(counted) > 1 else counted[0]
 
     def summary(self) -> DataFrame:
         return rollups.summarise(self.totals(), self.project)
