@@ -124,3 +124,17 @@ def spread(files: DataFrame, at_least: int | None = None) -> DataFrame:
     if files.rdd.getNumPartitions() >= wanted:
         return files
     return files.repartition(wanted, "file_id")
+
+
+# Ending → language.
+LANGUAGE_OF = {
+    "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript",
+    "tsx": "typescript", "java": "java", "go": "go", "rs": "rust",
+}
+
+
+def language(path: Column) -> Column:
+    """Language by the text after the last dot of the path."""
+    ending = F.lower(F.element_at(F.split(path, r"\."), -1))
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGE_OF.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, ending), F.lit("unknown"))

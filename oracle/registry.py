@@ -193,3 +193,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.summarise(counts, "documents").select(
         "project_name", "total_files", "total_lines", "total_checks", "overall_score", "grade", "gate"
     )
+
+
+from . import sources as source_queries  # noqa: E402  (needs PROBES)
+
+for _name, (_query, _sql) in source_queries.REGISTERED.items():
+    register(_name, _query, _sql)
