@@ -43,6 +43,13 @@ def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False)
                 out.append(ch + nxt)
             i += 2
             continue
+        named = re.match(r"\(\?P<(\w+)>|\(\?P=(\w+)\)", pattern[i:]) if not in_class else None
+        if named:
+            # Named groups: the engine writes them without the P and without underscores.
+            group = (named[1] or named[2]).replace("_", "")
+            out.append(f"(?<{group}>" if named[1] else f"\\k<{group}>")
+            i += named.end()
+            continue
         if ch == "[" and not in_class:
             in_class = True
             out.append(ch)

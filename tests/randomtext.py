@@ -36,5 +36,7 @@ def random_lines(rng: random.Random) -> str:
         'm = re.search("a", x.y)', "foreword for all", "import os", "from a import b", "value_number_one = 12345", "print(x)",
         "the_same_long_line_of_code()", "another_rather_long_line_here()", "return", "    ", "\t",
     ]
+    if rng.random() < 0.4:
+        stems = [*stems, *["for a in b:", "while c:"] * 8]
     indents = ["", "", "    ", "    ", "        ", "  ", "\t"]
     return "\n".join(rng.choice(indents) + rng.choice(stems) for _ in range(rng.randint(0, 25)))
