@@ -66,22 +66,93 @@ def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False)
     return f"(?{flags})" + "".join(out)
 
 
+_WORD_GROUP = re.compile(r"\((?:\?:)?([A-Za-z0-9_]+(?:\|[A-Za-z0-9_]+)*)\)")
+_WORD_CLASS = re.compile(r"\(?(\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\])")
+
+
 def _boundary(pattern: str, at: int) -> str:
-    """A word boundary next to a plain word character needs only one look-around."""
-    after, before = pattern[at + 2 : at + 3], pattern[at - 1 : at] if at else ""
-    if re.match(r"\(?\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\]", pattern[at + 2 :]):
-        return f"(?<![{WORD}])"
-    if after.isalnum() or after == "_" or pattern[at + 2 : at + 4] in (r"\w", r"\d"):
-        return f"(?<![{WORD}])"
+    """A word boundary next to a plain word character needs only one look-around, and
+    looking at the next character first rejects most places cheaply."""
+    rest, before = pattern[at + 2 :], pattern[at - 1 : at] if at else ""
+    group, listed = _WORD_GROUP.match(rest), _WORD_CLASS.match(rest)
+    coming = None
+    if rest[:1].isalnum() or rest[:1] == "_":
+        coming = rest[0]
+    elif rest[:2] in (r"\w", r"\d"):
+        coming = f"[{_CLASSES[rest[1]]}]"
+    elif listed:
+        coming = listed[1]
+    elif group:
+        coming = "[" + "".join(sorted({word[0] for word in group[1].split("|")})) + "]"
+    if coming is not None:
+        return f"(?={coming})(?<![{WORD}])"
     escaped = at >= 2 and pattern[at - 2] == "\\"
     if (before.isalnum() or before == "_") and (not escaped or before in "wd"):
         return f"(?![{WORD}])"
     return _BOUNDARY
 
 
+def atomic(pattern: str) -> str:
+    """The pattern without backtracking into a finished match. Plain letters at its start
+    stay outside the group, where the engine searches for them fastest."""
+    lead = re.match(r"[A-Za-z]*(?![A-Za-z?*+{|])", pattern)[0] if "|" not in pattern else ""
+    return f"{lead}(?>{pattern[len(lead):]})"
+
+
+@lru_cache(maxsize=None)
+def required_text(pattern: str) -> str:
+    """The longest plain text that every match must contain, or an empty string.
+
+    Only the top level counts: groups and classes end a run, a quantifier removes the
+    character it applies to, and a top-level alternative means nothing is required.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            token, literal = pattern[i : i + 2], not pattern[i + 1 : i + 2].isalnum()
+            char = pattern[i + 1 : i + 2]
+        elif ch == "[":
+            end = i + 1 + (pattern[i + 1 : i + 2] == "^")
+            end += pattern[end : end + 1] == "]"
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else 1
+            token, literal, char = pattern[i : end + 1], False, ""
+        elif ch == "{" and re.match(r"\{\d*,?\d*\}", pattern[i:]):
+            token, literal, char = pattern[i : pattern.index("}", i) + 1], False, ""
+        else:
+            token, literal, char = ch, ch not in "().^$*+?{}|[]", ch
+        if ch == "|" and depth == 0:
+            return ""
+        depth += (token == "(") - (token == ")")
+        quantified = pattern[i + len(token) : i + len(token) + 1] in tuple("?*{")
+        if depth == 0 and literal and not quantified:
+            run += char
+            if pattern[i + len(token) : i + len(token) + 1] == "+":
+                runs.append(run)
+                run = ""
+        else:
+            runs.append(run)
+            run = ""
+        i += len(token)
+    return max([*runs, run], key=len)
+
+
+def is_plain(pattern: str) -> bool:
+    """True for patterns that are nothing but literal text."""
+    text = required_text(pattern)
+    return text != "" and re.escape(text).replace("\\", "") == pattern.replace("\\", "") and (
+        re.fullmatch(pattern, text) is not None and not re.search(r"\\[A-Za-z0-9]|[.^$*+?{}|\[\]()]",
+                                                               re.sub(r"\\\W", "", pattern))
+    )
+
+
 def matches(column: Column, pattern: str, **flags: bool) -> Column:
-    """True where the pattern occurs anywhere in the text."""
-    return F.regexp_like(column, F.lit(java_regex(pattern, **flags)))
+    """True where the pattern occurs anywhere in the text; required text is looked for
+    first, as a search for plain bytes is far cheaper than a regex."""
+    test = F.regexp_like(column, F.lit(java_regex(pattern, **flags)))
+    text = "" if flags else required_text(pattern)
+    return column.contains(text) & test if text else test
 
 
 def occurrences(column: Column, pattern: str, **flags: bool) -> Column:
@@ -105,5 +176,19 @@ def sql_any(column: str, needles) -> str:
 
 
 def sql_matches(column: str, pattern: str, **flags: bool) -> str:
-    """SQL test: the pattern occurs."""
-    return f"regexp_like({column}, {sql_text(java_regex(pattern, **flags))})"
+    """SQL test: the pattern occurs. See ``matches``."""
+    test = f"regexp_like({column}, {sql_text(java_regex(pattern, **flags))})"
+    if flags:
+        return test
+    text = required_text(pattern)
+    if text and is_plain(pattern):
+        return f"contains({column}, {sql_text(text)})"
+    return f"(contains({column}, {sql_text(text)}) AND {test})" if text else test
+
+
+# SQL: content in lower case with the letters that equal an ASCII letter when case is
+# ignored written as that letter. Text is only tested for plain words in this form.
+FOLDED = (
+    "IF(octet_length(content) = char_length(content), lower(content), "
+    "translate(lower(content), '\u017f\u0131\u212a\u0307', 'sik'))"
+)

@@ -3,11 +3,12 @@ an ordinary column, so a check over a file needs neither an explode nor a shuffl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .patterns import WHITESPACE, java_regex, occurrences, sql_text
+from .patterns import WHITESPACE, atomic, java_regex, occurrences, sql_text
 
 MARK = "\x01"
 
@@ -86,17 +87,39 @@ def match_lines(pattern: str, **flags: bool) -> Column:
     return F.expr(_match_lines_sql(pattern, **flags))
 
 
-def match_table_sql(pattern: str, groups: tuple[int, ...] = (), **flags: bool) -> str:
-    """SQL: array<struct<n, g0, …>>, start line and chosen groups of every match."""
-    regex = sql_text(java_regex(pattern, **flags))
-    columns = [_match_lines_sql(pattern, **flags)]
-    columns += [f"regexp_extract_all(content, {regex}, {group})" for group in groups]
-    fields = ["'n', z.`0`"] + [f"'g{group}', z.`{i}`" for i, group in enumerate(groups, 1)]
+def match_table_sql(
+    pattern: str, groups: tuple[int, ...] = (), ahead: str = "", **flags: bool
+) -> str:
+    """SQL: array<struct<n, g0, …>>, start line and chosen groups of every match.
+
+    The text is searched once for the matches; their groups are read off the short match
+    texts. ``ahead`` is an optional look-ahead behind the pattern. Its groups continue the
+    numbering and need one search each; the atomic group keeps it from moving a match end.
+    """
+    inner = re.compile(pattern).groups
+    whole = atomic(pattern) + ahead if ahead else pattern
+    regex = sql_text(java_regex(whole, **flags))
+    own = sql_text(java_regex(f"\\A(?:{pattern})\\z", **flags))
+    columns = [_match_lines_sql(whole, **flags), f"regexp_extract_all(content, {regex}, 0)"]
+    fields = ["'n', z.`0`"]
+    for group in groups:
+        if group == 0:
+            fields.append("'g0', z.`1`")
+        elif group <= inner:
+            fields.append(f"'g{group}', regexp_extract(z.`1`, {own}, {group})")
+        else:
+            fields.append(f"'g{group}', z.`{len(columns)}`")
+            columns.append(f"regexp_extract_all(content, {regex}, {group})")
+    if not groups:
+        columns = columns[:1]
+        return f"transform({columns[0]}, z -> named_struct('n', z))"
     return f"transform(arrays_zip({', '.join(columns)}), z -> named_struct({', '.join(fields)}))"
 
 
-def match_table(pattern: str, groups: tuple[int, ...] = (), **flags: bool) -> Column:
-    return F.expr(match_table_sql(pattern, groups, **flags))
+def match_table(
+    pattern: str, groups: tuple[int, ...] = (), ahead: str = "", **flags: bool
+) -> Column:
+    return F.expr(match_table_sql(pattern, groups, ahead, **flags))
 
 
 def sql_strip(text: str) -> str:
@@ -144,10 +167,11 @@ def code_line_count(lines: Column) -> Column:
 
 
 # Words and operators that add a path through the code.
-BRANCHES = (
-    r"\bif\b", r"\belse\b", r"\belif\b", r"\bfor\b", r"\bwhile\b", r"\bdo\b", r"\bswitch\b",
-    r"\bcase\b", r"\bcatch\b", r"\btry\b", r"\bfinally\b", r"\band\b", r"\bor\b", r"&&", r"\|\|",
+BRANCH_WORDS = (
+    "if", "else", "elif", "for", "while", "do", "switch", "case", "catch", "try", "finally",
+    "and", "or",
 )
+BRANCH_MARKS = ("&&", "||")
 
 # Structure counters.
 STRUCTURE = {
@@ -169,9 +193,10 @@ NAMING = {
 
 
 def complexity(content: Column) -> Column:
-    """One plus the number of branch words. The words exclude each other, so one
-    alternation counts them all in a single pass over the text."""
-    return occurrences(content, "|".join(BRANCHES)) + 1
+    """One plus the number of branch words and marks. Whole words exclude each other, so
+    one alternation counts them all in a single pass over the text."""
+    words = occurrences(content, r"\b(?:" + "|".join(BRANCH_WORDS) + r")\b")
+    return words + count_text(content, BRANCH_MARKS[0]) + count_text(content, BRANCH_MARKS[1]) + 1
 
 
 def naming_style(name: Column, convention: str = "snake_case") -> Column:

@@ -93,7 +93,7 @@ def missing_docstrings() -> Probe:
     """BP007: no triple quote in the 200 characters after the head. The look-ahead group
     is optional, so it never changes where a match ends."""
     near = r"""(?=((?s:.){0,197}?(?:\"\"\"|'''))?)"""
-    pattern = pack.Pattern(f"(?>{pack.PUBLIC_FUNCTION}){near}", needles=DEF)
+    pattern = pack.Pattern(pack.PUBLIC_FUNCTION, needles=DEF, ahead=near)
     return _by_match(
         "BP007", pattern, (1, 2), keep="m.g2 = ''", snippet=HEAD, what="m.g1",
     )
@@ -154,11 +154,11 @@ def circular_imports() -> Probe:
 def constants() -> Probe:
     """BP010: one finding per distinct name, at its first assignment, when some
     assignment is not directly followed by another upper-case name."""
-    pattern = pack.Pattern(pack.UPPERCASE_NAME + r"(?=([A-Z_])?)", needles=pack.CONSTANT_WORDS)
+    pattern = pack.Pattern(pack.UPPERCASE_NAME, needles=pack.CONSTANT_WORDS, ahead=r"(?=([A-Z_])?)")
 
     def rows() -> Column:
         uses = F.filter(
-            match_table(pattern.regex, (1, 2)),
+            match_table(pattern.regex, (1, 2), pattern.ahead),
             lambda m: contains_any(m["g1"], pack.CONSTANT_WORDS),
         )
 

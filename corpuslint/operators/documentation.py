@@ -19,10 +19,7 @@ def _body_has(words: tuple[str, ...], reach: int = 500) -> str:
     return f"(?=({choices})?)"
 
 
-FUNCTION = pack.Pattern(
-    f"(?>{pack.DOCUMENTED_FUNCTION}){_body_has(pack.ARGUMENT_WORDS)}{_body_has(pack.RETURN_WORDS)}",
-    needles=("def",),
-)
+FUNCTION = pack.Pattern(pack.DOCUMENTED_FUNCTION, needles=("def",))
 
 
 def module_text() -> Probe:
@@ -42,11 +39,14 @@ VISIBLE = "(NOT startswith(m.g1, '_') OR m.g1 IN ({}))".format(
 )
 
 
-def _functions(check_id: str, keep: str, snippet: str = "''") -> Probe:
+def _functions(check_id: str, keep: str, snippet: str = "''", words=()) -> Probe:
+    """``words`` must be missing from the text behind the head: group 5 stays empty."""
+    pattern = FUNCTION._replace(ahead=_body_has(words) if words else "")
+    groups = (1, 2, 3, 4, 5) if words else (1, 2, 3, 4)
     return Probe(
         check_id, "documentation", pattern_gate([FUNCTION]),
         lambda: each_match(
-            CHECKS[check_id], FUNCTION, (1, 2, 3, 4, 5, 6),
+            CHECKS[check_id], pattern, groups,
             keep=f"{VISIBLE} AND {keep}", snippet=snippet, what="m.g1",
         ),
     )
@@ -64,13 +64,15 @@ DOCUMENTED_WITH_PARAMETERS = f"m.g4 <> '' AND {sql_strip('m.g2')} <> ''"
 
 def argument_sections() -> Probe:
     """DOC003."""
-    return _functions("DOC003", f"{DOCUMENTED_WITH_PARAMETERS} AND m.g5 = ''")
+    return _functions("DOC003", f"{DOCUMENTED_WITH_PARAMETERS} AND m.g5 = ''",
+                      words=pack.ARGUMENT_WORDS)
 
 
 def return_sections() -> Probe:
     """DOC004."""
     return _functions(
-        "DOC004", f"{DOCUMENTED_WITH_PARAMETERS} AND m.g3 NOT IN ('', 'None') AND m.g6 = ''"
+        "DOC004", f"{DOCUMENTED_WITH_PARAMETERS} AND m.g3 NOT IN ('', 'None') AND m.g5 = ''",
+        words=pack.RETURN_WORDS,
     )
 
 
@@ -110,9 +112,7 @@ def empty_comments(limit: int = 3) -> Probe:
 
 
 def todo_marks(limit: int = 5) -> Probe:
-    """DOC007: the first few marks per file, by kind and then by place. The words are
-    disjoint, so files without any are dropped by one alternation."""
-    anything = "|".join(p.regex for p in pack.TODO_WORDS)
+    """DOC007: the first few marks per file, by kind and then by place."""
 
     def rows() -> Column:
         found = [
@@ -125,7 +125,7 @@ def todo_marks(limit: int = 5) -> Probe:
         return F.slice(F.concat(*found), 1, limit)
 
     return Probe("DOC007", "documentation",
-                 lambda: matches(content(), anything, ignore_case=True), rows)
+                 pattern_gate(pack.TODO_WORDS, ignore_case=True), rows)
 
 
 def api_routes(limit: int = 5) -> Probe:

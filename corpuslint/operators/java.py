@@ -25,8 +25,6 @@ def sql_extract(pattern: str, group: int) -> str:
 
 def feature(pattern: str) -> str:
     """SQL: plain features are byte searches, the rest are regexes."""
-    if pack.is_plain(pattern):
-        return f"contains(content, {sql_text(pack.plain_text(pattern))})"
     return sql_matches("content", pattern)
 
 

@@ -195,11 +195,11 @@ def cacheable_functions() -> Probe:
     """PERF012: no ``global`` and no ``print`` in the 500 characters after the head, and
     the name is called more than three times in the file, the head included."""
     effects = r"(?=((?s:.){0,494}?global|(?s:.){0,495}?print)?)"
-    head = pack.Pattern(f"(?>{pack.PURE_FUNCTION}){effects}", needles=DEF)
+    head = pack.Pattern(pack.PURE_FUNCTION, needles=DEF, ahead=effects)
 
     def rows() -> Column:
         pure = F.filter(
-            match_table(head.regex, (1, 2)), lambda m: m["g2"] == ""
+            match_table(head.regex, (1, 2), head.ahead), lambda m: m["g2"] == ""
         )
         calls = extract(content(), r"\b(\w+)\s*\(", 1)
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.patterns import sql_any, sql_matches, sql_text
+from ..functions.patterns import FOLDED, sql_any, sql_matches, sql_text
 from ..functions.text import MATCH_LINE, match_table_sql, with_lines
 from ..packs import catalog
 from ..packs.catalog import Check
@@ -87,8 +87,12 @@ def hit(
 
 def pattern_test(pattern: Pattern, **flags: bool) -> str:
     """SQL: needle test on the bytes, then the regex."""
-    test = sql_matches("content", pattern.regex, **flags)
-    return f"({sql_any('content', pattern.needles)} AND {test})" if pattern.needles else test
+    tests = [sql_matches("content", pattern.regex, **flags)]
+    if pattern.folded:
+        tests.insert(0, sql_any(FOLDED, pattern.folded))
+    if pattern.needles:
+        tests.insert(0, sql_any("content", pattern.needles))
+    return "(" + " AND ".join(tests) + ")"
 
 
 def pattern_gate(patterns: Iterable[Pattern], **flags: bool) -> Callable[[], Column]:
@@ -109,7 +113,7 @@ def each_match(
     """One hit per match. ``keep``, ``snippet`` and ``what`` are SQL over the match row
     ``m`` with its line ``m.n`` and groups ``m.g0``, ``m.g1``, …"""
     number = check if isinstance(check, int) else ORDINALS[check.check_id]
-    table = match_table_sql(pattern.regex, groups, **flags)
+    table = match_table_sql(pattern.regex, groups, pattern.ahead, **flags)
     if keep is not None:
         table = f"filter({table}, m -> {keep})"
     about = sql_text(pattern.what) if what is None else what

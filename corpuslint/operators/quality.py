@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.patterns import SPACE, matches, occurrences, sql_text
+from ..functions.patterns import SPACE, java_regex, matches, occurrences, sql_text
 from ..functions.text import bind, cut, indent, lstrip, match_table, newlines, numbered, strip
 from ..packs import probes as pack
 from ..packs.catalog import QUALITY
@@ -159,18 +159,25 @@ def hardcoded_values() -> Probe:
 
 
 def mixed_naming() -> Probe:
-    """QUAL006: two or more naming styles and more than ten names. Without a camel-case
-    or Pascal-case name there cannot be two styles, and that test stops at the first hit."""
+    """QUAL006: two or more naming styles and more than ten names.
+
+    Without a camel-case or Pascal-case name there cannot be two styles, and both have a
+    small letter in front of a capital. Eleven snake-case names settle the count, and the
+    search for them stops at the eleventh; only files with fewer are counted in full.
+    """
     snake, camel, pascal = pack.NAME_STYLES
+    eleven = java_regex(r"\A(?>(?s:.)*?" + snake + "){11}")
 
     def gate() -> Column:
+        mixed = F.regexp_like(content(), F.lit("[a-z][A-Z]"))
         has_camel, has_pascal = matches(content(), camel), matches(content(), pascal)
+        many = F.regexp_like(content(), F.lit(eleven))
         enough = (
             occurrences(content(), snake) + occurrences(content(), camel)
             + occurrences(content(), pascal)
         ) > 10
         two = (has_camel & has_pascal) | matches(content(), snake)
-        return (has_camel | has_pascal) & two & enough
+        return mixed & (has_camel | has_pascal) & (many | (two & enough))
 
     return whole_file(CHECKS["QUAL006"], "quality", gate)
 

@@ -1,5 +1,7 @@
 """Patterns of the text checks. ``needles`` are plain substrings of which a matching
-text must contain at least one; they are tested on the raw bytes before the regex."""
+text must contain at least one; they are tested on the raw bytes before the regex.
+``folded`` are the same for patterns that ignore case, in lower case. ``ahead`` is an
+optional look-ahead behind the pattern that fills further groups."""
 
 from __future__ import annotations
 
@@ -10,6 +12,8 @@ class Pattern(NamedTuple):
     regex: str
     what: str = ""
     needles: tuple[str, ...] = ()
+    folded: tuple[str, ...] = ()
+    ahead: str = ""
 
 
 # SEC001 family — name, pattern, severity, description, suggestion.
@@ -79,9 +83,11 @@ SECURITY = {
     "SEC013": [
         Pattern(r"""["'][^"']*(?:password|passwd|pwd|secret|api_key|api_key|apikey|token|auth_token|"""
                 r"""access_token|private_key)[^"']*["']\s*[=:]\s*["'][^"']+["']""",
-                "检测到硬编码的敏感信息", ('"', "'")),
+                "检测到硬编码的敏感信息", ('"', "'"),
+                ("password", "passwd", "pwd", "secret", "api_key", "apikey", "token", "private_key")),
         Pattern(r"(?:github|aws|azure|gcp|stripe|sendgrid|mailgun)[_-]?(?:key|token|secret)",
-                "检测到可能的API密钥"),
+                "检测到可能的API密钥",
+                folded=("github", "aws", "azure", "gcp", "stripe", "sendgrid", "mailgun")),
         Pattern(r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----", "检测到私钥", ("-----",)),
     ],
     "SEC014": [
@@ -191,11 +197,11 @@ EMPTY_COMMENTS = [
     r"^\s*#.*(?<![a-zA-Z])([a-z])\s*$",
 ]
 TODO_WORDS = [
-    Pattern(r"\bTODO\b", "TODO注释"),
-    Pattern(r"\bFIXME\b", "FIXME注释"),
-    Pattern(r"\bHACK\b", "HACK注释"),
-    Pattern(r"\bXXX\b", "XXX注释"),
-    Pattern(r"\bBUG\b", "BUG注释"),
+    Pattern(r"\bTODO\b", "TODO注释", folded=("todo",)),
+    Pattern(r"\bFIXME\b", "FIXME注释", folded=("fixme",)),
+    Pattern(r"\bHACK\b", "HACK注释", folded=("hack",)),
+    Pattern(r"\bXXX\b", "XXX注释", folded=("xxx",)),
+    Pattern(r"\bBUG\b", "BUG注释", folded=("bug",)),
 ]
 API_ROUTES = [
     Pattern(r"@app\.(route|get|post|put|delete|patch)", "Flask路由", ("@app.",)),

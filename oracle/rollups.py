@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslint.functions.text import BRANCHES, STRUCTURE
+from corpuslint.functions.text import BRANCH_MARKS, BRANCH_WORDS, STRUCTURE
 from corpuslint.operators.rollups import ADVICE
 from corpuslint.schemas import CATEGORIES, LEVELS, PENALTY, SEVERITIES
 
@@ -100,7 +100,8 @@ def metrics_sql() -> str:
         f"((length(t) - length(replace(t, {q(mark)}, ''))) // 3) % 2 = 1" for mark in ('"""', "'''")
     )
     flat = plain("Q")
-    branches = " + ".join(f"len(regexp_extract_all(flat, {re2(p)}))" for p in BRANCHES)
+    words = [rf"\b{word}\b" for word in BRANCH_WORDS] + [r"\|\|" if m == "||" else m for m in BRANCH_MARKS]
+    branches = " + ".join(f"len(regexp_extract_all(flat, {re2(p)}))" for p in words)
     counters = ", ".join(
         f"CAST(len(regexp_extract_all(flat, {re2(p)})) AS INT) AS {n}" for n, p in STRUCTURE.items()
     )

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslint.functions.patterns import FOLDED, is_plain, required_text
 from corpuslint.functions.text import match_table, with_lines
 from corpuslint.packs import java, probes as pack, skills
 from randomtext import random_text
@@ -45,14 +46,18 @@ def test_matches_and_lines(spark, texts):
     for start in range(0, len(patterns), 25):
         group = patterns[start : start + 25]
         rows = with_lines(files).select("i", *[
-            match_table(p.regex, (0,), **flags).alias(f"p{k}") for k, (p, flags) in enumerate(group)
+            match_table(p.regex, tuple(range(re.compile(p.regex).groups + 1)), **flags).alias(f"p{k}")
+            for k, (p, flags) in enumerate(group)
         ]).collect()
         for row in rows:
             text = texts[row.i]
             for k, (p, flags) in enumerate(group):
                 mode = (re.IGNORECASE if "ignore_case" in flags else 0) | (re.MULTILINE if "multiline" in flags else 0)
-                want = [(text[: m.start()].count("\n") + 1, m.group(0)) for m in re.finditer(p.regex, text, mode)]
-                assert [(m.n, m.g0) for m in row[f"p{k}"]] == want, (p.regex, text)
+                want = [
+                    (text[: m.start()].count("\n") + 1, m.group(0), *(g or "" for g in m.groups()))
+                    for m in re.finditer(p.regex, text, mode)
+                ]
+                assert [tuple(m) for m in row[f"p{k}"]] == want, (p.regex, text)
 
 
 def test_needles_are_necessary(texts):
@@ -64,6 +69,25 @@ def test_needles_are_necessary(texts):
                     assert any(needle in text for needle in p.needles), (p, text)
 
 
+def test_required_text(texts):
+    assert required_text(r"\bimport\s+\w+") == "import" and required_text(r"a|b") == ""
+    assert required_text(r"https?://x") == "http" and required_text(r"x[ab]yz+(cd)?") == "yz"
+    assert required_text(r"\.\.[/\\]") == ".." and required_text(r"[\]a]b") == "b"
+    assert is_plain(r"std::") and is_plain(r"org\.junit\.") and not is_plain(r"a\w") and not is_plain("a+")
+    assert is_plain(r"any\(\)") and not is_plain(r"any()") and not is_plain(r"Queue\b")
+    for p, flags in _patterns():
+        if not flags:
+            for text in texts:
+                if re.search(p.regex, text):
+                    assert required_text(p.regex) in text, (p, text)
+
+
+def test_folded_words(spark):
+    words = ["TODO", "FİXME", "fıxme", "HAC\u212a", "\u017fecret x", "AWS_\u017fecret", "é Todo"]
+    rows = spark.createDataFrame([(w,) for w in words], "content STRING").select(F.expr(FOLDED).alias("f")).collect()
+    assert [r.f for r in rows] == ["todo", "fixme", "fixme", "hack", "secret x", "aws_secret", "é todo"]
+
+
 def test_java_pack_patterns(spark):
     assert java.SKILLS["Spring Framework"][1][:3] == [
         (r"org\.springframework\.", 0.8), ("@Controller", 0.7), ("@RestController", 0.8)]
