@@ -27,7 +27,7 @@ PUBLIC = "(NOT startswith(m.g1, '_') OR m.g1 IN ({}))".format(
 def _by_match(check_id: str, pattern: pack.Pattern, groups=(), **options) -> Probe:
     return Probe(
         check_id, "best_practices", pattern_gate([pattern]),
-        lambda: each_match(CHECKS[check_id], pattern, groups, **options),
+        lambda: each_match(CHECKS[check_id], pattern, groups, **options), self_gated=True,
     )
 
 

@@ -49,7 +49,7 @@ def _probe(ordinal: int, rule: Row, problem: str | None) -> Probe:
                      lambda: F.array(hit(ordinal)), suffixes)
     pattern = Pattern(rule.pattern)
     return Probe(rule.rule_id, "custom", pattern_gate([pattern]),
-                 lambda: each_match(ordinal, pattern, (0,), what="m.g0"), suffixes)
+                 lambda: each_match(ordinal, pattern, (0,), what="m.g0"), suffixes, True)
 
 
 def rule_pages(spark: SparkSession, rules: DataFrame) -> list[tuple[list[Probe], list[Check]]]:

@@ -49,6 +49,7 @@ def _functions(check_id: str, keep: str, snippet: str = "''", words=()) -> Probe
             CHECKS[check_id], pattern, groups,
             keep=f"{VISIBLE} AND {keep}", snippet=snippet, what="m.g1",
         ),
+        self_gated=True,
     )
 
 
@@ -86,6 +87,7 @@ def class_docstrings() -> Probe:
             keep="NOT startswith(m.g1, '_') AND m.g2 = ''",
             snippet="concat('class ', m.g1, ':')", what="m.g1",
         ),
+        self_gated=True,
     )
 
 
@@ -125,7 +127,7 @@ def todo_marks(limit: int = 5) -> Probe:
         return F.slice(F.concat(*found), 1, limit)
 
     return Probe("DOC007", "documentation",
-                 pattern_gate(pack.TODO_WORDS, ignore_case=True), rows)
+                 pattern_gate(pack.TODO_WORDS, ignore_case=True), rows, self_gated=True)
 
 
 def api_routes(limit: int = 5) -> Probe:

@@ -229,6 +229,7 @@ def list_copies() -> Probe:
     return Probe(
         "PERF004", "performance", pattern_gate([pattern]),
         lambda: each_match(CHECKS["PERF004"], pattern, (0, 1), snippet="m.g0", what="m.g1"),
+        self_gated=True,
     )
 
 
@@ -236,7 +237,7 @@ def global_names() -> Probe:
     """PERF007."""
     pattern = pack.Pattern(pack.GLOBAL_NAME, needles=("global",))
     return Probe("PERF007", "performance", pattern_gate([pattern]),
-                 lambda: each_match(CHECKS["PERF007"], pattern))
+                 lambda: each_match(CHECKS["PERF007"], pattern), self_gated=True)
 
 
 def probes() -> list[Probe]:

@@ -39,12 +39,21 @@ class Probe:
     gate: Callable[[], Column]
     rows: Callable[[], Column]
     suffixes: tuple[str, ...] | None = None
+    self_gated: bool = False
+
+    def _suffix_test(self) -> Column | None:
+        suffixes = self.suffixes if self.suffixes is not None else SUFFIXES.get(self.analyzer)
+        return F.col("ext").isin(*suffixes) if suffixes else None
 
     def applies(self) -> Column:
         """Suffix test first, then the text test: the cheap one decides most files."""
-        suffixes = self.suffixes if self.suffixes is not None else SUFFIXES.get(self.analyzer)
-        gate = self.gate()
-        return F.col("ext").isin(*suffixes) & gate if suffixes else gate
+        suffix, gate = self._suffix_test(), self.gate()
+        return gate if suffix is None else suffix & gate
+
+    def hits(self) -> Column:
+        """The guarded rows. Rows that test their own patterns are not tested twice."""
+        guard = self._suffix_test() if self.self_gated else self.applies()
+        return self.rows() if guard is None else F.when(guard, self.rows()).otherwise(no_hits())
 
 
 def content() -> Column:
@@ -89,7 +98,7 @@ def pattern_test(pattern: Pattern, **flags: bool) -> str:
     """SQL: needle test on the bytes, then the regex."""
     tests = [sql_matches("content", pattern.regex, **flags)]
     if pattern.folded:
-        tests.insert(0, sql_any(FOLDED, pattern.folded))
+        tests.insert(0, f"transform(array({FOLDED}), t -> {sql_any('t', pattern.folded)})[0]")
     if pattern.needles:
         tests.insert(0, sql_any("content", pattern.needles))
     return "(" + " AND ".join(tests) + ")"
@@ -212,7 +221,7 @@ def check_name(h: Column, entry: Column) -> Column:
 
 def all_hits(probes: Iterable[Probe]) -> Column:
     """Hits of several probes over the columns of one file row."""
-    parts = [F.when(p.applies(), p.rows()).otherwise(no_hits()) for p in probes]
+    parts = [p.hits() for p in probes]
     return F.concat(*parts) if parts else no_hits()
 
 

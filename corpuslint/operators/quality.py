@@ -142,7 +142,7 @@ def empty_handlers() -> Probe:
     pattern = pack.Pattern(pack.EMPTY_EXCEPT, needles=("except",))
     return Probe(
         "QUAL004", "quality", pattern_gate([pattern], multiline=True),
-        lambda: each_match(CHECKS["QUAL004"], pattern, multiline=True),
+        lambda: each_match(CHECKS["QUAL004"], pattern, multiline=True), self_gated=True,
     )
 
 
@@ -155,7 +155,7 @@ def hardcoded_values() -> Probe:
             for pattern in pack.HARDCODED
         ])
 
-    return Probe("QUAL005", "quality", pattern_gate(pack.HARDCODED), rows)
+    return Probe("QUAL005", "quality", pattern_gate(pack.HARDCODED), rows, self_gated=True)
 
 
 def mixed_naming() -> Probe:
@@ -214,7 +214,7 @@ def magic_numbers() -> Probe:
             snippet="concat('数字: ', m.g0)", what="m.g0",
         )
 
-    return Probe("QUAL008", "quality", pattern_gate([pattern]), rows)
+    return Probe("QUAL008", "quality", pattern_gate([pattern]), rows, self_gated=True)
 
 
 def unreachable_lines() -> Probe:

@@ -26,7 +26,7 @@ def _probe(check: catalog.Check, patterns: list[Pattern]) -> Probe:
         found = [each_match(check, pattern, **options) for pattern in patterns]
         return F.concat(*found) if len(found) > 1 else found[0]
 
-    return Probe(check.check_id, "security", pattern_gate(patterns, **flags), rows)
+    return Probe(check.check_id, "security", pattern_gate(patterns, **flags), rows, self_gated=True)
 
 
 def _unprotected_form() -> Column:
