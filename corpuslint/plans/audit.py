@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -90,6 +91,14 @@ def analyzer_catalog(spark: SparkSession) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; never a local temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir or pass a path on shared storage")
+    return folder.rstrip("/")
+
+
 def chosen_analyzers(enabled: str | list[str] = "all") -> list[str]:
     names = [enabled] if isinstance(enabled, str) else list(enabled)
     return list(ANALYZERS) if "all" in names else [name for name in ANALYZERS if name in names]
@@ -175,9 +184,12 @@ class Audit:
             _BUILT[key] = (hits, self._skills())
         return _BUILT[key]
 
-    def save(self, path: str) -> "Audit":
+    def save(self, path: str | None = None) -> "Audit":
         """Write the per-file results once; later rollups read them instead of the files.
-        The table also cuts the lineage, so a lost executor costs a re-read, not a re-audit."""
+        The table also cuts the lineage, so a lost executor costs a re-read, not a re-audit.
+        Without a path it goes below the shared folder that the session names."""
+        if path is None:
+            path = f"{shared_folder(self.files.sparkSession)}/audit-{uuid.uuid4().hex}"
         self.file_results().write.mode("overwrite").parquet(path)
         self._stored = self.files.sparkSession.read.parquet(path)
         return self

@@ -89,10 +89,34 @@ def scan(
     return outside_directories(files, root.rstrip("/"), excluded) if recursive else files
 
 
-def scan_paths(spark: SparkSession, paths: list[str], suffixes=SCAN_SUFFIXES, **options) -> DataFrame:
-    """Several files or directories, every file once."""
-    found = [scan(spark, path, suffixes=suffixes, **options) for path in paths]
-    return reduce(DataFrame.unionByName, found).dropDuplicates(["path"])
+def disjoint_roots(paths: list[str], excluded=EXCLUDED_DIRECTORIES) -> list[str]:
+    """Drop repeated paths and paths that the scan of another one reads anyway. A path
+    below an excluded directory of another root is not read there, so it stays."""
+    roots = list(dict.fromkeys(path.rstrip("/") for path in paths))
+
+    def covered(path: str) -> bool:
+        for root in roots:
+            if path.startswith(root + "/"):
+                between = path[len(root) + 1 :].split("/")[:-1]
+                name = path.rsplit("/", 1)[-1]
+                if not set([*between, name]) & set(excluded):
+                    return True
+        return False
+
+    return [path for path in roots if not covered(path)]
+
+
+def scan_paths(
+    spark: SparkSession, paths: list[str], recursive: bool = True, suffixes=SCAN_SUFFIXES,
+    excluded=EXCLUDED_DIRECTORIES,
+) -> DataFrame:
+    """Several files or directories, every file once. Overlapping roots are removed from
+    the list beforehand, so the files themselves need no shuffle to become unique."""
+    roots = disjoint_roots(paths, excluded) if recursive else list(dict.fromkeys(paths))
+    found = reduce(DataFrame.unionByName, [
+        scan(spark, root, recursive, suffixes, excluded) for root in roots
+    ])
+    return found if recursive else found.dropDuplicates(["path"])
 
 
 def only_paths(files: DataFrame, paths: DataFrame) -> DataFrame:

@@ -88,6 +88,17 @@ def test_saved_results_give_the_same(files, tmp_path):
     assert fresh.totals().first() == saved.totals().first()
 
 
+def test_save_goes_below_the_shared_folder(spark, files, tmp_path):
+    with pytest.raises(ValueError):
+        Audit(files, analyzers="security").save()
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        Audit(files, analyzers="security").save()
+        assert list(tmp_path.glob("audit-*"))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_rules_and_extensions_take_part(spark, files):
     docs = spark.createDataFrame([('{"rule_id": "R1", "pattern": "eval", "severity": "low"}',)], "value STRING")
     audit = Audit(files, analyzers="documentation", rules=rule_source.parse_rules(docs))

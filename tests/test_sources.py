@@ -33,6 +33,11 @@ def test_scan(spark, project):
     assert _names(source.scan(spark, str(project / "a.py"))) == ["a.py"]
     both = source.scan_paths(spark, [str(project), str(project / "a.py")])
     assert _names(both) == ["B.JS", "a.py", "c.go"]
+    inner = source.scan_paths(spark, [str(project), str(project / "src/dist"), str(project / "src")])
+    assert _names(inner) == ["B.JS", "a.py", "c.go", "y.py"]
+    assert source.disjoint_roots(["/a/", "/a", "/a/b", "/ab", "/a/dist/x"]) == ["/a", "/ab", "/a/dist/x"]
+    flat = source.scan_paths(spark, [str(project), str(project / "a.py")], recursive=False)
+    assert _names(flat) == ["B.JS", "a.py"]
 
 
 def test_suffix_and_language(spark):
