@@ -106,7 +106,12 @@ def pattern_test(pattern: Pattern, **flags: bool) -> str:
 
 def pattern_gate(patterns: Iterable[Pattern], **flags: bool) -> Callable[[], Column]:
     """Any of several patterns occurs."""
+    patterns = list(patterns)
     text = " OR ".join(pattern_test(pattern, **flags) for pattern in patterns)
+    if len(patterns) > 1 and all(pattern.folded for pattern in patterns):
+        # One look at the folded text settles most files for all patterns together.
+        words = [word for pattern in patterns for word in pattern.folded]
+        text = f"transform(array({FOLDED}), t -> {sql_any('t', words)})[0] AND ({text})"
     return lambda: F.expr(text)
 
 
