@@ -61,3 +61,12 @@ def let(value: Column, body) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+BROADCAST_IDS = 2_000_000
+
+
+def checked_broadcast(ids: DataFrame) -> DataFrame:
+    """A saved one-column table of ids, broadcast if there are at most ``BROADCAST_IDS`` (some 16 MB), else as it is."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

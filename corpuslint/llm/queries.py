@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, rans
+from . import decontaminate, langid, near_dup, packing, rans, resharding, rule_ensemble, secrets, url_filter, weak_rules
 from .common import fresh_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,83 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rans.write(table(spark, sf_dir, "documents"), folder, vocabulary(), parts)
     return rans.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), similarity_percent=85)
+
+
+@query
+def op2_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.rate_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rule_ensemble.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLE["op10_url_filter"] = f"""
+WITH rules(rule_host, rule_path, action) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+cut AS (
+  SELECT page_id, coalesce(position('://' IN url), 0) AS at,
+         substr(url, position('://' IN url) + 3) AS rest FROM pages),
+parts AS (
+  SELECT page_id, CASE WHEN at > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN at > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut),
+urls AS (SELECT DISTINCT host, path FROM parts),
+best AS (
+  SELECT host, path, max_by(struct_pack(r := rule_host || rule_path, a := action),
+                            length(rule_host) + length(rule_path)) AS b
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY ALL)
+SELECT page_id, host, path, b.r AS rule, coalesce(b.a, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (host, path)"""
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "item_ids")
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.findings(table(spark, sf_dir, "documents"), model)
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
+@query
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy")
+
+
+@query
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The old layout is one by source, which a large source makes uneven.
+    docs = table(spark, sf_dir, "documents").withColumn("source_shard", F.pmod(F.xxhash64("source"), F.lit(12)).cast("int"))
+    made = resharding.plan(docs, "source_shard", 16)
+    folder = fresh_folder(spark, "shards")
+    resharding.rewrite(docs, "source_shard", made, folder)
+    text = F.coalesce("text", F.lit(""))
+    return resharding.reread(spark, docs, "source_shard", made, folder).select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
