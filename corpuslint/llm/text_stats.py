@@ -8,7 +8,7 @@ from .common import SPACES, let, words
 
 COUNTS = [
     "n_chars_text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words",
-    "n_upper", "n_digits", "n_bangs", "n_stops", "n_same_neighbour", "n_long_words",
+    "n_upper", "n_digits", "n_bangs", "n_stops", "n_same_neighbour", "n_long_words", "n_letters",
 ]
 
 
@@ -65,6 +65,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         "n_repeat_words": repeated_words(parts),
         "n_distinct_words": F.size(F.array_distinct(parts)),
         "n_upper": _without(text, r"\P{Lu}+"),
+        "n_letters": _without(text, r"\P{L}+"),
         "n_digits": _without(text, "[^0-9]+"),
         "n_bangs": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
         "n_stops": F.length(text) - F.length(F.replace(text, F.lit("."), F.lit(""))),

@@ -36,7 +36,8 @@ def grow(codes: np.ndarray, cuts: list[np.ndarray], target: np.ndarray, weight:
         n = np.bincount(codes[:, j], minlength=size).cumsum()[:-1]
         t = np.bincount(codes[:, j], target, size).cumsum()[:-1]
         w = np.bincount(codes[:, j], weight, size).cumsum()[:-1]
-        gain = t**2 / (w + ridge) + (total - t) ** 2 / (mass - w + ridge) - total**2 / (mass + ridge)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = t**2 / (w + ridge) + (total - t) ** 2 / (mass - w + ridge) - total**2 / (mass + ridge)
         gain[(n < least) | (len(target) - n < least)] = -np.inf
         k = int(gain.argmax())
         if gain[k] > best:

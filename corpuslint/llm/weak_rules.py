@@ -1,11 +1,11 @@
 """Quality by weak supervision: rules vote or abstain, and a fitted model weighs the votes.
 
-Each rule looks at one statistic and votes good (1), bad (-1) or abstains (0). Only the numbers of documents per
-pattern of votes leave the cluster (at most 3**7 rows, whatever the input). Expectation-maximisation on them estimates
-the share of good documents and, per rule and true class, how often it votes either way or abstains. The posterior
-probability of good is then a sum of log-likelihood ratios, compiled into a column.
+Each rule looks at statistics of the text and either votes (bad for most rules, good for some) or abstains. Only the
+numbers of documents per pattern of votes leave the cluster (at most 2**len(RULES) rows, whatever the input).
+Expectation-maximisation on them estimates the share of good documents and every rule's accuracy, the share of its votes
+that are right; to abstain says nothing. The posterior probability of good is a sum of log-odds, compiled into a column.
 
-Null and empty texts have no words: all counts are 0, every rule abstains. Repeated rows and null ``doc_id`` are kept
+Null and empty texts have no words: all counts are 0 and every rule abstains. Repeated rows and null ``doc_id`` are kept
 as they are; other columns are not read; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -18,78 +18,75 @@ from .common import checkpointed
 from .text_stats import share, with_statistics
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Rule: statistic, votes good up to, votes bad from (with less words than ``LEAST_WORDS`` every rule abstains).
+LEAST_WORDS = 5
+#: Rule: vote (1 good, -1 bad), condition. With fewer than ``LEAST_WORDS`` words all abstain.
 RULES = {
-    "symbols": (share("n_symbols", "word_chars"), 0.02, 0.08),
-    "duplicate_lines": (share("n_dup_lines", "n_lines"), 0.1, 0.3),
-    "repeated_words": (share("n_repeat_words", "n_words"), 0.2, 0.5),
-    "few_distinct_words": ("1 - " + share("n_distinct_words", "n_words"), 0.6, 0.85),
-    "capitals": (share("n_upper", "word_chars"), 0.15, 0.4),
-    "exclamation": (share("n_bangs", "n_words"), 0.1, 0.5),
-    "same_neighbours": (share("n_same_neighbour", "n_words"), 0.05, 0.2),
+    "symbols": (-1, f"{share('n_symbols', 'word_chars')} >= 0.08"),
+    "few_letters": (-1, f"{share('n_letters', 'word_chars')} <= 0.85"),
+    "duplicate_lines": (-1, f"{share('n_dup_lines', 'n_lines')} >= 0.3"),
+    "repeated_words": (-1, f"{share('n_repeat_words', 'n_words')} >= 0.5"),
+    "few_distinct_words": (-1, f"{share('n_distinct_words', 'n_words')} <= 0.15"),
+    "capitals": (-1, f"{share('n_upper', 'word_chars')} >= 0.4"),
+    "exclamation": (-1, f"{share('n_bangs', 'n_words')} >= 0.5"),
+    "same_neighbours": (-1, f"{share('n_same_neighbour', 'n_words')} >= 0.2"),
+    "prose": (1, f"{share('n_letters', 'word_chars')} >= 0.9 AND {share('n_stops', 'n_words')} BETWEEN 0.01 AND 0.5"),
 }
-LEAST_WORDS = 5
-CLASSES = (1, -1)
-#: Probability of a vote (second) in a class (first).
-START = {(1, 1): 0.85, (1, 0): 0.13, (1, -1): 0.02, (-1, 1): 0.4, (-1, 0): 0.2, (-1, -1): 0.4}
+#: Where accuracies start, and what they hold on to with the weight of as many votes as a rule has cast: a rule that
+#: seldom meets another would else be judged by its few conflicts alone.
+START = {1: 0.95, -1: 0.9}
 
 
 def votes() -> dict[str, Column]:
     enough = F.col("n_words") >= LEAST_WORDS
-    return {
-        name: F.when(enough & (F.expr(value) <= good), 1).when(enough & (F.expr(value) >= bad), -1).otherwise(0)
-        for name, (value, good, bad) in RULES.items()
-    }
-
-
-def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, list[dict]]:
-    """Share of good and, per rule, {(class, vote): probability}, by expectation-maximisation.
-
-    ``START`` is where it begins and, with the weight of one document in a hundred, what it holds on to: a good document
-    seldom breaks a rule, a bad one breaks some rules, not all."""
-    total = sum(patterns.values())
-    if not total:
-        patterns, total = {(0,) * len(RULES): 1}, 1
-    strength = max(1.0, total / 100)
-    prior, rates = 0.9, [dict(START) for _ in RULES]
-    for _ in range(rounds):
-        mass = dict.fromkeys(CLASSES, 0.0)
-        seen = [{key: strength * rate for key, rate in START.items()} for _ in RULES]
+    return {name: F.when(enough & F.expr(test), vote).otherwise(0) for name, (vote, test) in RULES.items()}
+
+
+def weights(prior: float, accuracy: list[float]) -> list[float]:
+    """Log-odds of good that each rule's vote adds: with one vote alone, its accuracy is the posterior of its class."""
+    base = math.log(prior / (1 - prior))
+    return [
+        vote * math.log(a / (1 - a)) - base for (vote, _), a in zip(RULES.values(), accuracy, strict=True)
+    ]
+
+
+def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, list[float]]:
+    """Share of good and every rule's accuracy, by expectation-maximisation over patterns of votes."""
+    start = [START[vote] for vote, _ in RULES.values()]
+    prior, accuracy, total = 0.8, list(start), sum(patterns.values())
+    for _ in range(rounds if total else 0):
+        good, right, cast = 0.0, [0.0] * len(start), [0] * len(start)
+        base, adds = math.log(prior / (1 - prior)), weights(prior, accuracy)
         for pattern, n in patterns.items():
-            logs = [
-                math.log(prior if c == 1 else 1 - prior) + sum(math.log(rates[k][c, v]) for k, v in enumerate(pattern))
-                for c in CLASSES
-            ]
-            top = max(logs)
-            parts = [math.exp(x - top) for x in logs]
-            for c, part in zip(CLASSES, parts, strict=True):
-                amount = n * part / sum(parts)
-                mass[c] += amount
-                for k, v in enumerate(pattern):
-                    seen[k][c, v] += amount
-        rates = [{(c, v): s[c, v] / sum(s[c, w] for w in (1, 0, -1)) for c, v in s} for s in seen]
-        prior = min(0.99, max(0.01, (mass[1] + strength / 2) / (total + strength)))
-    return prior, rates
-
-
-def posterior(prior: float, rates: list[dict]) -> Column:
+            score = base + sum(w for w, vote in zip(adds, pattern, strict=True) if vote)
+            p = 1 / (1 + math.exp(-score))
+            good += n * p
+            for k, vote in enumerate(pattern):
+                if vote:
+                    cast[k] += n
+                    right[k] += n * (p if vote == 1 else 1 - p)
+        accuracy = [
+            min(0.99, max(0.51, (r + s * (1 + c)) / (1 + 2 * c)))
+            for r, c, s in zip(right, cast, start, strict=True)
+        ]
+        prior = min(0.95, max(0.5, good / total))
+    return prior, accuracy
+
+
+def posterior(prior: float, accuracy: list[float]) -> Column:
     """Probability of good from the vote columns."""
     score = F.lit(math.log(prior / (1 - prior)))
-    for name, rate in zip(RULES, rates, strict=True):
-        weight = {v: math.log(rate[1, v] / rate[-1, v]) for v in (1, 0, -1)}
-        score += F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
+    for name, weight in zip(RULES, weights(prior, accuracy), strict=True):
+        score += F.when(F.col(name) != 0, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-score))
 
 
 def rate_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, quality (posterior) and every rule's vote."""
-    stats = checkpointed(
-        with_statistics(docs, "doc_id").withColumns(votes()).select("doc_id", *BASE, *RULES)
-    )
+    stats = checkpointed(with_statistics(docs, "doc_id").withColumns(votes()).select("doc_id", *BASE, *RULES))
     counts = stats.groupBy(*RULES).agg(F.count("*").alias("n")).collect()
-    prior, rates = fit({tuple(r[name] for name in RULES): r["n"] for r in counts})
+    prior, accuracy = fit({tuple(r[name] for name in RULES): r["n"] for r in counts})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumns({"base_failed": failed, "quality": posterior(prior, rates)}).select(
+    return stats.withColumns({"base_failed": failed, "quality": posterior(prior, accuracy)}).select(
         "doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("quality") >= least)).alias("kept"),
         "quality", *RULES,
     )
