@@ -68,12 +68,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op10_url_filter"] = f"""
 WITH rules(rule_host, rule_path, action) AS (VALUES {", ".join(map(repr, URL_RULES))}),
 cut AS (
-  SELECT page_id, coalesce(position('://' IN url), 0) AS at,
+  SELECT page_id, coalesce(position('://' IN url), 0) AS colon,
          substr(url, position('://' IN url) + 3) AS rest FROM pages),
 parts AS (
-  SELECT page_id, CASE WHEN at > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'),
+  SELECT page_id, CASE WHEN colon > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-         CASE WHEN at > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut),
+         CASE WHEN colon > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut),
 urls AS (SELECT DISTINCT host, path FROM parts),
 best AS (
   SELECT host, path, max_by(struct_pack(r := rule_host || rule_path, a := action),
