@@ -25,9 +25,17 @@ WHITESPACE = (
 )
 
 
-@lru_cache(maxsize=None)
+class Translated(str):
+    """A pattern that is already spelled out for the engine; nothing is derived from its text."""
+
+    groups = 0
+
+
+@lru_cache(maxsize=None, typed=True)
 def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     """Spell a pattern out for ``java.util.regex`` with Unicode classes and ``\\n`` line ends."""
+    if isinstance(pattern, Translated):
+        return str(pattern)
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]
@@ -99,13 +107,15 @@ def atomic(pattern: str) -> str:
     return f"{lead}(?>{pattern[len(lead):]})"
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=None, typed=True)
 def required_text(pattern: str) -> str:
     """The longest plain text that every match must contain, or an empty string.
 
     Only the top level counts: groups and classes end a run, a quantifier removes the
     character it applies to, and a top-level alternative means nothing is required.
     """
+    if isinstance(pattern, Translated):
+        return ""
     runs, run, depth, i = [], "", 0, 0
     while i < len(pattern):
         ch = pattern[i]

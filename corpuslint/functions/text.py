@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .patterns import WHITESPACE, atomic, java_regex, occurrences, sql_text
+from .patterns import WHITESPACE, Translated, atomic, java_regex, occurrences, sql_text
 
 MARK = "\x01"
 
@@ -96,7 +96,7 @@ def match_table_sql(
     texts. ``ahead`` is an optional look-ahead behind the pattern. Its groups continue the
     numbering and need one search each; the atomic group keeps it from moving a match end.
     """
-    inner = re.compile(pattern).groups
+    inner = pattern.groups if isinstance(pattern, Translated) else re.compile(pattern).groups
     whole = atomic(pattern) + ahead if ahead else pattern
     regex = sql_text(java_regex(whole, **flags))
     own = sql_text(java_regex(f"\\A(?:{pattern})\\z", **flags))

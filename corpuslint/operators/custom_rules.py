@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions.text import bind, with_lines
+from ..functions.user_patterns import user_regex
 from ..packs.catalog import Check
 from ..packs.probes import Pattern
 from ..sources.rules import active_rules, engine_problems, pattern_problem
@@ -47,7 +48,7 @@ def _probe(ordinal: int, rule: Row, problem: str | None) -> Probe:
     if problem is not None:
         return Probe(rule.rule_id, "custom", lambda: F.lit(True),
                      lambda: F.array(hit(ordinal)), suffixes)
-    pattern = Pattern(rule.pattern)
+    pattern = Pattern(user_regex(rule.pattern))
     return Probe(rule.rule_id, "custom", pattern_gate([pattern]),
                  lambda: each_match(ordinal, pattern, (0,), what="m.g0"), suffixes, True)
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from ..functions.patterns import java_regex
+from ..functions.user_patterns import Unsupported, user_regex
 from ..schemas import CATEGORIES, RULE, SEVERITIES
 
 RULES_PER_PASS = 200
@@ -139,8 +139,8 @@ def active_rules(rules: DataFrame) -> Iterator[list[Row]]:
 def pattern_problem(pattern: str) -> str | None:
     """Why a user pattern does not compile, or None."""
     try:
-        re.compile(pattern)
-    except re.error as error:
+        user_regex(pattern)
+    except (re.error, Unsupported) as error:
         return str(error)
     return None
 
@@ -151,7 +151,7 @@ def engine_problems(spark: SparkSession, patterns: list[str]) -> dict[str, str]:
         return {}
     try:
         spark.range(1).select(*[
-            F.regexp_like(F.lit(""), F.lit(java_regex(p))).alias(f"p{i}")
+            F.regexp_like(F.lit(""), F.lit(str(user_regex(p)))).alias(f"p{i}")
             for i, p in enumerate(patterns)
         ]).collect()
         return {}
