@@ -27,10 +27,11 @@ def by_category(findings: DataFrame) -> DataFrame:
 
 
 def by_severity_and_category(findings: DataFrame) -> DataFrame:
-    """Both histograms and the total in one pass."""
+    """Both histograms and the total: counts per pair first (a few dozen rows), then sums of those."""
     severity, category = F.col("severity"), F.col("category")
-    return findings.groupingSets([[severity], [category], []], severity, category).agg(
-        F.grouping_id().alias("level"), F.count("*").alias("issues")
+    pairs = findings.groupBy(severity, category).agg(F.count("*").alias("n"))
+    return pairs.groupingSets([[severity], [category], []], severity, category).agg(
+        F.grouping_id().alias("level"), F.sum("n").alias("issues")
     )
 
 
@@ -177,14 +178,21 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("severity_rank", "path", "line_number", "check_id")
 
 
+def serious(findings: DataFrame) -> DataFrame:
+    """Critical and high findings with the columns that ``key_issues`` shows."""
+    shown = ["severity_rank", "path", "line_number", "check_id", "message", "check_name", "severity"]
+    return findings.where(F.col("severity_rank") <= 1).select(*shown)
+
+
 def key_issues(findings: DataFrame, limit: int = 5) -> DataFrame:
     """The first critical and high findings with the size of the whole group. The total
-    is a scalar subquery, and the ordered limit keeps only a few rows per task."""
-    serious = findings.where(F.col("severity_rank") <= 1)
-    total = serious.agg(F.count("*").alias("total")).scalar()
+    is a scalar subquery, and the ordered limit keeps only a few rows per task. Both read ``findings``, so give a saved
+    table (``Audit.key_issues`` does)."""
+    found = serious(findings)
+    total = found.agg(F.count("*").alias("total")).scalar()
     order = ["severity_rank", "path", "line_number", "check_id", "message"]
     return (
-        serious.select(*order, "check_name", "severity").orderBy(*order).limit(limit)
+        found.select(*order, "check_name", "severity").orderBy(*order).limit(limit)
         .withColumn("total", total)
         .withColumn("remaining", F.greatest(F.col("total") - limit, F.lit(0)))
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import SparkContext
@@ -15,11 +17,12 @@ from ..operators import (
 )
 from ..operators.custom_rules import rule_findings
 from ..operators.probe import (
-    Probe, all_hits, catalog_array, check_name, flatten_findings, flatten_hits, to_finding,
+    FINDING_COLUMNS, Probe, all_hits, catalog_array, check_name, flatten_findings, flatten_hits, to_finding,
 )
 from ..packs.probes import MAX_FUNCTION_LINES, MAX_LINE_LENGTH, SUFFIXES
 from ..schemas import FINDING, SEVERITIES
-from ..sources.files import scan, scan_paths, spread
+from ..sources.files import scan, scan_paths
+from .storage import saved, shared_folder
 
 # Analyzer → (name, description, category).
 ANALYZERS = {
@@ -31,22 +34,46 @@ ANALYZERS = {
     "skills": ("技能识别分析器", "识别代码中使用的技术栈、框架、库和开发技能", "professional"),
     "java": ("Java/Maven技能分析器", "识别Java项目和Maven配置中的专业技能、技术栈和最佳实践", "professional"),
 }
+EXTRA_FINDING_COLUMNS = ["file_id", "path", *FINDING_COLUMNS, "severity_rank"]
 LANGUAGES = ("Python", "JavaScript", "TypeScript", "Java", "Go", "Rust", "C", "C++")
 
-# Extension points: more checks over file rows, and whole tables of findings or skills.
-EXTRA_PROBES: dict[str, Callable[[], list[Probe]]] = {}
-EXTRA_FINDINGS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-EXTRA_SKILLS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+@dataclass(frozen=True)
+class Extension:
+    """An added analyzer: what makes its rows, which files it sees (none given: all) and what the catalog says."""
 
+    make: Callable
+    suffixes: tuple[str, ...] = ()
+    title: str = ""
+    description: str = ""
+    category: str = "professional"
 
-def register_findings(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    def rows(self, files: DataFrame) -> DataFrame:
+        return self.make(files.where(F.col("ext").isin(*self.suffixes)) if self.suffixes else files)
+
+
+# Extension points by analyzer name: more checks over file rows, and whole tables of findings or skills.
+EXTRA_PROBES: dict[str, Extension] = {}
+EXTRA_FINDINGS: dict[str, Extension] = {}
+EXTRA_SKILLS: dict[str, Extension] = {}
+
+
+def register_probes(name: str, make: Callable[[], list[Probe]], **about) -> None:
+    """Add checks that run inside the pass over the files; their suffixes are their own."""
+    EXTRA_PROBES[name] = Extension(make, **about)
+
+
+def register_findings(name: str, make: Callable[[DataFrame], DataFrame], suffixes: tuple[str, ...] = (), **about) -> None:
     """Add an analyzer that maps the file table to a findings table."""
-    EXTRA_FINDINGS[name] = make
+    EXTRA_FINDINGS[name] = Extension(make, tuple(suffixes), **about)
 
 
-def register_skills(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+def register_skills(name: str, make: Callable[[DataFrame], DataFrame], suffixes: tuple[str, ...] = (), **about) -> None:
     """Add a source of skill rows."""
-    EXTRA_SKILLS[name] = make
+    EXTRA_SKILLS[name] = Extension(make, tuple(suffixes), **about)
+
+
+def extensions() -> dict[str, Extension]:
+    return EXTRA_PROBES | EXTRA_SKILLS | EXTRA_FINDINGS
 
 
 def python_analyzer(check: Callable) -> Callable[[DataFrame], DataFrame]:
@@ -59,14 +86,15 @@ def python_analyzer(check: Callable) -> Callable[[DataFrame], DataFrame]:
 
     def run(batches):
         for batch in batches:
-            rows = [
-                {"file_id": file_id, "path": path, "line_number": 0, "snippet": "",
-                 "suggestion": "", "rule_id": "", "severity": "info",
-                 "category": "professional", **found}
-                for file_id, path, text in zip(batch["file_id"], batch["path"], batch["content"])
-                for found in check(path, text)
-            ]
-            yield pd.DataFrame(rows, columns=columns)
+            for file_id, path, text in zip(batch["file_id"], batch["path"], batch["content"]):
+                rows = [
+                    {"file_id": file_id, "path": path, "line_number": 0, "snippet": "",
+                     "suggestion": "", "rule_id": "", "severity": "info",
+                     "category": "professional", **found}
+                    for found in check(path, text)
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     schema = ", ".join(f"{c} {'INT' if c == 'line_number' else 'STRING'}" for c in columns)
 
@@ -86,26 +114,21 @@ def python_analyzer(check: Callable) -> Callable[[DataFrame], DataFrame]:
 def analyzer_catalog(spark: SparkSession) -> DataFrame:
     """``analyzer, name, description, category, suffixes``."""
     rows = [(key, *texts, list(SUFFIXES.get(key, ()))) for key, texts in ANALYZERS.items()]
+    rows += [(key, e.title or key, e.description, e.category, list(e.suffixes)) for key, e in extensions().items()]
     return spark.createDataFrame(
         rows, "analyzer STRING, name STRING, description STRING, category STRING, suffixes ARRAY<STRING>"
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; never a local temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir or pass a path on shared storage")
-    return folder.rstrip("/")
-
-
 def chosen_analyzers(enabled: str | list[str] = "all") -> list[str]:
     names = [enabled] if isinstance(enabled, str) else list(enabled)
-    return list(ANALYZERS) if "all" in names else [name for name in ANALYZERS if name in names]
+    known = [*ANALYZERS, *extensions()]
+    return known if "all" in names else [name for name in known if name in names]
 
 
-# Column expressions do not depend on the data, so equal audits share them.
-_BUILT: dict[tuple, tuple[Column, Column]] = {}
+# Column expressions do not depend on the data, so equal audits share the last few. The key holds the callables, so
+# none of them can be taken for another.
+_BUILT: OrderedDict[tuple, tuple[Column, Column]] = OrderedDict()
 
 
 class Audit:
@@ -134,6 +157,7 @@ class Audit:
         self.limits = {"QUAL001": max_line_length, "QUAL002": max_function_lines}
         self.project = project
         self._stored: DataFrame | None = None
+        self._stored_extra: dict[str, DataFrame] = {}
         self._rule_findings: Column | None = None
 
     def probes(self) -> list[Probe]:
@@ -146,7 +170,10 @@ class Audit:
             "java": java.probes,
         }
         chosen = [probe for name, make in made.items() if name in self.analyzers for probe in make()]
-        return chosen + [probe for make in EXTRA_PROBES.values() for probe in make()]
+        return chosen + [probe for extra in self._active(EXTRA_PROBES) for probe in extra.make()]
+
+    def _active(self, registered: dict[str, Extension]) -> list[Extension]:
+        return [extra for name, extra in registered.items() if name in self.analyzers]
 
     def _skills(self) -> Column:
         parts = []
@@ -175,13 +202,15 @@ class Audit:
 
     def _columns(self) -> tuple[Column, Column]:
         """Hits and skills of one file row."""
-        engine = id(getattr(SparkContext, "_gateway", None))
-        key = (engine, *self.analyzers, *self.limits.values(), *map(id, EXTRA_PROBES.values()))
+        gateway = SparkContext._gateway
+        key = (gateway, *self.analyzers, *self.limits.values(), *self._active(EXTRA_PROBES))
         if key not in _BUILT:
             hits = all_hits(self.probes())
             if "skills" in self.analyzers:
                 hits = F.concat(hits, skills.trait_hits())
             _BUILT[key] = (hits, self._skills())
+            if len(_BUILT) > 8:
+                _BUILT.popitem(last=False)
         return _BUILT[key]
 
     def save(self, path: str | None = None) -> "Audit":
@@ -190,18 +219,45 @@ class Audit:
         Without a path it goes below the shared folder that the session names."""
         if path is None:
             path = f"{shared_folder(self.files.sparkSession)}/audit-{uuid.uuid4().hex}"
-        self.file_results().write.mode("overwrite").parquet(path)
-        self._stored = self.files.sparkSession.read.parquet(path)
+        spark = self.files.sparkSession
+        tables = {"": self.file_results(), **{f"-{kind}": made for kind, made in self._extra_tables().items()}}
+        for ending, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path.rstrip('/')}{ending}")
+        self._stored_extra = {
+            ending[1:]: spark.read.parquet(f"{path.rstrip('/')}{ending}") for ending in tables if ending
+        }
+        self._stored = spark.read.parquet(path)
         return self
 
+    def is_saved(self) -> bool:
+        return self._stored is not None
+
     def _entries(self) -> Column:
         return catalog_array(limits=self.limits)
 
     def _kept(self, found: DataFrame) -> DataFrame:
         return rollups.at_least(found, self.min_severity) if self.min_severity else found
 
+    def _extra_tables(self) -> dict[str, DataFrame]:
+        """Rows of the active extensions, by kind; a kind without any is left out."""
+        if self._stored is not None:
+            return self._stored_extra
+        kinds = {"findings": (EXTRA_FINDINGS, EXTRA_FINDING_COLUMNS), "skills": (EXTRA_SKILLS, None)}
+        made = {}
+        for kind, (registered, columns) in kinds.items():
+            rows = [extra.rows(self.files) for extra in self._active(registered)]
+            rows = [r.select(*columns) for r in rows] if columns else rows
+            if rows:
+                made[kind] = reduce(DataFrame.unionByName, rows)
+        return made
+
     def _extension_findings(self, columns: list[str]) -> list[DataFrame]:
-        return [make(self.files).select(*columns) for make in EXTRA_FINDINGS.values()]
+        made = self._extra_tables()
+        return [made["findings"].select(*columns)] if "findings" in made else []
+
+    def _extension_skills(self) -> list[DataFrame]:
+        made = self._extra_tables()
+        return [made["skills"]] if "skills" in made else []
 
     def findings(self) -> DataFrame:
         """One row per finding, with the rule and extension findings."""
@@ -212,14 +268,33 @@ class Audit:
         parts += self._extension_findings(parts[0].columns)
         return self._kept(reduce(DataFrame.unionByName, parts))
 
+    def ordered_findings(self) -> DataFrame:
+        """Findings in report order. They are saved first, as the sort reads its input twice."""
+        return rollups.ordered(saved(self.findings()))
+
+    def key_issues(self, limit: int = 5) -> DataFrame:
+        """First critical and high findings; see ``rollups.key_issues``. The serious ones are saved once."""
+        return rollups.key_issues(saved(rollups.serious(self.findings())), limit)
+
+    def top_skills(self, limit: int = 10) -> DataFrame:
+        return rollups.top_skills(saved(self.unique_skills()), limit)
+
     def findings_by_file(self) -> DataFrame:
         """``path, findings``: every file once, clean files with an empty array. Findings
         never leave their row, so a file with many of them needs no grouping."""
         rows = self.file_results().select(
-            "path", "hits", "rule_findings", self._entries().alias("entries")
+            "file_id", "path", "hits", "rule_findings", self._entries().alias("entries")
         )
         built_in = F.transform("hits", lambda h: to_finding(h, F.get(F.col("entries"), h["check"])))
-        found = F.concat(built_in.cast(f"ARRAY<{FINDING}>"), F.col("rule_findings"))
+        parts = [built_in.cast(f"ARRAY<{FINDING}>"), F.col("rule_findings")]
+        for extra in self._extension_findings(EXTRA_FINDING_COLUMNS):
+            # Only extensions make a table of their own; theirs are joined by file.
+            listed = extra.groupBy("file_id").agg(
+                F.collect_list(F.struct(*FINDING_COLUMNS).cast(FINDING)).alias("extension_findings")
+            )
+            rows = rows.join(listed, "file_id", "left")
+            parts.append(F.coalesce("extension_findings", F.expr(f"CAST(array() AS ARRAY<{FINDING}>)")))
+        found = F.concat(*parts)
         if self.min_severity:
             last = SEVERITIES.index(self.min_severity) + 1
             found = F.filter(found, lambda f: f["severity"].isin(*SEVERITIES[:last]))
@@ -227,7 +302,7 @@ class Audit:
 
     def skills(self) -> DataFrame:
         parts = [skills.explode_skills(self.file_results())]
-        parts += [make(self.files).select(*parts[0].columns) for make in EXTRA_SKILLS.values()]
+        parts += [extra.select(*parts[0].columns) for extra in self._extension_skills()]
         return reduce(DataFrame.unionByName, parts)
 
     def unique_skills(self, keys: tuple[str, ...] = ("name", "category")) -> DataFrame:
@@ -260,7 +335,7 @@ class Audit:
         counted += [
             rollups.finding_totals(self._kept(extra)) for extra in self._extension_findings(needed)
         ]
-        counted += [rollups.skill_totals(make(self.files)) for make in EXTRA_SKILLS.values()]
+        counted += [rollups.skill_totals(extra) for extra in self._extension_skills()]
         return rollups.add_up(*counted) if len(counted) > 1 else counted[0]
 
     def summary(self) -> DataFrame:
@@ -273,9 +348,9 @@ class Audit:
 def audit_path(spark: SparkSession, path: str, recursive: bool = True, **options) -> Audit:
     """Audit one file or directory."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    return Audit(spread(scan(spark, path, recursive)), project=name, **options)
+    return Audit(scan(spark, path, recursive), project=name, **options)
 
 
 def audit_paths(spark: SparkSession, paths: list[str], **options) -> Audit:
     """Audit several files or directories, every file once."""
-    return Audit(spread(scan_paths(spark, paths)), **options)
+    return Audit(scan_paths(spark, paths), **options)

@@ -26,7 +26,10 @@ def as_json(table: DataFrame) -> DataFrame:
 
 def write_report(audit: Audit, path: str) -> None:
     """Write summary, recommendations, skills, findings and findings by file. Each part is
-    a folder of JSON lines written by its own tasks; nothing passes through the driver."""
+    a folder of JSON lines written by its own tasks; nothing passes through the driver. The audit is saved first (in
+    ``audit`` next to the parts, unless the caller saved it), so its files are read once."""
+    if not audit.is_saved():
+        audit.save(f"{path}/audit")
     head = audit.summary().withColumn("audit_date", F.current_timestamp())
     parts = {
         "summary": head,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .raw import exists, raw_files
+
 # What a scan reads and which directories it leaves out.
 SCAN_SUFFIXES = (
     ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", ".rs", ".c", ".cpp", ".h",
@@ -25,9 +25,16 @@ def suffix(path: Column) -> Column:
 
 
 def decode(raw: Column) -> Column:
-    """UTF-8 text without the undecodable bytes."""
+    """UTF-8 text without the undecodable bytes; a U+FFFD that the file itself holds stays.
+
+    Undecodable bytes turn into U+FFFD, so before that the genuine ones are written as U+FFFE and 1, and U+FFFE as
+    U+FFFE and 0, byte by byte."""
     text = raw.cast("string")
-    repaired = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+    single = F.decode(raw, "ISO-8859-1")
+    escaped = F.replace(F.replace(single, F.lit("ï¿¾"), F.lit("ï¿¾0")), F.lit("ï¿½"), F.lit("ï¿¾1"))
+    valid = F.make_valid_utf8(F.encode(escaped, "ISO-8859-1").cast("string"))
+    dropped = F.replace(valid, F.lit("\ufffd"), F.lit(""))
+    repaired = F.replace(F.replace(dropped, F.lit("\ufffe1"), F.lit("\ufffd")), F.lit("\ufffe0"), F.lit("\ufffe"))
     return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 
@@ -66,6 +73,11 @@ def outside_directories(files: DataFrame, root: str = "", excluded=EXCLUDED_DIRE
     return files.where(~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in excluded])))
 
 
+def _decoded(raw: DataFrame, suffixes) -> DataFrame:
+    files = files_from_table(raw.where("error IS NULL"), F.col("path"), decode(F.col("content")))
+    return supported(files, suffixes)
+
+
 def scan(
     spark: SparkSession,
     root: str,
@@ -73,50 +85,27 @@ def scan(
     suffixes=SCAN_SUFFIXES,
     excluded=EXCLUDED_DIRECTORIES,
 ) -> DataFrame:
-    """Files of one directory, or a single file. The suffix test runs on the listing, so
-    files of other kinds are never opened."""
-    glob = "*.{" + ",".join(sorted({s.lstrip(".") for s in suffixes} | {
-        s.lstrip(".").upper() for s in suffixes})) + "}"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    files = files_from_table(raw, F.regexp_replace("path", r"^file:(//)?(?=/)", ""),
-                             decode(F.col("content")))
-    files = supported(files, suffixes)
-    return outside_directories(files, root.rstrip("/"), excluded) if recursive else files
-
+    """Files of one directory, or a single file, whatever their names. Files of other kinds are never opened."""
+    if not exists(root):
+        raise FileNotFoundError(root)
+    return scan_paths(spark, [root], recursive, suffixes, excluded)
 
-def disjoint_roots(paths: list[str], excluded=EXCLUDED_DIRECTORIES) -> list[str]:
-    """Drop repeated paths and paths that the scan of another one reads anyway. A path
-    below an excluded directory of another root is not read there, so it stays."""
-    roots = list(dict.fromkeys(path.rstrip("/") for path in paths))
 
-    def covered(path: str) -> bool:
-        for root in roots:
-            if path.startswith(root + "/"):
-                between = path[len(root) + 1 :].split("/")[:-1]
-                name = path.rsplit("/", 1)[-1]
-                if not set([*between, name]) & set(excluded):
-                    return True
-        return False
-
-    return [path for path in roots if not covered(path)]
+def scan_paths(
+    spark: SparkSession, paths: list[str], recursive: bool = True, suffixes=SCAN_SUFFIXES,
+    excluded=EXCLUDED_DIRECTORIES,
+) -> DataFrame:
+    """Any number of files or directories in one scan, every file once. See ``scan_errors`` for those left out."""
+    return _decoded(raw_files(spark, paths, recursive, tuple(suffixes), tuple(excluded)), suffixes)
 
 
-def scan_paths(
+def scan_errors(
     spark: SparkSession, paths: list[str], recursive: bool = True, suffixes=SCAN_SUFFIXES,
     excluded=EXCLUDED_DIRECTORIES,
 ) -> DataFrame:
-    """Several files or directories, every file once. Overlapping roots are removed from
-    the list beforehand, so the files themselves need no shuffle to become unique."""
-    roots = disjoint_roots(paths, excluded) if recursive else list(dict.fromkeys(paths))
-    found = reduce(DataFrame.unionByName, [
-        scan(spark, root, recursive, suffixes, excluded) for root in roots
-    ])
-    return found if recursive else found.dropDuplicates(["path"])
+    """``path, error`` of what a scan of the same paths cannot read: missing, unreadable or too large for one cell."""
+    raw = raw_files(spark, paths, recursive, tuple(suffixes), tuple(excluded))
+    return raw.where("error IS NOT NULL").select("path", "error")
 
 
 def only_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
@@ -139,15 +128,10 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def spread(files: DataFrame, at_least: int | None = None) -> DataFrame:
-    """Checks are far heavier than reading, so a scan with fewer splits than the cluster
-    has cores is spread by file id first. Large scans have more splits and stay as they
-    are, without a shuffle."""
-    spark = files.sparkSession
-    wanted = at_least or spark.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= wanted:
-        return files
-    return files.repartition(wanted, "file_id")
+def spread(files: DataFrame) -> DataFrame:
+    """Deal a table of files out by file id, always: checks are far heavier than reading, and a table file of any size
+    may be a single split. Scans are dealt out by path already and need no more."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "file_id")
 
 
 # Ending → language.

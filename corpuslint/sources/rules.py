@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions.user_patterns import Unsupported, user_regex
 from ..schemas import CATEGORIES, RULE, SEVERITIES
+from .files import decode
+from .raw import raw_files
 
 RULES_PER_PASS = 200
 _TEXT_FIELDS = (
@@ -63,45 +63,37 @@ def parse_rules(documents: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def _documents(spark: SparkSession, paths: list[str], recursive: bool | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
-    if recursive is not None:
-        reader = reader.option("recursiveFileLookup", str(recursive).lower()).option(
-            "pathGlobFilter", "*.json"
-        )
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+def _documents(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """``path, value, error`` of JSON files: explicit ones of any name, or those below directories."""
+    raw = raw_files(spark, paths, recursive, (".json",), any_explicit=True)
+    return raw.select("path", decode(F.col("content")).alias("value"), "error")
 
 
 def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
+def _readable(documents: DataFrame) -> DataFrame:
+    return parse_rules(documents.where(F.col("error").isNull() & _is_json(F.col("value"))))
 
 
 def load_rules(spark: SparkSession, *paths: str) -> DataFrame:
     """Rules of explicit JSON files; unreadable documents show up in ``rule_errors``."""
-    documents = _documents(spark, list(paths))
-    return parse_rules(documents.where(_is_json(F.col("value"))))
+    return _readable(_documents(spark, list(paths)))
 
 
 def load_rule_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Rules of all JSON files below a directory, or only of its top level."""
-    documents = _documents(spark, [path], recursive)
-    return parse_rules(documents.where(_is_json(F.col("value"))))
-
-
-def rule_errors(spark: SparkSession, *paths: str) -> DataFrame:
-    """``path, error`` for files that are missing or hold no JSON."""
-    schema = "path STRING, error STRING"
-    parts = []
-    for path in paths:
-        try:
-            documents = _documents(spark, [path])
-        except AnalysisException:
-            parts.append(spark.createDataFrame([(path, f"规则文件不存在: {path}")], schema))
-            continue
-        parts.append(documents.where(~_is_json(F.col("value"))).select(
-            "path", F.lit("加载规则文件出错: JSON").alias("error")
-        ))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return _readable(_documents(spark, [path], recursive))
+
+
+def rule_errors(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
+    """``path, error`` for files that are missing or hold no JSON; of directories, their JSON files."""
+    documents = _documents(spark, list(paths), recursive)
+    missing = F.concat(F.lit("规则文件不存在: "), "path")
+    return documents.where(F.col("error").isNotNull() | ~_is_json(F.col("value"))).select(
+        "path", F.when(F.col("error").isNotNull(), missing).otherwise(F.lit("加载规则文件出错: JSON")).alias("error")
+    )
 
 
 def by_category(rules: DataFrame, category: str) -> DataFrame:

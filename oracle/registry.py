@@ -80,14 +80,19 @@ _FROM_FINDINGS = {
     "rollup_grouping_sets": rollups.by_severity_and_category,
     "min_severity": lambda found: rollups.at_least(found, "high").select(*COLUMNS),
     "findings_per_file": rollups.findings_per_file,
-    "findings_ordered": lambda found: rollups.ordered(found).select(*COLUMNS, "severity_rank"),
-    "topk_key_issues": rollups.key_issues,
 }
 for _name, _roll in _FROM_FINDINGS.items():
     register(_name, lambda spark, sf_dir, roll=_roll: roll(_audit_findings(spark, sf_dir)),
              rollup_sql.ROLLUPS[_name])
 
 
+register("findings_ordered",
+         lambda spark, sf_dir: Audit(code_files(spark, sf_dir)).ordered_findings().select(*COLUMNS, "severity_rank"),
+         rollup_sql.ROLLUPS["findings_ordered"])
+register("topk_key_issues", lambda spark, sf_dir: Audit(code_files(spark, sf_dir)).key_issues(),
+         rollup_sql.ROLLUPS["topk_key_issues"])
+
+
 def _file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Audit(code_files(spark, sf_dir)).findings_by_file()
     ids = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["check_id"])))
@@ -150,11 +155,13 @@ _FROM_SKILLS = {
     "skill_distribution": lambda rows: rollups.skill_distribution(rollups.dedup_skills(rows)),
     "skill_counts": rollups.skill_counts,
     "skill_distinct_languages": lambda rows: rollups.distinct_names(rows, "编程语言"),
-    "skill_top": lambda rows: rollups.top_skills(rollups.dedup_skills(rows)),
 }
 for _name, _roll in _FROM_SKILLS.items():
     register(_name, lambda spark, sf_dir, roll=_roll: roll(_audit_skills(spark, sf_dir)),
              rollup_sql.SKILLS[_name])
+register("skill_top",
+         lambda spark, sf_dir: Audit(code_files(spark, sf_dir), analyzers=["skills", "java"]).top_skills(),
+         rollup_sql.SKILLS["skill_top"])
 register("java_skill_counts",
          lambda spark, sf_dir: rollups.skill_counts(java.java_skill_rows(code_files(spark, sf_dir))),
          rollup_sql.SKILLS["java_skill_counts"])

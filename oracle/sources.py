@@ -14,6 +14,7 @@ from corpuslint.operators.custom_rules import (
 from corpuslint.operators.probe import run_probes
 from corpuslint.packs.catalog import FIX_LAYOUT, FIXES
 from corpuslint.packs.probes import SUFFIXES
+from corpuslint.plans import audit as audit_plan
 from corpuslint.plans.report import as_json, nested_findings
 from corpuslint.schemas import RULE
 from corpuslint.sources import files as file_source, rules as rule_source
@@ -255,6 +256,50 @@ LINE_SQL = f"""WITH {CODE_FILES}, {LINES} SELECT file_id, path, ext, CAST(n AS I
 CAST(length(line) - length(regexp_replace(line, '^[{SPACE}]+', '')) AS INT) AS indent FROM lines"""
 SUPPORTED = suffix_test(file_source.SCAN_SUFFIXES)
 
+# Rules in the dialect that users write, and the same patterns spelled plainly.
+DIALECT = {
+    "D1": (r"(?i)TODO", "[Tt][Oo][Dd][Oo]"), "D2": (r"\x65val", "eval"), "D3": ("(?x) var \\s+ total # a name", r"var\s+total"),
+    "D4": (r"[[]a", r"\[a"), "D5": (r"er{,2}or", "er{0,2}or"), "D6": (r"(?P<a_b>db)(?#note)\.query", r"db\.query"),
+    "D7": (r"\Aimport", "^import"), "D8": (r"[.]\Z", r"\.$"), "D9": (r"(?P<c_d>o)(?P<cd>m)(?!a)", "om([^a]|$)"),
+}
+
+
+def rules_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, i, "", "code_quality", "low", user, "", "", [], True, {}) for i, (user, _) in DIALECT.items()]
+    found = apply_rules(code_files(spark, sf_dir), spark.createDataFrame(rows, RULE))
+    return found.select("file_id", "path", "check_id", "line_number", F.length(F.col("metadata")["match"]).alias("matched"))
+
+
+def _dialect_sql() -> str:
+    ctes, selects = [], []
+    for rule_id, (_, pattern) in DIALECT.items():
+        size = "2" if rule_id == "D9" else f"length(regexp_extract(part, {re2(f'^(?:{pattern})')}))"
+        ctes.append(match_cte(rule_id, pattern, (".py", ".js", ".java", ".xml", ".ts", ".md", ".yml", ".properties"),
+                              extra=f", {size} AS size"))
+        selects.append(f"SELECT file_id, path, {q(rule_id)} AS check_id, CAST(n AS INTEGER) AS line_number, "
+                       f"CAST(size AS INTEGER) AS matched FROM {rule_id}")
+    return f"WITH {CODE_FILES}, {', '.join(ctes)} " + " UNION ALL ".join(selects)
+
+
+def extension_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a registered analyzer as they come back per file."""
+    def marks(files: DataFrame) -> DataFrame:
+        fixed = {"check_id": "EXT1", "check_name": "mark", "category": "professional", "severity": "low",
+                 "message": "open mark", "snippet": "", "suggestion": "", "rule_id": ""}
+        return files.where(F.col("content").contains("TODO")).select(
+            "file_id", "path", *[F.lit(v).alias(k) for k, v in fixed.items()], F.lit(0).alias("line_number"),
+            F.expr("CAST(map() AS MAP<STRING, STRING>)").alias("metadata"),
+            F.expr("CAST(array() AS ARRAY<STRING>)").alias("tags"), F.lit(3).alias("severity_rank"),
+        )
+
+    audit_plan.register_findings("marks", marks, suffixes=(".js", ".md"))
+    try:
+        rows = audit_plan.Audit(code_files(spark, sf_dir), analyzers="marks").findings_by_file()
+    finally:
+        audit_plan.EXTRA_FINDINGS.pop("marks")
+    return rows.select("path", F.explode("findings").alias("f")).select("path", "f.check_id", "f.severity", "f.message")
+
+
 REGISTERED = {
     "source_lines": (lambda s, d: file_source.explode_lines(code_files(s, d)), LINE_SQL),
     "source_supported": (
@@ -289,6 +334,11 @@ REGISTERED = {
         f"{re2(r'(?:def|class|interface)' + chr(92) + 's+(' + chr(92) + 'w+)')}, 1)) AS name FROM code_files) SELECT name, "
         + ", ".join(f"regexp_matches(name, {q(p)}) AS {c.lower()}" for c, p in NAMING.items()) + " FROM n"),
     "rules_custom": (rules_custom, _rule_sql()),
+    "rules_dialect": (rules_dialect, _dialect_sql()),
+    "extension_findings": (
+        extension_findings,
+        f"WITH {CODE_FILES} SELECT path, 'EXT1' AS check_id, 'low' AS severity, 'open mark' AS message FROM code_files "
+        "WHERE contains(content, 'TODO') AND ext IN ('.js', '.md')"),
     "rules_by_extension": (rules_by_extension, _rules_by_extension_sql()),
     "context_window": (context_window, _context_sql()),
     "report_json": (report_json, _report_sql()),

@@ -98,7 +98,7 @@ def test_save_goes_below_the_shared_folder(spark, files):
     assert all(f"{folder}/audit-" in name for name in audit.save().file_results().inputFiles())
 
 
-def test_rules_and_extensions_take_part(spark, files):
+def test_rules_and_extensions_take_part(spark, files, tmp_path):
     docs = spark.createDataFrame([('{"rule_id": "R1", "pattern": "eval", "severity": "low"}',)], "value STRING")
     audit = Audit(files, analyzers="documentation", rules=rule_source.parse_rules(docs))
     plain = Audit(files, analyzers="documentation").totals().first().total_checks
@@ -110,7 +110,13 @@ def test_rules_and_extensions_take_part(spark, files):
 
     audit_plan.register_findings("shouting", audit_plan.python_analyzer(shouting))
     try:
-        found = Audit(files, analyzers="documentation")
+        found = Audit(files, analyzers=["documentation", "shouting"])
+        flat = found.findings_by_file().selectExpr("path", "inline(findings)").select("path", "check_id", "line_number")
+        assert sorted(flat.collect()) == sorted(found.findings().select("path", "check_id", "line_number").collect())
+        found.save(f"{tmp_path}/a")
+        assert sorted(flat.collect()) == sorted(found.findings().select("path", "check_id", "line_number").collect())
+        assert Audit(files, analyzers="documentation").findings().where("check_id = 'EXT1'").count() == 0
+        assert audit_plan.analyzer_catalog(spark).where("analyzer = 'shouting'").count() == 1
         assert [r.path for r in found.findings().where("check_id = 'EXT1'").collect()] == ["p/b.py"]
         assert found.totals().first().total_checks == plain + 1
     finally:

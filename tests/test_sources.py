@@ -35,7 +35,6 @@ def test_scan(spark, project):
     assert _names(both) == ["B.JS", "a.py", "c.go"]
     inner = source.scan_paths(spark, [str(project), str(project / "src/dist"), str(project / "src")])
     assert _names(inner) == ["B.JS", "a.py", "c.go", "y.py"]
-    assert source.disjoint_roots(["/a/", "/a", "/a/b", "/ab", "/a/dist/x"]) == ["/a", "/ab", "/a/dist/x"]
     flat = source.scan_paths(spark, [str(project), str(project / "a.py")], recursive=False)
     assert _names(flat) == ["B.JS", "a.py"]
 
@@ -53,11 +52,43 @@ def test_only_paths_and_lines(spark, make_files):
     assert [(r.line_number, r.line, r.stripped, r.indent) for r in lines] == [(1, "1", "1", 0), (2, "", "", 0), (3, "  2", "2", 2)]
 
 
-def test_spread_leaves_wide_tables_alone(spark, make_files):
-    files = make_files({f"f{i}.py": "x" for i in range(20)})
-    wide = files.repartition(3)
-    assert source.spread(wide, 2) is wide
-    assert source.spread(wide, 6).rdd.getNumPartitions() == 6
+def test_scan_reads_every_name(spark, tmp_path):
+    names = ["a.py", "__init__.py", "_private.py", "B.Py", "C.PY", "_internal/x.py", ".github/y.py", ".hidden.js"]
+    for name in [*names, ".git/z.py", ".py", "build/w.py"]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1")
+    root = str(tmp_path)
+    assert sorted(r.path.removeprefix(root + "/") for r in source.scan(spark, root).collect()) == sorted(names)
+    assert _names(source.scan(spark, f"{root}/__init__.py")) == ["__init__.py"]
+    assert _names(source.scan(spark, root, recursive=False)) == sorted(n for n in names if "/" not in n)
+    with pytest.raises(FileNotFoundError):
+        source.scan(spark, f"{root}/absent")
+    errors = source.scan_errors(spark, [root, f"{root}/absent.py"]).collect()
+    assert [r.path for r in errors] == [f"{root}/absent.py"]
+
+
+def test_many_paths_are_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(3000):
+        path = tmp_path / f"d{i % 7}" / f"_f{i}.py"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(str(i))
+        paths.append(str(path))
+    found = source.scan_paths(spark, [*paths, *paths[:50], str(tmp_path)])
+    assert sorted(r.content for r in found.select("content").collect()) == sorted(map(str, range(3000)))
+
+
+def test_too_large_files_are_errors(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x" * 100)
+    (tmp_path / "b.py").write_text("x")
+    rows = {r.path[-4:]: r for r in source.raw_files(spark, [str(tmp_path)], most_bytes=50).collect()}
+    assert rows["a.py"].content is None and "50 bytes" in rows["a.py"].error and rows["b.py"].error is None
+
+
+def test_decode_keeps_genuine_marks(spark):
+    raws = [b"a\xff\xef\xbf\xbdb", b"\xef\xbf\xbd", b"\xef\xbf\xbe\xff1", b"\xe4\xef\xbf\xbd\xef\xbf", b"ok", b"\xc3\xa9\xc3"]
+    rows = spark.createDataFrame([(r,) for r in raws], "r binary").select(source.decode(F.col("r"))).collect()
+    assert [r[0] for r in rows] == [r.decode(errors="ignore") for r in raws]
 
 
 RULES = {
@@ -93,6 +124,9 @@ def test_rules(spark, rule_dir, make_files):
     assert rule_source.by_extension(rules, ".js").count() == 4
     errors = rule_source.rule_errors(spark, str(rule_dir / "broken.json"), str(rule_dir / "absent.json"))
     assert errors.count() == 2
+    (rule_dir / "_r.json").write_text('{"rule_id": "HIDDEN", "pattern": "x"}')
+    assert rule_source.load_rule_directory(spark, str(rule_dir)).where("rule_id = 'HIDDEN'").count() == 1
+    assert [r.path.rsplit("/", 1)[1] for r in rule_source.rule_errors(spark, str(rule_dir)).collect()] == ["broken.json"]
     assert rule_source.load_rules(spark, str(rule_dir / "object.json")).count() == 2
 
     files = make_files({"a.py": "print(1)\n# todo {line}", "b.js": "print(2)"})
