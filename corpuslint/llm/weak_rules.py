@@ -22,8 +22,8 @@ LEAST_WORDS = 5
 #: Rule: vote (1 good, -1 bad), condition. With fewer than ``LEAST_WORDS`` words all abstain.
 RULES = {
     "symbols": (-1, f"{share('n_symbols', 'word_chars')} >= 0.08"),
-    "few_letters": (-1, f"{share('n_letters', 'word_chars')} <= 0.85"),
-    "duplicate_lines": (-1, f"{share('n_dup_lines', 'n_lines')} >= 0.3"),
+    "few_letters": (-1, f"{share('n_letters', 'word_chars')} <= 0.8"),
+    "duplicate_lines": (-1, f"n_dup_lines >= 3 AND {share('n_dup_lines', 'n_lines')} >= 0.3"),
     "repeated_words": (-1, f"{share('n_repeat_words', 'n_words')} >= 0.5"),
     "few_distinct_words": (-1, f"{share('n_distinct_words', 'n_words')} <= 0.15"),
     "capitals": (-1, f"{share('n_upper', 'word_chars')} >= 0.4"),
