@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .patterns import WHITESPACE, Translated, atomic, java_regex, occurrences, sql_text
+from .patterns import FOLDED, WHITESPACE, Translated, atomic, java_regex, occurrences, sql_text
 
 MARK = "\x01"
 
@@ -55,8 +55,8 @@ def contains_any(column: Column, needles) -> Column:
 
 
 def with_lines(files: DataFrame) -> DataFrame:
-    """Add the ``lines`` array that the checks read."""
-    return files.withColumn("lines", split_lines(F.col("content")))
+    """Add what many checks read, once per file: the ``lines`` array and the ``folded`` text."""
+    return files.withColumns({"lines": split_lines(F.col("content")), "folded": F.expr(FOLDED)})
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

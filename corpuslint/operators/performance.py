@@ -198,26 +198,38 @@ def cacheable_functions() -> Probe:
     head = pack.Pattern(pack.PURE_FUNCTION, needles=DEF, ahead=effects)
 
     def rows() -> Column:
-        pure = F.filter(
-            match_table(head.regex, (1, 2), head.ahead), lambda m: m["g2"] == ""
-        )
+        pure = F.filter(match_table(head.regex, (1, 2), head.ahead), lambda m: m["g2"] == "")
         calls = extract(content(), r"\b(\w+)\s*\(", 1)
 
-        def counted(names: Column) -> Column:
-            return F.filter(
-                F.transform(
-                    pure,
-                    lambda m: F.struct(
-                        m["n"].alias("n"), m["g1"].alias("name"),
-                        F.size(F.filter(names, lambda c: c == m["g1"])).alias("count"),
-                    ),
-                ),
-                lambda x: x["count"] > 3,
+        def entry(name: Column, line: Column) -> Column:
+            return F.struct(name.alias("name"), line.alias("n"))
+
+        # Calls (line 0) and heads side by side in the order of names: one run per name.
+        named = F.array_sort(F.concat(
+            F.transform(calls, lambda c: entry(c, F.lit(0))),
+            F.transform(pure, lambda m: entry(m["g1"], m["n"])),
+        ))
+
+        def runs(ordered: Column) -> Column:
+            starts = F.filter(
+                F.sequence(F.lit(0), F.size(ordered) - 1),
+                lambda i: F.when(i > 0, F.get(ordered, i)["name"] != F.get(ordered, i - 1)["name"]).otherwise(True),
             )
+            return bind(starts, lambda at: F.transform(
+                at, lambda s, k: F.slice(ordered, s + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - s)
+            ))
+
+        def counted(run: Column) -> Column:
+            return bind(F.size(F.filter(run, lambda x: x["n"] == 0)), lambda count: F.when(count > 3, F.transform(
+                F.filter(run, lambda x: x["n"] > 0),
+                lambda x: F.struct(x["n"].alias("n"), x["name"].alias("name"), count.alias("count")),
+            )).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<n: INT, name: STRING, count: INT>>)")))
 
+        found = bind(named, lambda x: F.when(F.size(x) > 0, F.flatten(F.transform(runs(x), counted))).otherwise(
+            F.expr("CAST(array() AS ARRAY<STRUCT<n: INT, name: STRING, count: INT>>)")
+        ))
         return F.transform(
-            bind(calls, counted),
-            lambda x: hit(CHECKS["PERF012"], x["n"], what=x["name"], count=x["count"]),
+            F.array_sort(found), lambda x: hit(CHECKS["PERF012"], x["n"], what=x["name"], count=x["count"]),
         )
 
     return Probe("PERF012", "performance", pattern_gate([head]), rows)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.patterns import FOLDED, sql_any, sql_matches, sql_text
+from ..functions.patterns import sql_any, sql_matches, sql_text
 from ..functions.text import MATCH_LINE, match_table_sql, with_lines
 from ..packs import catalog
 from ..packs.catalog import Check
@@ -98,7 +98,7 @@ def pattern_test(pattern: Pattern, **flags: bool) -> str:
     """SQL: needle test on the bytes, then the regex."""
     tests = [sql_matches("content", pattern.regex, **flags)]
     if pattern.folded:
-        tests.insert(0, f"transform(array({FOLDED}), t -> {sql_any('t', pattern.folded)})[0]")
+        tests.insert(0, sql_any("folded", pattern.folded))
     if pattern.needles:
         tests.insert(0, sql_any("content", pattern.needles))
     return "(" + " AND ".join(tests) + ")"
@@ -111,7 +111,7 @@ def pattern_gate(patterns: Iterable[Pattern], **flags: bool) -> Callable[[], Col
     if len(patterns) > 1 and all(pattern.folded for pattern in patterns):
         # One look at the folded text settles most files for all patterns together.
         words = [word for pattern in patterns for word in pattern.folded]
-        text = f"transform(array({FOLDED}), t -> {sql_any('t', words)})[0] AND ({text})"
+        text = f"{sql_any('folded', words)} AND ({text})"
     return lambda: F.expr(text)
 
 
@@ -232,12 +232,5 @@ def all_hits(probes: Iterable[Probe]) -> Column:
 
 def run_probes(files: DataFrame, probes: Iterable[Probe], entries: Column | None = None) -> DataFrame:
     """Findings of the given probes, one row each, without any shuffle."""
-    probes = list(probes)
-    if len(probes) == 1:
-        (probe,) = probes
-        found = with_lines(files.where(probe.applies())).select(
-            "file_id", "path", probe.rows().alias("hits")
-        )
-    else:
-        found = with_lines(files).select("file_id", "path", all_hits(probes).alias("hits"))
+    found = with_lines(files).select("file_id", "path", all_hits(probes).alias("hits"))
     return flatten_hits(found, entries)
