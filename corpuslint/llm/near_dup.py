@@ -8,8 +8,10 @@ probability (1 - (1 - s**rows)**bands)**2, which is 0.9996 at 0.85 and more abov
 
 Inside a bucket the member that shares the most buckets with others is the hub. Round one confirms all members
 against their hubs and joins what is linked into components; a group of copies falls together here, in as many
-comparisons as it has members. Round two compares every pair of a bucket that still lies in different components,
-after a test on the minhashes that no pair of the wanted similarity fails (six standard deviations), and confirms it.
+comparisons as it has members. Round two takes the buckets that still hold several components. A shingle that only one
+of their documents has can be in no intersection, which bounds every similarity from above; most members of a group
+that are not linked to its hub drop out here. Every pair of a bucket in different components that the bound and the
+minhashes allow (no pair of the wanted similarity fails their test by less than six standard deviations) is confirmed.
 So no link of a bucket is lost and no group is expanded into all its pairs.
 
 Texts without words and null texts have an empty set and stay alone. Rows with null ``doc_id`` are not compared: their
@@ -132,12 +134,13 @@ def _plausible(similarity: float, hashes: int) -> Column:
     return sizes & (F.bit_count(differ) <= limit)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, similarity_percent: int, width: int) -> DataFrame:
-    """Those ``pairs`` (id, other) whose full sets are similar enough."""
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the documents ``ids``, saved."""
     spark = docs.sparkSession
     on_workers(spark)
-    ids = checked_broadcast(pairs.select("id").union(pairs.select("other")).distinct())
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids, "id")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(
+        checked_broadcast(ids.distinct()), "id"
+    )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +152,11 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity_percent: int, width
 
     folder = fresh_folder(spark, "sets")
     wanted.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"]).write.parquet(folder)
-    found = spark.read.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _confirmed(pairs: DataFrame, found: DataFrame, similarity_percent: int) -> DataFrame:
+    """Those ``pairs`` (id, other) whose full sets are similar enough."""
     # The pairs get the hubs' sets first, so the sets that travel are spread by id.
     other = found.select(F.col("id").alias("other"), F.col("set").alias("other_set"))
     shared = F.size(F.array_intersect("set", "other_set"))
@@ -189,7 +196,8 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
         stars.join(info.alias("u"), "id").join(info.withColumnRenamed("id", "other").alias("v"), "other")
         .filter(test).select("id", "other")
     )
-    links = checkpointed(_confirmed(docs, stars, similarity_percent, width))
+    sets = _sets(docs, stars.select("id").union(stars.select("other")), width)
+    links = checkpointed(_confirmed(stars, sets, similarity_percent))
     labels = components(links)
 
     held = buckets.select("key", "id").join(labels, "id", "left").select(
@@ -199,16 +207,26 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     open_keys = sizes.groupBy("key").agg(
         F.count("*").alias("parts"), F.max(F.struct("size", F.col("component").alias("c"))).alias("top")
     ).filter("parts > 1").select("key", F.col("top.c").alias("largest"))
-    rest = checkpointed(held.join(open_keys, "key").join(info, "id"))
+    rest = checkpointed(held.join(open_keys, "key"))
+    sets = _sets(docs, rest.select("id"), width)
+    # A shingle that no other of these documents has is in no intersection.
+    alone = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("id").alias("id")
+    ).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    common = info.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    common = common.filter(100 * F.col("common") >= similarity_percent * F.col("n"))
+    rest = checkpointed(rest.join(common, "id"))
     u, v = rest.filter("component <> largest").alias("u"), rest.alias("v")
     apart = (F.col("u.key") == F.col("v.key")) & (F.col("u.component") != F.col("v.component")) & (
         (F.col("v.component") == F.col("v.largest")) | (F.col("u.id") < F.col("v.id"))
     )
-    across = u.join(v, apart & test).select(F.col("u.id").alias("id"), F.col("v.id").alias("other")).distinct()
+    most = F.least("u.common", "v.common")
+    possible = 100 * most >= similarity_percent * (F.col("u.n") + F.col("v.n") - most)
+    across = u.join(v, apart & possible & test).select(F.col("u.id").alias("id"), F.col("v.id").alias("other")).distinct()
     tried = stars.union(stars.select("other", "id"))
     across = checkpointed(across.join(tried, ["id", "other"], "left_anti"))
     if not across.isEmpty():
-        more = checkpointed(_confirmed(docs, across, similarity_percent, width))
+        more = checkpointed(_confirmed(across, sets, similarity_percent))
         if not more.isEmpty():
             labels = components(links.union(more))
 
