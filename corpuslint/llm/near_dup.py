@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     keys = F.flatten(
         F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(a, b, i * bands + j)))
     )
-    members = classes.select("id", F.explode(keys).alias("key"))
+    members = classes.select("id", F.posexplode(keys).alias("t", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = checkpointed(members.join(shared, "key").select("key", "id", "size"))
+    buckets = checkpointed(members.join(shared, "key").select("key", "t", "id", "size"))
 
     weights = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
     weighed = buckets.join(weights, "id")
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     links = checkpointed(_confirmed(stars, sets, similarity_percent))
     labels = components(links)
 
-    held = buckets.select("key", "id").join(labels, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
+    held = buckets.select("key", "t", "id").join(labels, "id", "left").select(
+        "key", "t", "id", F.coalesce("component", "id").alias("component")
     )
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("size"))
     open_keys = sizes.groupBy("key").agg(
@@ -215,11 +215,15 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     ).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
     common = info.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     common = common.filter(100 * F.col("common") >= similarity_percent * F.col("n"))
-    rest = checkpointed(rest.join(common, "id"))
+    rest = checkpointed(rest.join(common, "id").join(classes.select("id", *_band_columns(bands)), "id"))
     u, v = rest.filter("component <> largest").alias("u"), rest.alias("v")
     apart = (F.col("u.key") == F.col("v.key")) & (F.col("u.component") != F.col("v.component")) & (
         (F.col("v.component") == F.col("v.largest")) | (F.col("u.id") < F.col("v.id"))
     )
+    # A pair meets in many tables; it counts in the one of its first common bands.
+    for x, place in (("a", F.floor(F.col("u.t") / bands)), ("b", F.col("u.t") % bands)):
+        for k in range(bands - 1):
+            apart &= (place <= k) | (F.col(f"u.{x}{k}") != F.col(f"v.{x}{k}"))
     most = F.least("u.common", "v.common")
     possible = 100 * most >= similarity_percent * (F.col("u.n") + F.col("v.n") - most)
     across = u.join(v, apart & possible & test).select(F.col("u.id").alias("id"), F.col("v.id").alias("other")).distinct()
