@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslint.functions.text import NAMING, naming_style
@@ -116,6 +118,45 @@ def _rules_by_extension_sql() -> str:
     )
 
 
+def rules_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for every suffix and category, with the files they see."""
+    rules = rule_table(spark)
+    counts = code_files(spark, sf_dir).groupBy("ext").agg(F.count("*").alias("n"))
+    found = [
+        rule_source.by_category(rule_source.by_extension(rules, ext), category)
+        .select("rule_id", "category", F.lit(ext).alias("ext"))
+        for ext in (".py", ".js", ".java", ".xml", ".ts") for category in ("security", "code_quality")
+    ]
+    return reduce(DataFrame.unionByName, found).join(counts, "ext").select("rule_id", "category", "ext", "n")
+
+
+def _rules_lookup_sql() -> str:
+    rows = ", ".join(f"({q(r[0])}, {q(r[3])}, [{', '.join(q(s) for s in r[8])}]::VARCHAR[])" for r in RULES)
+    return (
+        f"WITH {CODE_FILES}, rules(rule_id, category, exts) AS (VALUES {rows}) "
+        "SELECT rule_id, category, ext, count(*) AS n FROM rules JOIN code_files ON len(exts) = 0 OR list_contains(exts, ext) "
+        "WHERE ext IN ('.py', '.js', '.java', '.xml', '.ts') AND category IN ('security', 'code_quality') GROUP BY ALL"
+    )
+
+
+def rules_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule file per document, as a list, an object or one rule, parsed with all defaults."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rule = ("named_struct('id', concat('R', doc_id), 'pattern', left(text, 8), 'severity', CASE doc_id % 3 WHEN 0 THEN 'HIGH' "
+            "WHEN 1 THEN 'odd' END, 'category', IF(doc_id % 2 = 0, 'security', NULL), 'file_extensions', "
+            "IF(doc_id % 5 = 0, array('.py', '.js'), NULL), 'enabled', doc_id % 4 <> 0)")
+    value = (f"CASE doc_id % 3 WHEN 0 THEN to_json(array({rule})) WHEN 1 THEN to_json(named_struct('rules', array({rule}))) "
+             f"ELSE to_json({rule}) END")
+    parsed = rule_source.parse_rules(docs.selectExpr(f"{value} AS value"))
+    return parsed.select("rule_id", "name", "category", "severity", "pattern", F.array_join("file_extensions", ",").alias("suffixes"), "enabled")
+
+
+PARSED_SQL = """SELECT 'R' || doc_id AS rule_id, 'R' || doc_id AS name,
+  CASE WHEN doc_id % 2 = 0 THEN 'security' ELSE 'code_quality' END AS category,
+  CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'medium' END AS severity, left(text, 8) AS pattern,
+  CASE WHEN doc_id % 5 = 0 THEN '.py,.js' ELSE '' END AS suffixes, doc_id % 4 <> 0 AS enabled FROM documents"""
+
+
 def analyzer_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files each analyzer reads, from the counts per suffix."""
     rows = [(name, suffix) for name, suffixes in SUFFIXES.items() for suffix in suffixes]
@@ -142,10 +183,10 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with a stray byte in front and Windows line ends comes out clean."""
+    """Every document with stray bytes around, Windows line ends and a genuine U+FFFD comes out clean."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id",
-        F.expr("concat(X'FF', CAST(replace(text, '\\n', '\\r\\n') AS BINARY), X'C3')").alias("raw"),
+        F.expr("concat(X'FF', CAST(replace(text, '\\n', '\\r\\n') AS BINARY), X'EFBFBDC3')").alias("raw"),
     )
     text = file_source.universal_newlines(file_source.decode(F.col("raw")))
     return raw.select("doc_id", F.md5(text).alias("digest"), F.length(text).alias("n_chars"))
@@ -319,7 +360,7 @@ REGISTERED = {
         "OR NOT regexp_matches(path, '^src/m[456]/')"),
     "source_decode": (
         source_decode,
-        "SELECT doc_id, md5(text) AS digest, CAST(length(text) AS INT) AS n_chars FROM documents"),
+        "SELECT doc_id, md5(text || chr(65533)) AS digest, CAST(length(text) + 1 AS INT) AS n_chars FROM documents"),
     "language_of_path": (
         lambda s, d: _by(code_files(s, d).select(file_source.language(F.col("path")).alias("language")), "language"),
         _language_sql()),
@@ -334,6 +375,8 @@ REGISTERED = {
         f"{re2(r'(?:def|class|interface)' + chr(92) + 's+(' + chr(92) + 'w+)')}, 1)) AS name FROM code_files) SELECT name, "
         + ", ".join(f"regexp_matches(name, {q(p)}) AS {c.lower()}" for c, p in NAMING.items()) + " FROM n"),
     "rules_custom": (rules_custom, _rule_sql()),
+    "rules_lookup": (rules_lookup, _rules_lookup_sql()),
+    "rules_parsed": (rules_parsed, PARSED_SQL),
     "rules_dialect": (rules_dialect, _dialect_sql()),
     "extension_findings": (
         extension_findings,
