@@ -91,7 +91,12 @@ def class_docstrings() -> Probe:
     )
 
 
-def empty_comments(limit: int = 3) -> Probe:
+def _first(found: Column, limit: int | None) -> Column:
+    """The first ``limit`` entries, or all of them."""
+    return found if limit is None else F.slice(found, 1, limit)
+
+
+def empty_comments(limit: int | None = 3) -> Probe:
     """DOC006: the first few comments per file that say nothing."""
     empty = "|".join(f"(?:{p})" for p in pack.EMPTY_COMMENTS)
 
@@ -106,14 +111,14 @@ def empty_comments(limit: int = 3) -> Probe:
             & matches(x["t"], empty, ignore_case=True),
         )
         return F.transform(
-            F.slice(comments, 1, limit),
+            _first(comments, limit),
             lambda x: hit(CHECKS["DOC006"], x["n"], cut(x["t"], 80)),
         )
 
     return Probe("DOC006", "documentation", lambda: content().contains("#"), rows)
 
 
-def todo_marks(limit: int = 5) -> Probe:
+def todo_marks(limit: int | None = 5) -> Probe:
     """DOC007: the first few marks per file, by kind and then by place."""
 
     def rows() -> Column:
@@ -124,13 +129,13 @@ def todo_marks(limit: int = 5) -> Probe:
             )
             for word in pack.TODO_WORDS
         ]
-        return F.slice(F.concat(*found), 1, limit)
+        return _first(F.concat(*found), limit)
 
     return Probe("DOC007", "documentation",
                  pattern_gate(pack.TODO_WORDS, ignore_case=True), rows)
 
 
-def api_routes(limit: int = 5) -> Probe:
+def api_routes(limit: int | None = 5) -> Probe:
     """DOC008: the first few routes per file whose next five lines hold no description."""
 
     def rows() -> Column:
@@ -143,7 +148,7 @@ def api_routes(limit: int = 5) -> Probe:
             none = F.array().cast("ARRAY<STRUCT<n: INT, what: STRING>>")
             found.append(F.when(pattern_gate([route])(), places).otherwise(none))
         bare = F.filter(
-            F.slice(F.concat(*found), 1, limit),
+            _first(F.concat(*found), limit),
             lambda r: ~F.exists(
                 F.slice(lines(), r["n"] + 1, 5), lambda line: contains_any(line, pack.DOC_MARKS)
             ),
@@ -180,8 +185,9 @@ def readme_parts() -> Probe:
                  lambda: F.lower(F.col("path")).contains("readme"), rows)
 
 
-def probes() -> list[Probe]:
+def probes(comments: int | None = 3, marks: int | None = 5, routes: int | None = 5) -> list[Probe]:
+    """All checks; the numbers limit DOC006, DOC007 and DOC008 per file, ``None`` reports all."""
     return [
-        module_text(), function_docstrings(), argument_sections(), return_sections(),
-        class_docstrings(), empty_comments(), todo_marks(), api_routes(), readme_parts(),
+        module_text(), function_docstrings(), argument_sections(), return_sections(), class_docstrings(),
+        empty_comments(comments), todo_marks(marks), api_routes(routes), readme_parts(),
     ]

@@ -135,7 +135,8 @@ class Audit:
     """One audit over a file table.
 
     ``analyzers`` and ``min_severity`` choose what runs and what is kept; ``rules`` is a
-    rule table. All results are lazy. Every file is read once: ``file_results`` holds its
+    rule table; ``per_file`` limits empty comments, open marks and undescribed routes per file (``None`` reports all).
+    All results are lazy. Every file is read once: ``file_results`` holds its
     hits and skills, and findings, skills and rollups are read off that table, which
     ``save`` can write out first.
     """
@@ -149,6 +150,8 @@ class Audit:
         max_line_length: int = MAX_LINE_LENGTH,
         max_function_lines: int = MAX_FUNCTION_LINES,
         project: str = "Multi-file Audit",
+        per_file: tuple[int | None, int | None, int | None] = (3, 5, 5),
+        max_recommendations: int = 10,
     ) -> None:
         self.files = files
         self.analyzers = chosen_analyzers(analyzers)
@@ -156,6 +159,8 @@ class Audit:
         self.min_severity = min_severity
         self.limits = {"QUAL001": max_line_length, "QUAL002": max_function_lines}
         self.project = project
+        self.per_file = per_file
+        self.max_recommendations = max_recommendations
         self._stored: DataFrame | None = None
         self._stored_extra: dict[str, DataFrame] = {}
         self._rule_findings: Column | None = None
@@ -166,7 +171,7 @@ class Audit:
             "best_practices": best_practices.probes,
             "security": security.probes,
             "performance": performance.probes,
-            "documentation": documentation.probes,
+            "documentation": lambda: documentation.probes(*self.per_file),
             "java": java.probes,
         }
         chosen = [probe for name, make in made.items() if name in self.analyzers for probe in make()]
@@ -203,7 +208,7 @@ class Audit:
     def _columns(self) -> tuple[Column, Column]:
         """Hits and skills of one file row."""
         gateway = SparkContext._gateway
-        key = (gateway, *self.analyzers, *self.limits.values(), *self._active(EXTRA_PROBES))
+        key = (gateway, *self.analyzers, *self.limits.values(), self.per_file, *self._active(EXTRA_PROBES))
         if key not in _BUILT:
             hits = all_hits(self.probes())
             if "skills" in self.analyzers:
@@ -342,7 +347,7 @@ class Audit:
         return rollups.summarise(self.totals(), self.project)
 
     def recommendations(self) -> DataFrame:
-        return rollups.recommend(self.totals())
+        return rollups.recommend(self.totals(), self.max_recommendations)
 
 
 def audit_path(spark: SparkSession, path: str, recursive: bool = True, **options) -> Audit:

@@ -199,3 +199,12 @@ def test_stream(spark, files, tmp_path):
 def test_trait_order(files):
     rows = skills.file_traits(files).where("path = 'p/C.java'").first()
     assert rows.languages == ["Java"] and rows.frameworks == ["Spring"]
+
+
+def test_per_file_limits_are_parameters(make_files):
+    files = make_files({"a.py": "".join(f"# TODO item {i}\n" for i in range(9))})
+
+    def marks(**options):
+        return Audit(files, analyzers="documentation", **options).findings().where("check_id = 'DOC007'").count()
+
+    assert (marks(), marks(per_file=(3, None, 5)), marks(per_file=(3, 2, 5))) == (5, 9, 2)
