@@ -64,6 +64,20 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def runs(ordered: Column) -> Column:
+    """Neighbours with the same ``name`` as arrays of their own; linear, for an array that is sorted by name."""
+    def cut_at(at: Column) -> Column:
+        return F.transform(
+            at, lambda s, k: F.slice(ordered, s + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - s)
+        )
+
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(ordered) - 1),
+        lambda i: F.when(i > 0, F.get(ordered, i)["name"] != F.get(ordered, i - 1)["name"]).otherwise(True),
+    )
+    return F.when(F.size(ordered) > 0, bind(starts, cut_at)).otherwise(F.array())
+
+
 def numbered(lines: Column) -> Column:
     """array<struct<n, line>> with 1-based numbers."""
     return F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.patterns import extract, java_regex, matches, sql_text
 from ..functions.text import (
-    MATCH_LINE, bind, contains_any, count_text, cut, match_table, match_table_sql, numbered, strip,
+    MATCH_LINE, bind, contains_any, count_text, cut, match_table, match_table_sql, numbered, runs, strip,
 )
 from ..packs import probes as pack
 from ..packs.catalog import BEST_PRACTICES
@@ -68,22 +68,25 @@ def missing_parameter_types() -> Probe:
             f"filter({match_table_sql(pack.TYPED_FUNCTION, (1,))}, m -> {PUBLIC})"
         )
 
-        def lookup(table: Column) -> Column:
-            return bind(
-                F.transform(table, lambda h: h["name"]),
-                lambda names: F.filter(
-                    functions,
-                    lambda m: bind(
-                        F.get(table, (F.array_position(names, m["g1"]) - 1).cast("int"))["head"],
-                        lambda head: F.coalesce(
-                            ~head.contains("->") & ~head.contains(": "), F.lit(False)
-                        ),
-                    ),
-                ),
-            )
+        def entry(name: Column, kind: int, at: Column, head: Column, n: Column) -> Column:
+            return F.struct(name.alias("name"), F.lit(kind).alias("kind"), at.alias("at"), head.alias("head"), n.alias("n"))
+
+        # Heads before functions, in the order of names; the first head of a name comes first in its run.
+        named = F.array_sort(F.concat(
+            F.transform(heads, lambda h, i: entry(h["name"], 0, i, h["head"], F.lit(0))),
+            F.transform(functions, lambda m, i: entry(m["g1"], 1, i, F.lit(""), m["n"])),
+        ))
 
+        def bare(run: Column) -> Column:
+            first = F.get(run, F.lit(0))
+            plain = (first["kind"] == 0) & ~first["head"].contains("->") & ~first["head"].contains(": ")
+            return F.filter(run, lambda x: (x["kind"] == 1) & plain)
+
+        found = bind(named, lambda x: F.flatten(F.transform(runs(x), bare)))
         return F.transform(
-            bind(heads, lookup), lambda m: hit(CHECKS["BP006"], m["n"], what=m["g1"])
+            F.array_sort(F.transform(found, lambda x: F.struct(
+                x["at"].alias("at"), x["n"].alias("n"), x["name"].alias("name")))),
+            lambda x: hit(CHECKS["BP006"], x["n"], what=x["name"]),
         )
 
     return Probe("BP006", "best_practices", pattern_gate([pattern]), rows)
@@ -162,21 +165,19 @@ def constants() -> Probe:
             lambda m: contains_any(m["g1"], pack.CONSTANT_WORDS),
         )
 
-        def names(table: Column) -> Column:
-            flagged = F.filter(
-                F.array_distinct(F.transform(table, lambda m: m["g1"])),
-                lambda name: F.exists(table, lambda m: (m["g1"] == name) & (m["g2"] == "")),
-            )
-            return F.transform(
-                flagged,
-                lambda name: F.struct(
-                    name.alias("name"),
-                    F.get(F.filter(table, lambda m: m["g1"] == name), F.lit(0))["n"].alias("n"),
-                ),
+        named = F.array_sort(F.transform(uses, lambda m, i: F.struct(
+            m["g1"].alias("name"), i.alias("at"), m["n"].alias("n"), (m["g2"] == "").alias("free"))))
+
+        def first(run: Column) -> Column:
+            top = F.get(run, F.lit(0))
+            return F.struct(
+                top["at"].alias("at"), top["n"].alias("n"), top["name"].alias("name"),
+                F.exists(run, lambda x: x["free"]).alias("free"),
             )
 
+        found = bind(named, lambda x: F.array_sort(F.transform(runs(x), first)))
         return F.transform(
-            bind(uses, names), lambda x: hit(CHECKS["BP010"], x["n"], what=x["name"])
+            F.filter(found, lambda x: x["free"]), lambda x: hit(CHECKS["BP010"], x["n"], what=x["name"])
         )
 
     return Probe("BP010", "best_practices", pattern_gate([pattern]), rows)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions.patterns import extract, java_regex, matches
-from ..functions.text import bind, contains_any, count_text, cut, match_table, strip
+from ..functions.text import bind, contains_any, count_text, cut, match_table, runs, strip
 from ..packs import probes as pack
 from ..packs.catalog import PERFORMANCE
 from .probe import Probe, content, each_match, hit, lines, pattern_gate, whole_file
@@ -210,24 +210,13 @@ def cacheable_functions() -> Probe:
             F.transform(pure, lambda m: entry(m["g1"], m["n"])),
         ))
 
-        def runs(ordered: Column) -> Column:
-            starts = F.filter(
-                F.sequence(F.lit(0), F.size(ordered) - 1),
-                lambda i: F.when(i > 0, F.get(ordered, i)["name"] != F.get(ordered, i - 1)["name"]).otherwise(True),
-            )
-            return bind(starts, lambda at: F.transform(
-                at, lambda s, k: F.slice(ordered, s + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - s)
-            ))
-
         def counted(run: Column) -> Column:
             return bind(F.size(F.filter(run, lambda x: x["n"] == 0)), lambda count: F.when(count > 3, F.transform(
                 F.filter(run, lambda x: x["n"] > 0),
                 lambda x: F.struct(x["n"].alias("n"), x["name"].alias("name"), count.alias("count")),
             )).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<n: INT, name: STRING, count: INT>>)")))
 
-        found = bind(named, lambda x: F.when(F.size(x) > 0, F.flatten(F.transform(runs(x), counted))).otherwise(
-            F.expr("CAST(array() AS ARRAY<STRUCT<n: INT, name: STRING, count: INT>>)")
-        ))
+        found = bind(named, lambda x: F.flatten(F.transform(runs(x), counted)))
         return F.transform(
             F.array_sort(found), lambda x: hit(CHECKS["PERF012"], x["n"], what=x["name"], count=x["count"]),
         )
