@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, smallest_hashes
 from .text_stats import COUNTS, share, with_statistics
 from .trees import boosted, paths
 
@@ -112,10 +112,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.when(F.avg("quality") >= 0.5, 1).otherwise(0).alias("y")
     ).filter(remainder("doc_id", 4) != 2)
-    sample = (
-        stats.select("doc_id", *FEATURES).join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most_labels).collect()
-    )
+    labelled = stats.select("doc_id", *FEATURES).join(known, "doc_id")
+    sample = smallest_hashes(labelled, "doc_id", most_labels, *FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in sample], float).reshape(len(sample), len(FEATURES))
     bias, rules = fit(x, np.array([r["y"] for r in sample], float))
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))

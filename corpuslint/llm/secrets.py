@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import smallest_hashes
 from .trees import forest, tree_sql
 
 KEY = r"A-Za-z0-9_+/=\-"
@@ -131,9 +132,9 @@ def train(labelled: DataFrame, trees: int = 30, depth: int = 7, most_labels: int
     """A forest from labelled findings (text, label): of these the ``most_labels`` with the smallest hash."""
     rows = (
         _scan(labelled.filter("text IS NOT NULL AND label IS NOT NULL")).select("text", "label", F.expr(_feature_structs("_secret_found")).alias("f"))
-        .select("text", "label", F.explode("f").alias("f")).select("label", "f.*", F.xxhash64("text").alias("_order"))
-        .orderBy("_order", *FEATURES, "label").limit(most_labels).collect()
+        .select("text", "label", F.explode("f").alias("f")).select("text", "label", "f.*")
     )
+    rows = smallest_hashes(rows, "text", most_labels, *FEATURES, "label").drop("text").collect()
     if not rows:
         return [(0.5,)]
     x = np.array([[r[name] for name in FEATURES] for r in rows], float)
