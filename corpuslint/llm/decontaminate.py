@@ -23,7 +23,7 @@ WIDTH = 5
 RADIUS = 11
 BLOCKS, BLOCK_BITS = 4, 16
 NEAR = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
-BLOOM_BITS = 22
+BLOOM_BITS = 21
 PROBES = (0, 21, 42)
 
 
@@ -116,10 +116,11 @@ def places(docs: DataFrame, bloom: str, sizes: list[int], reach: int) -> DataFra
     )
     found = [
         f"CASE WHEN size(w) >= {k} THEN filter(sequence(0, size(w) - {k}), i -> "
-        f"exists(array({_window('w', 'i', k)}), h -> {_may_hold('h', bloom)})) ELSE CAST(array() AS array<int>) END"
+        f"exists(array({_window('w', 'i', k)}), h -> {_may_hold('h', 'bits')})) ELSE CAST(array() AS array<int>) END"
         for k in sizes
     ]
-    marked = split.withColumn("p", F.expr(f"array_sort(array_distinct(concat({', '.join(found)})))"))
+    at = f"array_sort(array_distinct(concat({', '.join(found)})))"
+    marked = split.withColumn("p", F.expr(f"transform(array({bloom}), bits -> {at})[0]"))
     starts = f"filter(p, (x, i) -> CASE WHEN i > 0 THEN x - p[i - 1] > {reach} ELSE true END)"
     ends = f"filter(p, (x, i) -> CASE WHEN i < size(p) - 1 THEN p[i + 1] - x > {reach} ELSE true END)"
     segment = (

@@ -38,15 +38,20 @@ Rule = tuple[tuple[int, bool, float], ...]
 
 
 def rule_matrix(x: np.ndarray, rules: list[Rule]) -> np.ndarray:
-    return np.stack(
-        [np.all([(x[:, j] > cut) == above for j, above, cut in rule], axis=0) for rule in rules], axis=1
-    ).astype(np.float32)
+    out = np.empty((len(x), len(rules)), np.float32)
+    for k, rule in enumerate(rules):
+        out[:, k] = np.all([(x[:, j] > cut) == above for j, above, cut in rule], axis=0)
+    return out
 
 
-def lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: tuple[float, np.ndarray], steps: int = 200) -> tuple[float, np.ndarray]:
+def steepness(r: np.ndarray) -> float:
+    """Bound of the logistic loss's curvature over the rules and the intercept."""
+    return 0.25 * (float(np.linalg.eigvalsh(r.T @ r)[-1]) / len(r) + 1)
+
+
+def lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: tuple[float, np.ndarray], bound: float, steps: int = 200) -> tuple[float, np.ndarray]:
     """Logistic regression with penalty * sum |weight|, by accelerated proximal gradients."""
     n = len(y)
-    bound = 0.25 * (np.linalg.norm(np.c_[r, np.ones(n, np.float32)], 2) ** 2) / n
     w = last = np.r_[start[1], start[0]].astype(np.float32)
     t = 1.0
     for _ in range(steps):
@@ -59,7 +64,7 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: tuple[float, np.n
     return float(w[-1]), w[:-1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, seed: int = 1) -> tuple[float, list[tuple[float, Rule]]]:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, seed: int = 1) -> tuple[float, list[tuple[float, Rule]]]:
     """Intercept and weighted rules."""
     rng = np.random.default_rng(seed)
     if len(set(y.tolist())) < 2:
@@ -69,14 +74,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, seed: int
     rules = sorted({path for tree in boosted(x[~held], y[~held], trees, depth, 0.2, rng) for path in paths(tree)})
     if not rules:
         return float(np.log(y.mean() / (1 - y.mean()))), []
-    r = rule_matrix(x, rules)
-    support = r[~held].mean(axis=0)
-    used = np.flatnonzero((support > 0.002) & (support < 0.998))
-    r, rules = r[:, used], [rules[k] for k in used]
+    support = [float(np.all([(x[~held, j] > cut) == above for j, above, cut in rule], axis=0).mean()) for rule in rules]
+    rules = [rule for rule, s in zip(rules, support, strict=True) if 0.002 < s < 0.998]
+    if not rules:
+        return float(np.log(y.mean() / (1 - y.mean()))), []
+    r, tried = rule_matrix(x[~held], rules), rule_matrix(x[held], rules)
+    bound = steepness(r)
     model, best = (0.0, np.zeros(len(rules), np.float32)), (np.inf, None)
     for penalty in (0.03, 0.01, 0.003, 0.001, 0.0003):
-        model = lasso(r[~held], y[~held], penalty, model)
-        margin = r[held] @ model[1] + model[0]
+        model = lasso(r, y[~held], penalty, model, bound)
+        margin = tried @ model[1] + model[0]
         loss = float(np.mean(np.logaddexp(0, np.where(y[held] == 1, -margin, margin))))
         if loss < best[0] - 1e-4:
             best = (loss, model)
@@ -101,7 +108,7 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most_labels: int = 20_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most_labels: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted and the statistics.
 
     Learns from labels (doc_id, quality) whose id's remainder modulo 4 is not 2: of these the ``most_labels`` with the
