@@ -10,8 +10,9 @@ down. The language with the lowest cross-entropy per character wins.
 
 The score is the probability of being right at the text's margin between the best two cross-entropies, calibrated
 on the texts learned from; ``rejected`` is set where the cross-entropy is above that of all but a thousandth of its
-language's texts. The tables are broadcast: ``most_grams`` bounds each; beyond it the n-grams with the smallest counts
-are left out and their contexts' lower orders stand in, as for unseen ones. All counts cover all texts.
+language's texts. No n-gram is left out. Up to ``most_grams`` n-grams the tables are broadcast. Beyond it they are
+saved, only the most frequent 4-grams are broadcast, and the other 4-grams of a text are counted in its row and
+equi-joined with the saved tables, each different one once: the same sums, whatever the size of the model.
 
 Null texts and texts without letters are ``und`` with score 0; so is everything if there is nothing to learn from. Null
 languages and null ids are not learned from. Repeated rows and null ``doc_id`` are kept; other columns are not read; an
@@ -28,10 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import slices
-from .common import checkpointed, on_workers
+from .common import checkpointed, fresh_folder, on_workers
 from .rule_ensemble import remainder
 
 ORDER = 4
+UNSEEN = math.log(1e-9)
 NOT_LETTERS = r"[^\p{L}]+"
 
 
@@ -110,11 +112,17 @@ def _lower(counts: DataFrame) -> DataFrame:
 
 def kneser_ney(counts: DataFrame, langs: list[str], most_grams: int) -> list[dict]:
     """Per order, highest first, the lookup table: hashes (sorted), logs (n-gram by language), and for the contexts of
-    that order passes_hashes (sorted) and passes (log of the share that goes to the lower order)."""
+    that order passes_hashes (sorted) and passes (log of the share that goes to the lower order).
+
+    With more than ``most_grams`` n-grams, a table is the folders ``saved`` (gram, v) and ``saved_passes`` (context, v),
+    and only the highest order has hashes and logs too, of its most frequent n-grams."""
+    spark = counts.sparkSession
     levels = [checkpointed(counts)]
     for _ in range(ORDER - 1):
         levels.append(checkpointed(_lower(levels[-1])))
     every = F.array(*[F.lit(x) for x in langs])
+    # Lower orders and contexts are parts of 4-grams, so none of their tables has more rows.
+    n_grams = levels[0].select("gram").distinct().count()
     lower: DataFrame | None = None
     tables = []
     for level, order in zip(reversed(levels), range(1, ORDER + 1)):
@@ -126,9 +134,6 @@ def kneser_ney(counts: DataFrame, langs: list[str], most_grams: int) -> list[dic
         context, suffix = F.expr(f"left(gram, {order - 1})").alias("context"), F.expr("substring(gram, 2)").alias("suffix")
         contexts = level.groupBy("lang", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         seen = level.groupBy("gram").agg(F.sum("n").alias("all"))
-        if seen.count() > most_grams:
-            least = seen.select(F.percentile_approx("all", 1 - most_grams / seen.count(), 10_000)).head()[0]
-            seen = seen.filter(F.col("all") > least)
         grams = seen.select("gram", F.explode(every).alias("lang"), context, suffix)
         if lower is None:
             kinds = {r["lang"]: r["k"] for r in level.groupBy("lang").agg(F.count("*").alias("k")).collect()}
@@ -139,24 +144,37 @@ def kneser_ney(counts: DataFrame, langs: list[str], most_grams: int) -> list[dic
         joined = below.join(level, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
         own = F.greatest(F.coalesce("n", F.lit(0)) - discount, F.lit(0.0)) / F.col("total")
         passed = discount * F.col("kinds") / F.col("total")
-        lower_p = F.coalesce("lower", F.lit(1e-9))
-        p = F.when(F.col("total").isNull(), lower_p).otherwise(own + passed * lower_p)
+        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(own + passed * F.col("lower"))
         lower = checkpointed(joined.select("lang", "gram", p.alias("p")))
         passes = contexts.withColumn("log", F.log(passed))
 
-        def grid(frame: DataFrame, name: str, value: Column, empty: float) -> tuple[np.ndarray, np.ndarray]:
+        def wide(frame: DataFrame, name: str, value: Column, empty: float) -> DataFrame:
+            """v: the values by language."""
+            values = [F.coalesce(F.max(F.when(F.col("lang") == x, value)), F.lit(empty)).cast("float") for x in langs]
+            return frame.groupBy(name).agg(F.array(*values).alias("v"))
+
+        def grid(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             """Sorted hashes and a column per language; as many rows as ``most_grams`` at most."""
-            wide = frame.groupBy(name).agg(*[F.max(F.when(F.col("lang") == x, value)).alias(f"v{i}") for i, x in enumerate(langs)]).collect()
-            hashes = np.array([hash_of(r[name]) for r in wide], np.uint64)
-            values = np.array([[empty if v is None else v for v in r[1:]] for r in wide], np.float32).reshape(len(wide), len(langs))
+            rows = frame.collect()
+            hashes = np.array([hash_of(r[0]) for r in rows], np.uint64)
+            values = np.array([r["v"] for r in rows], np.float32).reshape(len(rows), len(langs))
             by = np.argsort(hashes, kind="stable")
             return hashes[by], values[by]
 
-        if order > 1:
-            passes = passes.join(grams.select("context").distinct(), "context", "left_semi")
-        hashes, logs = grid(lower, "gram", F.log("p"), math.log(1e-9))
-        pass_hashes, pass_logs = grid(passes, "context", F.col("log"), 0.0)
-        tables.append({"order": order, "hashes": hashes, "logs": logs, "pass_hashes": pass_hashes, "passes": pass_logs})
+        logs, shares = wide(lower, "gram", F.log("p"), UNSEEN), wide(passes, "context", F.col("log"), 0.0)
+        table: dict = {"order": order}
+        if n_grams <= most_grams:
+            table["hashes"], table["logs"] = grid(logs)
+            table["pass_hashes"], table["passes"] = grid(shares)
+        else:
+            for name, frame in (("saved", logs), ("saved_passes", shares)):
+                table[name] = fresh_folder(spark, f"kneser-ney-{order}")
+                frame.write.parquet(table[name])
+            if order == ORDER:
+                least = seen.select(F.percentile_approx("all", 1 - most_grams / n_grams, 10_000)).head()[0]
+                often = seen.filter(F.col("all") > least).select("gram")
+                table["hashes"], table["logs"] = grid(spark.read.parquet(table["saved"]).join(often, "gram", "left_semi"))
+        tables.append(table)
     return tables[::-1]
 
 
@@ -189,15 +207,48 @@ def log_probabilities(points: np.ndarray, tables: list[dict]) -> np.ndarray:
             place, known = _at(table["pass_hashes"], context)
             out[left[known]] += table["passes"][place[known]]
         else:
-            out[left] += math.log(1e-9)
+            out[left] += UNSEEN
     return out
 
 
+def _saved_log_probabilities(grams: DataFrame, tables: list[dict], langs: list[str]) -> DataFrame:
+    """``grams`` (gram: different 4-grams) with logs, as ``log_probabilities`` gives them, from the saved tables."""
+    logs = f"array_repeat({UNSEEN!r}D, {len(langs)})"
+    for table in reversed(tables):
+        order = table["order"]
+        for name, key, value, sql in (
+            ("saved", "gram", f"v{order}", f"right(gram, {order})"),
+            ("saved_passes", "context", f"s{order}", f"left(right(gram, {order}), {order - 1})"),
+        ):
+            if name == "saved" or order > 1:
+                saved = grams.sparkSession.read.parquet(table[name]).select(F.col(key).alias("part"), F.col("v").alias(value))
+                grams = grams.withColumn("part", F.expr(sql)).join(saved, "part", "left").drop("part")
+        if order > 1:
+            logs = f"zip_with(coalesce(s{order}, array_repeat(0F, {len(langs)})), {logs}, (a, b) -> a + b)"
+        logs = f"CASE WHEN v{order} IS NULL THEN {logs} ELSE CAST(v{order} AS array<double>) END"
+    return grams.select("gram", F.expr(logs).alias("logs"))
+
+
+def _with_rest(found: DataFrame, tables: list[dict], langs: list[str]) -> DataFrame:
+    """Adds to every entropy what the row's ``grams``, seen ``times`` times, contribute by the saved tables."""
+    rows = checkpointed(found).withColumn("_row", F.monotonically_increasing_id())
+    rest = rows.select("_row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("_row", F.col("g.grams").alias("gram"), "g.times")
+    logs = _saved_log_probabilities(rest.select("gram").distinct(), tables, langs)
+    sums = rest.join(logs, "gram").groupBy("_row").agg(
+        F.array(*[F.sum(F.col("times") * F.get("logs", F.lit(i))) for i in range(len(langs))]).alias("_sums")
+    )
+    total = F.when(F.col("_sums").isNull(), F.col("entropy")).otherwise(
+        F.zip_with("entropy", "_sums", lambda e, x: e - x / F.col("n_letters"))
+    )
+    return rows.join(sums, "_row", "left").withColumn("entropy", total).drop("_row", "_sums", "grams", "times")
+
+
 def cross_entropies(docs: DataFrame, tables: list[dict], langs: list[str], *keep: str) -> DataFrame:
     """Columns ``keep``, n_letters and the cross-entropy per character of every language (list)."""
     spark = docs.sparkSession
     on_workers(spark)
     shared = spark.sparkContext.broadcast(tables)
+    whole = "saved" not in tables[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,21 +268,38 @@ def cross_entropies(docs: DataFrame, tables: list[dict], langs: list[str], *keep
                         spans.append(0)
                 sizes = np.maximum(bounds[1:] - bounds[:-1] - ORDER + 1, 0)
                 sums = np.zeros((len(sizes), len(langs)))
+                grams, times, open_spans = [], np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
                 if firsts:
-                    rows = points[np.concatenate(firsts)[:, None] + np.arange(ORDER)]
-                    logs = log_probabilities(rows, shared.value) * np.concatenate(counts)[:, None]
                     ends = np.cumsum(spans)
+                    rows = points[np.concatenate(firsts)[:, None] + np.arange(ORDER)]
+                    if whole:
+                        logs = log_probabilities(rows, shared.value)
+                    else:
+                        table = shared.value[0]
+                        place, known = _at(table["hashes"], codes[np.concatenate(firsts)])
+                        logs = np.zeros((len(rows), len(langs)), np.float32)
+                        logs[known] = table["logs"][place[known]]
+                        unknown = rows[~known].astype("<u4").tobytes().decode("utf-32-le")
+                        grams, times = [unknown[i : i + ORDER] for i in range(0, len(unknown), ORDER)], np.concatenate(counts)[~known]
+                        open_spans = np.diff(np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], ends])])
+                    logs = logs * np.concatenate(counts)[:, None]
                     full = np.flatnonzero(np.array(spans) > 0)
                     sums[full] = np.add.reduceat(logs.astype(np.float64), (ends - spans)[full], axis=0)
                 entropy = -sums / np.maximum(sizes, 1)[:, None]
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, entropy.size + 1, len(langs)), pa.int32()), pa.array(entropy.ravel())
                 )
-                yield pa.record_batch([*part.columns[: len(keep)], pa.array(sizes), flat], names=[*keep, "n_letters", "entropy"])
+                made = [*part.columns[: len(keep)], pa.array(sizes), flat]
+                if not whole:
+                    bounds = pa.array(np.concatenate([[0], np.cumsum(open_spans)]), pa.int32())
+                    made += [pa.ListArray.from_arrays(bounds, pa.array(v, t)) for v, t in ((grams, pa.string()), (times, pa.int64()))]
+                yield pa.record_batch(made, names=[*keep, "n_letters", "entropy", *(() if whole else ("grams", "times"))])
 
     chosen = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]], "n_letters long", "entropy array<double>"])
-    return chosen.mapInArrow(score, schema)
+    if whole:
+        return chosen.mapInArrow(score, schema)
+    return _with_rest(chosen.mapInArrow(score, f"{schema}, grams array<string>, times array<long>"), tables, langs)
 
 
 def _calibration(bins: dict[int, tuple[int, int]], width: float) -> tuple[float, float]:

@@ -159,6 +159,19 @@ def test_language_identification(spark):
     assert all(0 <= r.score <= 1 for r in rows) and np.mean([r.rejected for r in rows]) < 0.02
 
 
+def test_no_n_gram_is_left_out(spark, make_docs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").union(
+        make_docs([(None, None), (9001, ""), (9002, "日本語の文 qqqq wxyz"), (9003, "日本語の文 qqqq wxyz")]).select("doc_id", "text", F.lit(None))
+    )
+    want = sorted(langid.identify(docs).collect(), key=str)
+    for most in (1000, 0):
+        got = sorted(langid.identify(docs, most).collect(), key=str)
+        assert len(got) == len(want) > 200
+        for a, b in zip(got, want):
+            assert (a.doc_id, a.lang_pred, a.rejected) == (b.doc_id, b.lang_pred, b.rejected)
+            assert a.cross_entropy == pytest.approx(b.cross_entropy, abs=1e-4) and a.score == pytest.approx(b.score, abs=1e-3)
+
+
 def test_language_edges(spark, make_docs):
     rows = [*ROWS, (20, "12 34 !!"), (21, "a"), (22, "日"), (23, "the dog")]
     docs = make_docs(rows).withColumn("lang", F.when(F.col("doc_id") > 5, "en").when(F.col("doc_id") == 4, "de"))
