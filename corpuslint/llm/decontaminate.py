@@ -2,7 +2,8 @@
 
 Texts are words of letters and digits, lower-cased. A benchmark item is similar to a window of as many words if the
 summed minima of their shingle counts (``WIDTH`` words each; an item with fewer words is one shingle) reach
-``similarity`` of the summed maxima. Such a window shares a shingle with the item, so only windows that lie around one
+``similarity`` of the summed maxima. Windows may reach over both ends of a text and then have the words that are there,
+so an item cut by the text's end is compared as well. Such a window shares a shingle with the item, so only windows that lie around one
 are looked at: a Bloom filter of fixed size over all benchmark shingles finds these places inside the row, and each
 place gives the windows that put it where an item has it. A window's SimHash (64 bits over its words) is searched among
 the items of its size: four blocks of 16 bits, items entered under every block value up to two bits away, so that all
@@ -152,11 +153,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
             F.expr(f"CASE WHEN p - low + {k} <= n THEN {_window('words', '(p - low)', k)} END") for k in sizes
         ])).alias("h"),
     )
-    windows = anchors.join(index, "h").select("segment", "n", "m", F.expr("p - q").alias("start")).filter(
-        "start >= 0 AND start + m <= n"
+    # A segment ends less than ``reach`` words from its places only where the text ends.
+    windows = anchors.join(index, "h").select(
+        "segment", "m", F.expr("greatest(p - q, 0)").alias("start"), F.expr("least(p - q + m, n)").alias("end")
     ).distinct()
     prints = windows.join(segments, "segment").select(
-        "row", "m", (F.col("low") + F.col("start")).alias("start"), F.expr("slice(words, start + 1, m)").alias("words")
+        "row", "m", (F.col("low") + F.col("start")).alias("start"), F.expr("slice(words, start + 1, end - start)").alias("words")
     ).withColumn("print", simhash("words"))
 
     def block(name: str, b: int) -> str:
@@ -175,13 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
     )
     hits = probes.join(entries, ["m", "block", "value"]).filter(
         f"bit_count(print ^ item_print) <= {RADIUS} AND {first}"
-    ).select("row", "start", "m", "words", "item")
+    ).select("row", "start", "words", "item")
     exact = hits.withColumn("doc_shingles", F.expr(shingles("words"))).join(
         items.select("item", "item_shingles", "item_ids"), "item"
     ).withColumn("similarity", similarity_of("doc_shingles", "item_shingles")).filter(F.col("similarity") >= similarity)
     matches = exact.groupBy("row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
-        F.array_sort(F.collect_set(F.struct("start", "m", "item", "similarity"))).alias("spans"),
+        F.array_sort(F.collect_set(F.struct("start", F.size("words").alias("m"), "item", "similarity"))).alias("spans"),
     )
     return rows.select("row", "doc_id", "text_hash").join(matches, "row", "left").select(
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"),

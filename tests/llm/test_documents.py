@@ -104,6 +104,39 @@ def test_decontamination_against_brute_force(spark, make_docs):
     assert all(r.contaminated == bool(r["item_ids"]) for r in rows)
 
 
+def brute_clipped(texts, items, similarity=0.8):
+    """As ``brute_contaminated``, with windows that reach over the text's ends."""
+    kept = {i: (len(plain_words(t)), Counter(windows(plain_words(t)))) for i, t in items}
+    out = []
+    for text in texts:
+        words, hit = plain_words(text), set()
+        for i, (n, item) in kept.items():
+            for a in range(1 - n, len(words)):
+                own = Counter(windows(words[max(a, 0) : a + n]))
+                if (own & item).total() >= similarity * (own | item).total():
+                    hit.add(i)
+                    break
+        out.append(sorted(hit))
+    return out
+
+
+def test_items_cut_by_the_ends_of_a_text(spark, make_docs):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(rng.choice([9, 15, 30, 59])))) for k in range(12)]
+    texts = []
+    for _, item in items:
+        words = plain_words(item)
+        other = [f"o{j}" for j in range(20)]
+        for cut in (1, 2, len(words) // 10, len(words) // 6, len(words) // 4):
+            texts += [words[cut:], words[:-cut], words[cut:] + other, other + words[:-cut], words[cut:-1], other + words[cut:] + other]
+        texts.append(words[: len(words) // 2] + words[len(words) // 2 + 1 :])
+    texts = [" ".join(t) for t in texts]
+    rows = decontaminate.contaminated(make_docs(list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = dict(enumerate(brute_clipped(texts, items)))
+    assert {r.doc_id: r["item_ids"] for r in rows} == want and 0 < sum(map(bool, want.values())) < len(want)
+    assert want != dict(enumerate(brute_contaminated(texts, items)))
+
+
 def test_near_fingerprints_meet_in_a_block():
     rng = random.Random(1)
     near = set(decontaminate.NEAR)
