@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, rare shingles, exact check.
 
 Texts are words of letters and digits, lower-cased. A benchmark item is similar to a window of as many words if the
 summed minima of their shingle counts (``WIDTH`` words each; an item with fewer words is one shingle) reach
@@ -9,6 +9,11 @@ place gives the windows that put it where an item has it. A window's SimHash (64
 the items of its size: four blocks of 16 bits, items entered under every block value up to two bits away, so that all
 fingerprints within ``RADIUS`` = 11 bits meet in some block. Candidates are confirmed on the exact counts.
 
+Similar windows can be further apart than that, so an item of ``WIDTH`` words or more has a second way in, which misses
+none: a similar window lacks at most 1 - ``similarity`` of the item's shingles, so it holds one of any set with one
+more, and the item is entered under its rarest so many. All windows around such a place are counted and confirmed. A
+shorter item is one shingle; only its equal is similar, at a distance of 0 bits.
+
 The Bloom filter is the only thing sent to all tasks; when a benchmark outgrows it, it lets more places through and the
 joins that follow sort them out. Null and empty texts and items match nothing; equal items count once and all their ids
 are reported; null item ids are left out. Every row of ``docs`` gets one row, repeated or with null ``doc_id``; other
@@ -16,7 +21,7 @@ columns are not read; an empty table gives no rows, an empty benchmark matches n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import checkpointed
 
@@ -58,14 +63,14 @@ def simhash(words: str) -> Column:
     )
 
 
-def similarity_of(a: str, b: str) -> Column:
-    """Summed minima over summed maxima of the counts in two lists of shingle hashes."""
+def similarity_of(a: str, b: str) -> str:
+    """SQL of the summed minima over summed maxima of the counts in two lists of shingle hashes."""
     shared = (
         f"CASE WHEN size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b}) "
         f"THEN size(array_intersect({a}, {b})) ELSE aggregate(array_intersect({a}, {b}), 0, (n, x) -> n + "
         f"least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x)))) END"
     )
-    return F.expr(
+    return (
         f"transform(array({shared}), s -> CASE WHEN size({a}) + size({b}) = 0 THEN 0D "
         f"ELSE s / (size({a}) + size({b}) - s) END)[0]"
     )
@@ -131,6 +136,43 @@ def places(docs: DataFrame, bloom: str, sizes: list[int], reach: int) -> DataFra
     return marked.select("doc_id", "text_hash", F.expr(segment).alias("segments"))
 
 
+def around_rare_shingles(segments: DataFrame, anchors: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Every window similar to an item of ``WIDTH`` words or more: row, start, m (words in it), item, similarity."""
+    entered = items.filter(F.col("m") >= WIDTH).select("item", "m", F.size("item_shingles").alias("count"), F.explode("item_shingles").alias("h"))
+    often = entered.groupBy("h").agg(F.count_distinct("item").alias("often"))
+    rare = (
+        entered.join(often, "h")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("often", "h")))
+        .filter(F.col("nth") <= F.floor((1 - similarity) * F.col("count") + 1e-6) + 1)
+        .select("h", "item", "m").distinct()
+    )
+    near = anchors.join(rare, "h").groupBy("segment", "item", "m").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    # Windows that hold one of the places, from ``base`` on; H: the hashes of the shingles there.
+    base = "greatest(first - m, 0)"
+    pieces = (
+        near.join(segments.select("segment", "row", "low", F.size("words").alias("n"), "words"), "segment")
+        .withColumn("base", F.expr(base)).withColumn("words", F.expr("slice(words, base + 1, last + m - base)"))
+        .withColumn("H", F.expr(shingles("words"))).drop("words")
+        .join(items.select("item", "item_shingles"), "item")
+        .withColumn("known", F.expr("transform(H, h -> array_contains(item_shingles, h))"))
+    )
+    spans = (
+        f"filter(transform(sequence(first - m + {WIDTH}, last), at -> struct(greatest(at, 0) AS start, "
+        f"least(at + m, n) - greatest(at, 0) AS m)), w -> w.m >= {WIDTH})"
+    )
+
+    def inside(of: str) -> str:
+        return f"slice({of}, w.start - base + 1, w.m - {WIDTH - 1})"
+
+    least = f"{similarity} * (w.m - {WIDTH - 1} + size(item_shingles)) / (1 + {similarity}) - 1e-6"
+    hopeful = f"filter(array_distinct({spans}), w -> size(filter({inside('known')}, k -> k)) >= {least})"
+    windows = pieces.select("row", "item", "low", "base", "item_shingles", "H", F.expr(f"explode({hopeful})").alias("w"))
+    return windows.withColumn("doc_shingles", F.expr(inside("H"))).select(
+        "row", (F.col("low") + F.col("w.start")).alias("start"), "w.m", "item",
+        F.expr(similarity_of("doc_shingles", "item_shingles")).alias("similarity"),
+    ).filter(F.col("similarity") >= similarity)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, contaminated, item_ids, spans (first word, words, item,
     similarity) and text_hash."""
@@ -154,6 +196,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
         ])).alias("h"),
     )
     # A segment ends less than ``reach`` words from its places only where the text ends.
+    # A shingle that is in no item can lead nowhere.
+    anchors = checkpointed(anchors.join(index.select("h").distinct(), "h", "left_semi"))
     windows = anchors.join(index, "h").select(
         "segment", "m", F.expr("greatest(p - q, 0)").alias("start"), F.expr("least(p - q + m, n)").alias("end")
     ).distinct()
@@ -179,11 +223,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
         f"bit_count(print ^ item_print) <= {RADIUS} AND {first}"
     ).select("row", "start", "words", "item")
     exact = hits.withColumn("doc_shingles", F.expr(shingles("words"))).join(
-        items.select("item", "item_shingles", "item_ids"), "item"
-    ).withColumn("similarity", similarity_of("doc_shingles", "item_shingles")).filter(F.col("similarity") >= similarity)
-    matches = exact.groupBy("row").agg(
+        items.select("item", "item_shingles"), "item"
+    ).withColumn("similarity", F.expr(similarity_of("doc_shingles", "item_shingles"))).filter(F.col("similarity") >= similarity)
+    found = exact.select("row", "start", F.size("words").alias("m"), "item", "similarity").union(
+        around_rare_shingles(segments, anchors, items, similarity)
+    ).join(items.select("item", "item_ids"), "item")
+    matches = found.groupBy("row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
-        F.array_sort(F.collect_set(F.struct("start", F.size("words").alias("m"), "item", "similarity"))).alias("spans"),
+        F.array_sort(F.collect_set(F.struct("start", "m", "item", "similarity"))).alias("spans"),
     )
     return rows.select("row", "doc_id", "text_hash").join(matches, "row", "left").select(
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"),

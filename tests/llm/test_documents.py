@@ -137,6 +137,31 @@ def test_items_cut_by_the_ends_of_a_text(spark, make_docs):
     assert want != dict(enumerate(brute_contaminated(texts, items)))
 
 
+def test_similar_items_at_any_distance_of_bits(spark, make_docs):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([9, 15, 45, 59, 100])))) for k in range(8)]
+    items += [(90, "a b c d e " * 8), (91, "a b c d e f " * 7)]
+    texts = []
+    for _, item in items:
+        words = plain_words(item)
+        for share in (0.04, 0.08, 0.1, 0.12):
+            n = max(1, int(share * len(words)))
+            at = rng.randrange(len(words) - n)
+            new = rng.choices(vocab, k=n)
+            half = len(words) // 2
+            for copy in (words[:-n] + new, new + words[n:], words[:at] + new + words[at + n :], words[half:] + words[:half]):
+                texts.append(rng.choices(vocab, k=rng.randint(0, 70)) + copy + rng.choices(vocab, k=rng.randint(0, 70)))
+    texts = [" ".join(t) for t in texts]
+    rows = decontaminate.contaminated(make_docs(list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = dict(enumerate(brute_clipped(texts, items)))
+    assert {r.doc_id: r["item_ids"] for r in rows} == want and 30 < sum(map(bool, want.values())) < len(want)
+    for r in rows:
+        for at in r.spans or ():
+            own, item = (Counter(windows(w)) for w in (plain_words(texts[r.doc_id])[at.start : at.start + at.m], plain_words(dict(items)[at.item])))
+            assert (own & item).total() / (own | item).total() == pytest.approx(at.similarity) and at.similarity >= 0.8
+
+
 def test_near_fingerprints_meet_in_a_block():
     rng = random.Random(1)
     near = set(decontaminate.NEAR)
