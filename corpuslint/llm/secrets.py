@@ -1,6 +1,8 @@
 """Secret scan: candidate strings, then a random forest that removes false positives.
 
-Candidates are values after ``=`` or ``:`` and long runs of key characters with a digit. The forest looks at a
+Candidates are values of four characters or more after secret words (assigned by ``=``, ``:``, ``=>`` and the like, over
+blanks and line breaks, or after blanks alone as on a command line; quoted ones up to their quote), values of eight or
+more after any ``=`` or ``:``, and runs of 20 or more key characters with a digit. The forest looks at a
 candidate's length, its character classes and transitions, how much of it dictionary words cover, signs of paths,
 URLs and placeholders, and the words next to it. It is trained from labelled findings (text, label), by default
 ``labelled_findings``, at most ``most_labels`` of them, and compiled into one column expression. A document is judged
@@ -19,15 +21,26 @@ from .common import smallest_hashes
 from .trees import forest, tree_sql
 
 KEY = r"A-Za-z0-9_+/=\-"
-CANDIDATE = (
-    r"(?<=[:=][ \t]{0,2}[\x22\x27\x60]{0,1})[^\s\x22\x27\x60<>,;:=]{8,}"
-    rf"|(?<![{KEY}])(?=[A-Za-z_+/=\-]*+[0-9])[{KEY}]{{20,}}+"
-)
 MARK = "\x01"
 REMOVED = "[SECRET]"
 CONTEXT = 60
 #: Words that speak for or against a secret, and words of ordinary names and paths.
 SECRET_WORDS = "token|secret|passw|pwd|passphrase|api.?key|access.?key|private.?key|auth|bearer|credential|signature"
+NAME = rf"(?i:{SECRET_WORDS})[\w\-]{{0,100}}+[\x22\x27\x60\])]{{0,2}}+"
+ASSIGNED = r"\s*+(?:=>|:=|->|={1,3}|[:>])\s*+(?:(?i:bearer|basic|digest|token|apikey)\s++)?+"
+#: Blanks alone, unless the next word is a name itself.
+BLANKS = rf"\s++(?![\w\-]*+[\x22\x27\x60]?\s*+[:=]|(?i:{SECRET_WORDS})[A-Za-z_\-]*+\s)"
+#: Up to a blank or quote, the next name of a list or a closing tag, without punctuation at the end.
+STOPS = r"\s\x22\x27\x60"
+POINTS = r",;.:)\]}&<"
+BARE = rf"(?=[^{STOPS}]{{4}})(?:[^{STOPS}{POINTS}]++|(?!</|[;,&]\w++=)[{POINTS}]++(?=[^{STOPS}{POINTS}]))++"
+CANDIDATE = (
+    rf"({NAME}(?:{ASSIGNED}|{BLANKS}))"
+    rf"(?:(\x22)([^\x22\r\n]{{4,}}+)(?=\x22)|(\x27)([^\x27\r\n]{{4,}}+)(?=\x27)|([\x22\x27\x60]?+)({BARE}))"
+    r"|((?<=[:=][ \t]{0,2}[\x22\x27\x60]{0,1})[^\s\x22\x27\x60<>,;:=]{8,}"
+    rf"|(?<![{KEY}])(?=[A-Za-z_+/=\-]*+[0-9])[{KEY}]{{20,}}+)"
+)
+MARKED = "$1$2$4$6\x01$3$5$7$8\x01"
 HASH_WORDS = "commit|revision|sha|md5|checksum|digest|hash|etag|build|image|layer|integrity"
 ID_WORDS = "uuid|guid|\\bid\\b|order|invoice|phone|card|version|session name|file|path|url|link|page|class"
 PLACEHOLDERS = "example|sample|dummy|your|change.?me|placeholder|xxxx|test|todo|none|null|redacted|default|insert|here"
@@ -58,12 +71,14 @@ FEATURES = {
     "slashes": "length(v) - length(regexp_replace(v, '[/.]', ''))",
     "uuid": "CASE WHEN lower(v) RLIKE '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$' THEN 1 ELSE 0 END",
     "placeholder": f"CASE WHEN lower(v) RLIKE '{PLACEHOLDERS}' THEN 1 ELSE 0 END",
-    "secret_near": f"CASE WHEN lower(b) RLIKE r'(?:{SECRET_WORDS})[a-z_]*\\W{{0,6}}$' THEN 1 ELSE 0 END",
+    "secret_near": f"CASE WHEN lower(b) RLIKE r'(?:{SECRET_WORDS})[a-z_]*\\W{{0,6}}(?:(?:basic|bearer) )?$' THEN 1 ELSE 0 END",
     "secret_left": f"CASE WHEN lower(b) RLIKE r'{SECRET_WORDS}' THEN 1 ELSE 0 END",
     "hash_left": f"CASE WHEN lower(b) RLIKE r'(?:{HASH_WORDS})\\W+\\w*\\W*$' THEN 1 ELSE 0 END",
     "id_left": f"CASE WHEN lower(b) RLIKE r'(?:{ID_WORDS})\\W*$' THEN 1 ELSE 0 END",
-    "assigned": r"CASE WHEN b RLIKE r'[:=]\s*[\x22\x27]?$' THEN 1 ELSE 0 END",
+    "assigned": r"CASE WHEN b RLIKE r'(?:[:=]|=>)\s*[\x22\x27]?$' THEN 1 ELSE 0 END",
     "quoted": r"CASE WHEN b RLIKE r'[\x22\x27]$' AND a RLIKE r'^[\x22\x27]' THEN 1 ELSE 0 END",
+    "option": r"CASE WHEN b RLIKE r'(?:^|\s)--?[\w\-]+[ =]+[\x22\x27]?$' THEN 1 ELSE 0 END",
+    "scheme": r"CASE WHEN lower(b) RLIKE r'(?:basic|bearer)\s+$' THEN 1 ELSE 0 END",
     "prefixed": "CASE WHEN v RLIKE '^(ghp_|gho_|glpat-|xox[abp]-|sk_live_|sk-|AKIA|AIza|eyJ)' THEN 1 ELSE 0 END",
 }
 
@@ -72,7 +87,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """Adds ``_secret_parts``: the text cut at its candidates, which have the odd places, and ``_secret_found``: per
     candidate its value and the text on both sides."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, " ")
-    marked = F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}")
+    marked = F.regexp_replace(text, CANDIDATE, MARKED)
     cut = docs.withColumn("_secret_parts", F.split(marked, MARK))
     found = (
         "CASE WHEN size(_secret_parts) > 1 THEN transform(sequence(1, size(_secret_parts) - 2, 2), i -> struct("
@@ -108,6 +123,12 @@ def labelled_findings(spark: SparkSession, n: int = 2000) -> DataFrame:
         f"concat('Authorization: Bearer ', left({mixed}, 40 + {size}))",
         f"concat(element_at(array('ghp_', 'glpat-', 'sk_live_', 'AKIA', 'eyJ'), 1 + {size} % 5), left(translate({mixed}, '+/', 'ab'), 30))",
         f"concat({key}, {sign}, left({mixed}, 9 + {size} % 6), '!')",
+        f"concat('run --', {key}, ' ', left({mixed}, 9 + {size} % 16))",
+        f"concat({key}, ' => ''', left({mixed}, 9 + {size} % 6), '!''')",
+        f"concat('\"', {key}, '\":', element_at(array('   ', '\n  ', '\t\t'), 1 + {size} % 3), '\"', left({mixed}, 9 + {size} % 9), '\"')",
+        f"concat('Authorization: Basic ', left({mixed}, 12 + {size}))",
+        f"concat(element_at(array('Bearer ', 'Authorization: Bearer '), 1 + {size} % 2), translate(left({mixed}, 24 + {size}), '0123456789+/', 'gkzqXvWJbPhd'))",
+        f"concat({key}, {sign}, left({mixed}, 2), ',', substr({mixed}, 3, 2), ':', substr({mixed}, 5, 6 + {size} % 6))",
     ]
     others = [
         f"concat(element_at(array('commit ', 'revision ', 'sha256: ', 'md5: ', 'checksum = ', 'digest: '), 1 + {size} % 6), left({hexes}, 32 + {size}))",
@@ -119,6 +140,11 @@ def labelled_findings(spark: SparkSession, n: int = 2000) -> DataFrame:
         f"concat(element_at(array('order: ', 'phone = ', 'card: ', 'version: '), 1 + {size} % 4), CAST(abs(xxhash64(id)) AS STRING), '{'0' * 3}')",
         f"concat({plain}, ': ', {spoken}, {spoken})",
         f"concat({key}, ': ', {spoken}, {spoken}, '.')",
+        f"concat({key}, ' ', {spoken})",
+        f"concat('the ', {key}, ' ', element_at(array('needed', 'must match', 'expires soon', 'reset page', 'holder', 'which is new'), 1 + {size} % 6))",
+        f"concat({key}, ' => ''', {spoken}, '''')",
+        f"concat('\"', {key}, '\":   \"', element_at(array('your token', 'changeme123', 'none', 'example-password', 'insert here'), 1 + {size} % 5), '\"')",
+        f"concat('bearer of ', {spoken}, element_at(array(', author ', ', authority: ', ' --author '), 1 + {size} % 3), initcap({spoken}))",
         f"concat({plain}, ' ', {spoken}, '-', {spoken}, '-', {spoken}, '-', {size})",
     ]
     kinds = [

@@ -38,6 +38,21 @@ def test_secrets_and_look_alikes(make_docs, model):
     assert all(texts[r.doc_id][r.start : r.start + r.length] == r.value for r in rows)
 
 
+def test_forms_of_secrets(make_docs, model):
+    forms = [
+        ("mysql --password {} -h db", "S3cr3tPass1"), ("password => '{}',", "S3cr3tPass!"), ('"password":   "{}"', "S3cr3tPass1"),
+        ('"password":\n    "{}"', "S3cr3tPass1"), ("Authorization: Basic {}", "dXNlcjpwYXNz"), ("Bearer {}", "qWmZkTxRbVnLpJhGfDsQzXcY"),
+        ("pwd=ab,{}", "cd:efgh12"), ("secret token = {} end", "q8Zk2Lm9"), ("a password=x9Kq27Lp;server=main", None),
+    ]
+    texts = [f.format(v) for f, v in forms]
+    want = {i: v for i, (_, v) in enumerate(forms)} | {6: "ab,cd:efgh12", 8: "x9Kq27Lp"}
+    plain = ["the password needed here", "a token of thanks", "secret holder came", "author Johnson wrote", "their authority over towns"]
+    rows = secrets.findings(make_docs(list(enumerate([*texts, *plain]))), model).collect()
+    assert {r.doc_id: r.value for r in rows if r.doc_id < len(texts)} == want
+    assert {r.doc_id for r in rows if r.secret} == set(want), [(r.value, r.probability) for r in rows]
+    assert all([*texts, *plain][r.doc_id][r.start : r.start + r.length] == r.value for r in rows)
+
+
 def test_places_of_many_candidates(make_docs, model):
     text = "é\U0001f600 ".join(f'x token = "{zlib.crc32(bytes([k])):08x}{HEX[:20]}" y\n' for k in range(150))
     rows = sorted(secrets.findings(make_docs([(1, text)]), model).collect(), key=lambda r: r.start)
