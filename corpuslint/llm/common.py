@@ -48,6 +48,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def saved(frame: DataFrame) -> DataFrame:
+    """Computed once into a table of the shared folder. Unlike a checkpoint it carries no inferred constraints along, which
+    multiply when a loop joins one step's result in the next."""
+    folder = fresh_folder(frame.sparkSession, "saved")
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_RUN)
@@ -63,11 +71,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def checked_broadcast(ids: DataFrame) -> DataFrame:
-    """A saved one-column table of ids, broadcast if there are at most ``BROADCAST_IDS`` (some 16 MB), else as it is."""
+    """A saved table of ids and hashes, broadcast if there are at most ``BROADCAST_IDS`` (some 24 MB), else as it is."""
     ids = checkpointed(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 

@@ -8,15 +8,26 @@ probability (1 - (1 - s**rows)**bands)**2, which is 0.9996 at 0.85 and more abov
 
 Inside a bucket the member that shares the most buckets with others is the hub. Round one confirms all members
 against their hubs and joins what is linked into components; a group of copies falls together here, in as many
-comparisons as it has members. Round two takes the buckets that still hold several components. A shingle that only one
-of their documents has can be in no intersection, which bounds every similarity from above; most members of a group
-that are not linked to its hub drop out here. Every pair of a bucket in different components that the bound and the
-minhashes allow (no pair of the wanted similarity fails their test by less than six standard deviations) is confirmed.
-So no link of a bucket is lost and no group is expanded into all its pairs.
+comparisons as it has members. The members around one hub that are still in several components are a group to refine.
+A shingle that only one of these documents has can be in no intersection, which bounds every similarity from above;
+most members that are not linked to the hub drop out by that bound.
 
-Texts without words and null texts have an empty set and stay alone. Rows with null ``doc_id`` are not compared: their
-component is null and they are kept. Rows that repeat a doc_id count as one document if their sets are equal. Other
-columns are not read. An empty table gives no rows."""
+Groups of at most ``leaf`` members are compared pair by pair. In a larger group every member is described by its
+difference from the hub: the hub's shingles it lacks and those it has beside. For two members x and y
+
+    |x & y| = |hub| - |lacks(x) | lacks(y)| + |beside(x) & beside(y)|,
+
+so a linked pair must have ``need`` = cost(x) + cost(y) - slack(hub) differences in common, where cost = (1 - r) lacks +
+r beside, slack = (1 - 2 r) |hub|, r = similarity / (1 + similarity). If need is not positive, both are linked to the
+hub and in one component already. All others share one of their size - need + 1 rarest differences, and the members
+that share one form a smaller group with a hub of its own. Differences inside one component only, or of one member, lead
+to nothing. Every step compares each member with one hub, so a group of many different near copies is resolved in
+about as many comparisons as it has members, no pair that shares a bucket is lost, and no group is expanded into pairs.
+
+Texts without words and null texts have an empty set and stay alone. Rows decide for themselves: a doc_id that repeats
+with another text is another document, of rows repeated in full one stays, and rows with null ``doc_id`` are compared
+as well (after all others; the component_id of a component without any id is null). Other columns are not read. An
+empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -31,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bpe import slices
-from .common import checked_broadcast, checkpointed, fresh_folder, on_workers
+from .common import checked_broadcast, fresh_folder, on_workers, saved
 
 PLANES = 4
 
@@ -77,18 +88,19 @@ def _band_columns(bands: int) -> list[str]:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set, the bands of both collections and four bits of every minhash."""
+    """row, doc_id, text_hash, n_shingles, a digest of the set, the bands of both collections and four bits of every
+    minhash."""
     on_workers(docs.sparkSession)
-    names = ["doc_id", "n_shingles", "d1", "d2", *_band_columns(bands), *[f"p{i}" for i in range(PLANES)]]
+    names = [*ROW, "n_shingles", "d1", "d2", *_band_columns(bands), *[f"p{i}" for i in range(PLANES)]]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 2 * bands * rows
         factors, shifts, mixers = _odd(11, n)[:, None], _odd(13, n)[:, None], _odd(17, rows)
         bits = np.uint64(1) << np.arange(n, dtype=np.uint64)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, len(ROW)):
                 found = []
-                for s in shingle_sets(part.column(1), width):
+                for s in shingle_sets(part.column(len(ROW)), width):
                     digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                     least = np.full(n, ~np.uint64(0))
                     for i in range(0, len(s), 4096):
@@ -100,24 +112,37 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     ]
                     found.append((len(s), *digest.tolist(), *band.tolist(), *planes))
                 columns = zip(*found, strict=True)
-                yield pa.record_batch([part.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=names)
+                yield pa.record_batch(
+                    [*part.columns[: len(ROW)], *[pa.array(c, pa.int64()) for c in columns]], names=names
+                )
 
     schema = ", ".join(f"{c} long" for c in names)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, schema)
+    return numbered(docs).mapInArrow(sketch, schema)
+
+
+ROW = ["row", "doc_id", "text_hash"]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (a number that says nothing), doc_id, text_hash and text; a column ``row`` of the caller's is not read."""
+    return docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"),
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (id, other): the smallest id that can be reached.
 
     Labels move along edges and then jump to the label of their label, until none changes."""
-    both = checkpointed(edges.union(edges.select("other", "id")).distinct())
-    labels = checkpointed(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")))
+    both = saved(edges.union(edges.select("other", "id")).distinct())
+    labels = saved(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")))
     while True:
         near = labels.select(F.col("id").alias("other"), F.col("component").alias("seen"))
         seen = both.join(near, "other").groupBy("id").agg(F.min("seen").alias("seen"))
         moved = labels.join(seen, "id").select("id", "component", F.least("component", "seen").alias("next"))
         far = labels.select(F.col("id").alias("next"), F.col("component").alias("jump"))
-        new = checkpointed(
+        new = saved(
             moved.join(far, "next").select("id", "component", F.least("next", "jump").alias("next"))
         )
         labels = new.select("id", F.col("next").alias("component"))
@@ -134,13 +159,14 @@ def _plausible(similarity: float, hashes: int) -> Column:
     return sizes & (F.bit_count(differ) <= limit)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the documents ``ids``, saved."""
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the classes ``nodes`` (id, doc_id, text_hash of one of their rows), saved."""
     spark = docs.sparkSession
     on_workers(spark)
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(
-        checked_broadcast(ids.distinct()), "id"
-    )
+    nodes = checked_broadcast(nodes.distinct())
+    texts = numbered(docs).alias("t")
+    same = (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+    wanted = texts.join(nodes.alias("w"), same).select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,90 +181,179 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def _confirmed(pairs: DataFrame, found: DataFrame, similarity_percent: int) -> DataFrame:
-    """Those ``pairs`` (id, other) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, found: DataFrame, similarity_percent: int) -> DataFrame:
+    """``pairs`` (id, other, ...) with both full sets, what they share, and whether that is enough."""
     # The pairs get the hubs' sets first, so the sets that travel are spread by id.
     other = found.select(F.col("id").alias("other"), F.col("set").alias("other_set"))
-    shared = F.size(F.array_intersect("set", "other_set"))
-    union = F.size("set") + F.size("other_set") - shared
-    return pairs.join(other, "other").join(found, "id").filter(100 * shared >= similarity_percent * union).select("id", "other")
+    both = pairs.join(other, "other").join(found, "id").withColumn("shared", F.size(F.array_intersect("set", "other_set")))
+    union = F.size("set") + F.size("other_set") - F.col("shared")
+    return both.withColumn("linked", 100 * F.col("shared") >= similarity_percent * union)
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after more ``links`` (id, other); nodes without a label are their own component."""
+    ends = links.select("id", "other").join(labels, "id", "left").select(
+        F.coalesce("component", "id").alias("a"), F.col("other").alias("id"), F.col("id").alias("first")
+    ).join(labels, "id", "left").select("first", "a", F.col("id").alias("second"), F.coalesce("component", "id").alias("b"))
+    ends = saved(ends.filter("a <> b"))
+    if ends.isEmpty():
+        return labels
+    moved = components(ends.select(F.col("a").alias("id"), F.col("b").alias("other"))).select(
+        F.col("id").alias("component"), F.col("component").alias("next")
+    )
+    fresh = ends.select(F.col("first").alias("id")).union(ends.select("second")).distinct()
+    every = labels.unionByName(fresh.join(labels, "id", "left_anti").withColumn("component", F.col("id")))
+    return saved(every.join(moved, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (g, id, ...) of groups in several components, with component and size of the group."""
+    labelled = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = labelled.groupBy("g").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low < high")
+    return labelled.join(groups.select("g", "size"), "g")
+
+
+def smaller_groups(members: DataFrame, differences: DataFrame, similarity: float) -> DataFrame:
+    """Groups (g, id) in which every linked pair of different components of a group meets again.
+
+    ``members``: g, id, component; ``differences``: g, id, lacks, beside, hub_size, features. Members are sorted into
+    classes of similar cost, as what a pair needs depends on both costs."""
+    r = similarity / (1 + similarity)
+    described = members.select("g", "id", "component").join(differences, ["g", "id"])
+    features = described.select("g", "id", "component", F.explode("features").alias("e"))
+    useful = features.groupBy("g", "e").agg(
+        F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low < high").select("g", "e", "often")
+    ranked = features.join(useful, ["g", "e"]).groupBy("g", "id").agg(
+        F.array_sort(F.collect_list(F.struct("often", "e"))).alias("features")
+    )
+    cost = F.col("lacks") * (1 - r) + F.col("beside") * r
+    own = saved(
+        described.select("g", "id", "hub_size", cost.alias("cost")).join(ranked, ["g", "id"])
+        .withColumn("class", F.floor(F.log(F.greatest("cost", F.lit(0.1))) / math.log(1.25)).cast("int"))
+        .withColumn("most", F.size("features"))
+    )
+    classes = own.groupBy("g", "class").agg(F.min("cost").alias("least"), F.max("most").alias("most"))
+    mine = classes.select("g", "class", F.col("least").alias("my_least"))
+    theirs = classes.select("g", F.col("class").alias("their_class"), F.col("least").alias("their_least"), F.col("most").alias("their_most"))
+    # At most a few dozen classes a group; a margin keeps rounding from asking for one too many.
+    need = F.greatest(
+        F.lit(1), F.ceil(F.col("my_least") + F.col("their_least") - F.col("hub_size") * (1 - 2 * r) - 1e-6).cast("int")
+    )
+    met = own.join(mine, ["g", "class"]).join(theirs, "g").withColumn("need", need).filter(
+        "most >= need AND their_most >= need"
+    )
+    prefix = F.expr("slice(features, 1, most - need + 1)")
+    key = F.xxhash64("g", F.least("class", "their_class"), F.greatest("class", "their_class"), "f.e")
+    return met.withColumn("f", F.explode(prefix)).select(key.alias("g"), "id").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int = 5, bands: int = 9,
-                    rows: int = 3) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) as doc_id, n_shingles, component_id, kept."""
+                    rows: int = 3, leaf: int = 16) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) as doc_id, n_shingles, component_id, kept, stays, text_hash.
+
+    ``kept`` compares the ids; ``stays`` is true for exactly one row of every component."""
     spark: SparkSession = docs.sparkSession
     similarity, hashes = similarity_percent / 100, 2 * bands * rows
-    folder = fresh_folder(spark, "sketches")
+    folder, class_folder = fresh_folder(spark, "sketches"), fresh_folder(spark, "classes")
     sketches(docs, width, bands, rows).write.parquet(folder)
     sketch = spark.read.parquet(folder)
-    per_class = ["n_shingles", "d1", "d2", *_band_columns(bands), *[f"p{i}" for i in range(PLANES)]]
-    classes = checkpointed(
-        sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*per_class).agg(F.min("doc_id").alias("id"))
-    )
+    same = ["n_shingles", "d1", "d2"]
+    of_set = [*_band_columns(bands), *[f"p{i}" for i in range(PLANES)]]
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")
+    # Ids of classes rise with the first row of each, so the smallest id of a component names the row that stays.
+    sketch.filter("n_shingles > 0").groupBy(*same).agg(
+        F.min(rank).alias("first"), *[F.any_value(c).alias(c) for c in of_set]
+    ).orderBy("first").select(
+        F.monotonically_increasing_id().alias("id"), *same, *of_set, "first.doc_id", "first.row", "first.text_hash"
+    ).write.parquet(class_folder)
+    classes = spark.read.parquet(class_folder)
+    texts = classes.select("id", "doc_id", "text_hash")
     info = classes.select("id", F.col("n_shingles").alias("n"), *[f"p{i}" for i in range(PLANES)])
 
     first, second = (F.array(*[f"{x}{i}" for i in range(bands)]) for x in "ab")
     keys = F.flatten(
         F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(a, b, i * bands + j)))
     )
-    members = classes.select("id", F.posexplode(keys).alias("t", "key"))
+    members = classes.select("id", F.explode(keys).alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = checkpointed(members.join(shared, "key").select("key", "t", "id", "size"))
-
+    buckets = saved(members.join(shared, "key").select("key", "id", "size"))
     weights = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = buckets.join(weights, "id")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top"))
+    hubs = buckets.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top"))
     starred = buckets.join(hubs.select("key", (-F.col("top.col2")).alias("other")), "key")
-    stars = starred.filter("id <> other").select("id", "other").distinct()
+    around = saved(starred.filter("id <> other").select("id", "other").distinct())
     test = _plausible(similarity, hashes)
-    stars = checkpointed(
-        stars.join(info.alias("u"), "id").join(info.withColumnRenamed("id", "other").alias("v"), "other")
+    stars = saved(
+        around.join(info.alias("u"), "id").join(info.withColumnRenamed("id", "other").alias("v"), "other")
         .filter(test).select("id", "other")
     )
-    sets = _sets(docs, stars.select("id").union(stars.select("other")), width)
-    links = checkpointed(_confirmed(stars, sets, similarity_percent))
+    sets = _sets(docs, texts.join(stars.select("id").union(stars.select("other")).distinct(), "id", "left_semi"), width)
+    links = saved(_compared(stars, sets, similarity_percent).filter("linked").select("id", "other"))
     labels = components(links)
 
-    held = buckets.select("key", "t", "id").join(labels, "id", "left").select(
-        "key", "t", "id", F.coalesce("component", "id").alias("component")
-    )
-    sizes = held.groupBy("key", "component").agg(F.count("*").alias("size"))
-    open_keys = sizes.groupBy("key").agg(
-        F.count("*").alias("parts"), F.max(F.struct("size", F.col("component").alias("c"))).alias("top")
-    ).filter("parts > 1").select("key", F.col("top.c").alias("largest"))
-    rest = checkpointed(held.join(open_keys, "key"))
-    sets = _sets(docs, rest.select("id"), width)
-    # A shingle that no other of these documents has is in no intersection.
-    alone = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(
-        F.count("*").alias("n"), F.min("id").alias("id")
-    ).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    common = info.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    common = common.filter(100 * F.col("common") >= similarity_percent * F.col("n"))
-    rest = checkpointed(rest.join(common, "id").join(classes.select("id", *_band_columns(bands)), "id"))
-    u, v = rest.filter("component <> largest").alias("u"), rest.alias("v")
-    apart = (F.col("u.key") == F.col("v.key")) & (F.col("u.component") != F.col("v.component")) & (
-        (F.col("v.component") == F.col("v.largest")) | (F.col("u.id") < F.col("v.id"))
-    )
-    # A pair meets in many tables; it counts in the one of its first common bands.
-    for x, place in (("a", F.floor(F.col("u.t") / bands)), ("b", F.col("u.t") % bands)):
-        for k in range(bands - 1):
-            apart &= (place <= k) | (F.col(f"u.{x}{k}") != F.col(f"v.{x}{k}"))
+    groups = around.select(F.col("other").alias("g"), "id").unionByName(around.select(F.col("other").alias("g"), F.col("other").alias("id")).distinct())
+    opened = saved(_open(groups, labels).drop("size"))
+    if not opened.isEmpty():
+        sets = _sets(docs, texts.join(opened.select("id").distinct(), "id", "left_semi"), width)
+        # A shingle that no other of these documents has is in no intersection.
+        alone = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(
+            F.count("*").alias("often"), F.min("id").alias("id")
+        ).filter("often = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        common = info.join(opened.select("id").distinct(), "id", "left_semi").join(alone, "id", "left").withColumn(
+            "common", F.col("n") - F.coalesce("alone", F.lit(0))
+        ).drop("alone")
+        hopeful = saved(common.filter(100 * F.col("common") >= similarity_percent * F.col("n")))
+        labels = _refined(
+            opened.join(hopeful.select("id"), "id", "left_semi").select("g", "id"), labels, sets, hopeful, test,
+            similarity_percent, leaf,
+        )
+
+    winners = classes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"), F.col("row").alias("winner"))
+    resolved = classes.join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("component")).join(
+        winners, "component"
+    ).drop("component")
+    answered = sketch.select("row", "doc_id", "text_hash", *same).join(resolved, same, "left")
+    alone, stays = F.col("winner").isNull(), F.coalesce(F.col("row") == F.col("winner"), F.lit(True))
+    return answered.select(
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        stays.alias("stays"), "text_hash",
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays"))
+
+
+def _refined(groups: DataFrame, labels: DataFrame, sets: DataFrame, hopeful: DataFrame, test: Column,
+             similarity_percent: int, leaf: int) -> DataFrame:
+    """``labels`` after all links between members of one group (g, id) are found."""
+    small = None
+    while True:
+        opened = saved(_open(groups, labels))
+        few = opened.filter(F.col("size") <= leaf).select("g", "id")
+        small = few if small is None else small.unionByName(few)
+        large = opened.filter(F.col("size") > leaf)
+        if large.isEmpty():
+            break
+        # Level by level: the hub is the first member of the component that has the most.
+        parts = large.groupBy("g", "component").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        hubs = parts.groupBy("g").agg(F.max(F.struct("n", -F.col("id"))).alias("top")).select("g", (-F.col("top.col2")).alias("other"))
+        spokes = large.join(hubs, "g").filter("id <> other").select("g", "id", "other")
+        pairs = saved(_compared(spokes.select("id", "other").distinct(), sets, similarity_percent).select(
+            "id", "other", "linked", (F.size("other_set") - F.col("shared")).alias("lacks"),
+            (F.size("set") - F.col("shared")).alias("beside"), F.size("other_set").alias("hub_size"),
+            F.concat(F.array_except("other_set", "set"), F.array_except("set", "other_set")).alias("features"),
+        ))
+        labels = _relabelled(labels, pairs.filter("linked").select("id", "other"))
+        still = saved(_open(large.select("g", "id"), labels))
+        differences = spokes.join(still.select("g").distinct(), "g", "left_semi").join(pairs, ["id", "other"])
+        groups = saved(smaller_groups(still, differences.select(
+            "g", "id", "lacks", "beside", "hub_size", "features"
+        ), similarity_percent / 100))
+
+    held = saved(_open(small, labels)).join(hopeful, "id")
+    u, v = held.alias("u"), held.alias("v")
     most = F.least("u.common", "v.common")
     possible = 100 * most >= similarity_percent * (F.col("u.n") + F.col("v.n") - most)
-    across = u.join(v, apart & possible & test).select(F.col("u.id").alias("id"), F.col("v.id").alias("other")).distinct()
-    tried = stars.union(stars.select("other", "id"))
-    across = checkpointed(across.join(tried, ["id", "other"], "left_anti"))
-    if not across.isEmpty():
-        more = checkpointed(_confirmed(across, sets, similarity_percent))
-        if not more.isEmpty():
-            labels = components(links.union(more))
-
-    resolved = classes.join(labels, "id", "left").select(
-        "n_shingles", "d1", "d2", F.coalesce("component", "id").alias("component")
-    )
-    same = ["n_shingles", "d1", "d2"]
-    return sketch.select("doc_id", *same).join(resolved, same, "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    apart = (F.col("u.g") == F.col("v.g")) & (F.col("u.id") < F.col("v.id")) & (F.col("u.component") != F.col("v.component"))
+    pairs = saved(u.join(v, apart & possible & test).select(F.col("u.id").alias("id"), F.col("v.id").alias("other")).distinct())
+    more = saved(_compared(pairs, sets, similarity_percent).filter("linked").select("id", "other"))
+    return _relabelled(labels, more)

@@ -109,12 +109,13 @@ def remainder(doc_id: str, n: int) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most_labels: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score, predicted and the statistics.
+    """doc_id, held_out, score, predicted, text_hash and the statistics.
 
     Learns from labels (doc_id, quality) whose id's remainder modulo 4 is not 2: of these the ``most_labels`` with the
     smallest hash of their id."""
-    stats = checkpointed(with_statistics(docs, "doc_id")).selectExpr(
-        "doc_id", *COUNTS, *[f"{sql} AS {name}" for name, sql in FEATURES.items()]
+    texts = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    stats = checkpointed(with_statistics(texts, "doc_id", "text_hash")).selectExpr(
+        "doc_id", "text_hash", *COUNTS, *[f"{sql} AS {name}" for name, sql in FEATURES.items()]
     )
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.when(F.avg("quality") >= 0.5, 1).otherwise(0).alias("y")
@@ -125,5 +126,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most
     bias, rules = fit(x, np.array([r["y"] for r in sample], float))
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return stats.withColumns({"held_out": held, "score": score_column(bias, rules)}).select(
-        "doc_id", "held_out", "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"), *COUNTS
+        "doc_id", "held_out", "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"), "text_hash", *COUNTS
     )

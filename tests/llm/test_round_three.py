@@ -167,8 +167,16 @@ def plain_alignment(files, texts):
         a, b = ranges(a), ranges(b)
         both = sorted({e for *_, e in a} & {e for *_, e in b})
         groups = []
-        for low, high in zip([0, *both], both):
-            sides = [",".join(str(i) for i, s, e in side if s >= low and e <= high) for side in (a, b)]
+        rest = [iter(a), iter(b)]
+        for high in both:
+            sides = []
+            for side in rest:
+                ids = []
+                for i, _, e in side:
+                    ids.append(str(i))
+                    if e == high:
+                        break
+                sides.append(",".join(ids))
             groups.append("|".join(sides))
         links, j0 = [], 0
         for i, s, e in a:
