@@ -3,7 +3,8 @@
 The tokenizer drops white space before it builds tokens, so a text's ids are those of its blank- or
 newline-separated words, one after the other. A batch is split into words and reduced to its distinct ones with
 Arrow; each worker keeps the ids of words it has seen (bounded; it starts anew when full) and runs the tokenizer
-over new ones only. The tokenizer also lower-cases, so A-Z are lowered before words are compared; a batch with
+over new ones only; a mark after a word of letters is a piece of its own, so "word," needs only "word" to be known. The
+tokenizer also lower-cases, so A-Z are lowered before words are compared; a batch with
 something like a special token is left as it is."""
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 SEPARATOR = "<|startoftext|>"
 END_ID = 1
 LONG = 64
+MARKS = frozenset(",.;:!?")
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -35,23 +37,34 @@ class WordEncoder:
         return [np.array(e.ids, dtype="<u4") for e in found]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = [w for w in new if len(w) <= LONG and "<|" not in w]
-        odd = [w for w in new if len(w) > LONG or "<|" in w]
+        # A capital sigma is lowered by what follows it, so such words stay whole.
+        marked = [w for w in new if w[-1:] in MARKS and w[:-1].isalpha() and "Σ" not in w and len(w) <= LONG]
+        cut = set(marked)
+        whole = {w for w in new if w not in cut} | {w[:-1] for w in marked} | {w[-1] for w in marked}
+        fresh = [w for w in whole if w not in self.known]
+        plain = [w for w in fresh if len(w) <= LONG and "<|" not in w]
+        odd = [w for w in fresh if len(w) > LONG or "<|" in w]
         learned = dict(zip(odd, (ids.tobytes() for ids in self._encode(odd)), strict=True))
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for group, ids in zip(groups, self._encode([SEPARATOR.join(g) for g in groups]), strict=True):
-            cuts = np.flatnonzero(ids == self.separator)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            learned.update({w: ids[a:b].tobytes() for w, a, b in zip(group, starts, ends, strict=True)})
+            cuts = np.flatnonzero(ids == self.separator).tolist()
+            raw = ids.tobytes()
+            starts, ends = [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]
+            learned.update({w: raw[4 * a : 4 * b] for w, a, b in zip(group, starts, ends, strict=True)})
+        codes = {w: learned[w] if w in learned else self.known[w] for w in whole}
+        learned.update({w: codes[w[:-1]] + codes[w[-1]] for w in marked})
         return learned
 
     def _words(self, words: list[str]) -> list[bytes]:
         codes = list(map(self.known.get, words))
-        learned = self._learn([w for w, code in zip(words, codes, strict=True) if code is None])
-        if learned:
+        new = [w for w, code in zip(words, codes, strict=True) if code is None]
+        if new:
+            learned = self._learn(new)
             codes = [learned[w] if code is None else code for w, code in zip(words, codes, strict=True)]
             short = {w: code for w, code in learned.items() if len(w) <= LONG}
-            self.known = short if len(self.known) + len(short) > self.limit else self.known | short
+            if len(self.known) + len(short) > self.limit:
+                self.known.clear()
+            self.known.update(short)
         return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -150,7 +150,7 @@ def decoded_segment(row: dict) -> bytes:
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, parts: int, segment_tokens: int = 1 << 21,
-          block_tokens: int = 1 << 18, lanes: int = 1024, checkpoint_steps: int = 256) -> None:
+          block_tokens: int = 1 << 19, lanes: int = 4096, checkpoint_steps: int = 64) -> None:
     """Write ``docs`` (doc_id, text) in ascending doc_id order as a file set of ``parts`` parts."""
     on_workers(docs.sparkSession)
 
