@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -84,14 +83,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = 8192) -> Dat
     pieces = checkpointed(pieces)
     groups = max(1, -(-pieces.count() // group_rows))
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=rows["bin_group"] * (1 << 32) + bins, offset=offsets).drop(columns="bin_group")
+        sequences = rows["bin_group"].to_numpy() * (1 << 32) + bins
+        return rows.drop_columns(["bin_group"]).append_column("sequence_id", pa.array(sequences)).append_column(
+            "offset", pa.array(offsets)
+        )
 
     # Row numbers of saved partitions do not change when a task is run again.
     dealt = pieces.withColumn("bin_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(place, PLACED)
+    return dealt.groupBy("bin_group").applyInArrow(place, PLACED)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, group_rows: int = 8192) -> DataFrame:

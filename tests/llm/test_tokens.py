@@ -132,3 +132,9 @@ def test_file_set(spark, edge_docs, vocabulary, tokenizer, tmp_path, segment_tok
 def test_empty_file_set(spark, edge_docs, vocabulary, tmp_path):
     rans.write(edge_docs.limit(0), f"{tmp_path}/f", vocabulary, 2)
     assert rans.read(spark, f"{tmp_path}/f").collect() == []
+
+
+def test_packing_keeps_large_ids_beside_a_null(make_docs, vocabulary):
+    ids = [1152921504606846977, 1152921504606846979, None, 2**53 + 1, 5]
+    rows = packing.pack_documents(make_docs([(i, f"word {i}") for i in ids]).coalesce(1), vocabulary, 64).collect()
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(map(str, ids))
