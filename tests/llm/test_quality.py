@@ -56,13 +56,90 @@ def test_weak_rules(edge_docs, make_docs):
     assert all(not failed and keep == (i < 100) for i, (keep, failed) in kept.items())
 
 
-def test_fit_is_the_posterior_of_its_weights():
-    n = len(weak_rules.RULES)
-    patterns = {(0,) * n: 50, (-1, *[0] * (n - 1)): 10, (-1, -1, *[0] * (n - 2)): 5, (*[0] * (n - 1), 1): 100}
-    prior, accuracy = weak_rules.fit(patterns)
-    assert 0.5 <= prior <= 0.95 and all(0.5 < a < 1 for a in accuracy)
-    adds = weak_rules.weights(prior, accuracy)
-    assert 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + adds[0]))) == pytest.approx(1 - accuracy[0])
+def plain_em(patterns, rounds):
+    """The same model, one pattern and rule at a time."""
+    kinds = [vote for vote, _ in weak_rules.RULES.values()]
+    prior = weak_rules.PRIOR
+    rates = [[weak_rules.START[vote][c] for vote in kinds] for c in (0, 1)]
+    for _ in range(rounds):
+        size, fired = [0.0, 0.0], [[0.0] * len(kinds), [0.0] * len(kinds)]
+        for pattern, n in patterns.items():
+            p = [prior, 1 - prior]
+            for c in (0, 1):
+                for k, vote in enumerate(pattern):
+                    p[c] *= rates[c][k] if vote else 1 - rates[c][k]
+            for c in (0, 1):
+                share = n * p[c] / sum(p)
+                size[c] += share
+                for k, vote in enumerate(pattern):
+                    fired[c][k] += share * bool(vote)
+        add = weak_rules.PSEUDO
+        rates = [[(fired[c][k] + add * weak_rules.START[vote][c]) / (size[c] + add) for k, vote in enumerate(kinds)] for c in (0, 1)]
+        prior = (size[0] + add * weak_rules.PRIOR) / (sum(size) + add)
+    return prior, rates
+
+
+def simulated(n, prior, good, bad, seed):
+    """Patterns of votes of documents of two kinds, with planted rates."""
+    rng = np.random.default_rng(seed)
+    kinds = np.array([vote for vote, _ in weak_rules.RULES.values()])
+    is_good = rng.random(n) < prior
+    fired = rng.random((n, len(kinds))) < np.where(is_good[:, None], good, bad)
+    return Counter(map(tuple, (fired * kinds).tolist()))
+
+
+def planted():
+    rng = np.random.default_rng(5)
+    kinds = np.array([vote for vote, _ in weak_rules.RULES.values()])
+    good = np.where(kinds == 1, rng.uniform(0.6, 0.95, len(kinds)), rng.uniform(0.01, 0.1, len(kinds)))
+    bad = np.where(kinds == 1, rng.uniform(0.1, 0.4, len(kinds)), rng.uniform(0.2, 0.6, len(kinds)))
+    good[0], bad[0] = 0.2, 0.22  # a rule that knows nothing
+    return good, bad
+
+
+def test_fit_against_plain_em():
+    patterns = simulated(400, 0.7, *planted(), 1)
+    model = weak_rules.fit(patterns, 15)
+    prior, rates = plain_em(patterns, 15)
+    assert model.prior == pytest.approx(prior) and model.good == pytest.approx(rates[0]) and model.bad == pytest.approx(rates[1])
+    assert weak_rules.fit({}).prior == weak_rules.PRIOR
+
+
+def test_planted_accuracies_are_found():
+    good, bad = planted()
+    model = weak_rules.fit(simulated(20_000, 0.7, good, bad, 2))
+    wanted = weak_rules.Model(0.7, good.tolist(), bad.tolist())
+    assert model.prior == pytest.approx(0.7, abs=0.05)
+    assert model.accuracy() == pytest.approx(wanted.accuracy(), abs=0.05)
+
+
+def test_a_noisy_bad_vote_does_not_reject(spark):
+    model = weak_rules.fit(simulated(20_000, 0.7, *planted(), 3))
+    names, kinds = list(weak_rules.RULES), [vote for vote, _ in weak_rules.RULES.values()]
+    praised = [vote if vote == 1 else 0 for vote in kinds]
+    rows = [praised, [-1, *praised[1:]], [-1 if vote == -1 else 0 for vote in kinds]]
+    scores = [r[0] for r in spark.createDataFrame(rows, names).select(weak_rules.posterior(model)).collect()]
+    assert scores[0] > 0.9 and scores[1] > 0.9 and scores[2] < 0.1
+
+    def plain(row):
+        odds = math.log(model.prior / (1 - model.prior))
+        for vote, g, b in zip(row, model.good, model.bad):
+            odds += math.log(g / b) if vote else math.log((1 - g) / (1 - b))
+        return 1 / (1 + math.exp(-odds))
+
+    assert scores == pytest.approx([plain(r) for r in rows])
+
+
+def test_verdict_on_documents(sf_docs):
+    """The posterior of the votes decides, and not whether all rules pass."""
+    rows = weak_rules.rate_documents(sf_docs).collect()
+    counts = Counter(tuple(r[n] for n in weak_rules.RULES) for r in rows if r.n_words >= weak_rules.LEAST_WORDS)
+    model = weak_rules.fit(counts)
+    for r in rows:
+        odds = math.log(model.prior / (1 - model.prior))
+        for name, g, b in zip(weak_rules.RULES, model.good, model.bad):
+            odds += math.log(g / b) if r[name] else math.log((1 - g) / (1 - b))
+        assert r.kept == (not r.base_failed and odds >= 0)
 
 
 def test_trees_and_paths():
