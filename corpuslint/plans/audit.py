@@ -21,7 +21,7 @@ from ..operators.probe import (
 )
 from ..packs.probes import MAX_FUNCTION_LINES, MAX_LINE_LENGTH, SUFFIXES
 from ..schemas import FINDING, SEVERITIES
-from ..sources.files import scan, scan_paths
+from ..sources.files import scan, scan_paths, scan_table
 from .storage import saved, shared_folder
 
 # Analyzer → (name, description, category).
@@ -359,3 +359,8 @@ def audit_path(spark: SparkSession, path: str, recursive: bool = True, **options
 def audit_paths(spark: SparkSession, paths: list[str], **options) -> Audit:
     """Audit several files or directories, every file once."""
     return Audit(scan_paths(spark, paths), **options)
+
+
+def audit_table(paths: DataFrame, **options) -> Audit:
+    """Audit of the files that a table names in its column ``path``; no path passes through the driver."""
+    return Audit(scan_table(paths), **options)

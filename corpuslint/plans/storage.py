@@ -16,10 +16,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """The rows of ``frame``, computed once into the checkpoint folder. Only a session that names none, as in tests,
-    gets a folder of its own."""
-    context = frame.sparkSession.sparkContext
+    """The rows of ``frame``, computed once into the checkpoint folder. A session that names none gets a folder of its own
+    if it runs on one machine, as in tests; on a cluster that is an error."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
+        local = context.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-") if local else shared_folder(spark))
     return frame.checkpoint()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .raw import exists, raw_files
+from .raw import exists, raw_files, table_files
 
 # What a scan reads and which directories it leaves out.
 SCAN_SUFFIXES = (
@@ -85,8 +85,9 @@ def scan(
     suffixes=SCAN_SUFFIXES,
     excluded=EXCLUDED_DIRECTORIES,
 ) -> DataFrame:
-    """Files of one directory, or a single file, whatever their names. Files of other kinds are never opened."""
-    if not exists(root):
+    """Files of one directory, or a single file, whatever their names. Files of other kinds are never opened. Of stores
+    that only Spark can open, names that its readers hide (beginning with ``_`` or ``.``) are out of reach."""
+    if not exists(spark, root):
         raise FileNotFoundError(root)
     return scan_paths(spark, [root], recursive, suffixes, excluded)
 
@@ -108,6 +109,18 @@ def scan_errors(
     return raw.where("error IS NOT NULL").select("path", "error")
 
 
+def scan_table(paths: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """Files named by a table's column ``path``, as many as it has, each read where a task finds it; ``suffixes`` None
+    takes every name. What cannot be read is in ``scan_table_errors``."""
+    files = files_from_table(table_files(paths).where("error IS NULL"), F.col("path"), decode(F.col("content")))
+    return files if suffixes is None else supported(files, suffixes)
+
+
+def scan_table_errors(paths: DataFrame) -> DataFrame:
+    """``path, error`` for every path of the table that cannot be read."""
+    return table_files(paths).where("error IS NOT NULL").select("path", "error")
+
+
 def only_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
     """Keep the files named in a table of paths. The planner picks the join: the list is
     broadcast only when its measured size allows it."""

@@ -154,3 +154,74 @@ def test_zero_width_rule(spark, make_files):
 
     want = [("axx\nb"[: m.start()].count("\n") + 1, m.group()) for m in re.finditer("x*", "axx\nb")]
     assert sorted((r.line_number, r.metadata["match"]) for r in rows) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    """A folder and its name in a store that only Spark's readers open."""
+    folder = tmp_path_factory.mktemp("store")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.corpus.link./data", f"file://{folder}")
+    return folder, "viewfs://corpus/data"
+
+
+def test_scan_of_a_store_that_only_spark_opens(spark, store):
+    folder, name = store
+    for path in ("p/a.py", "p/b/C.JS", "p/b/d.txt", "p/dist/e.py", "p/b/c/f.go", "dist/g.py"):
+        (folder / path).parent.mkdir(parents=True, exist_ok=True)
+        (folder / path).write_text("x = 1\r\ny")
+    files = source.scan(spark, f"{name}/p")
+    assert _names(files) == ["C.JS", "a.py", "f.go"] and {r.content for r in files.collect()} == {"x = 1\ny"}
+    assert _names(source.scan(spark, f"{name}/p", recursive=False)) == ["a.py"]
+    assert _names(source.scan(spark, f"{name}/dist")) == ["g.py"]
+    assert _names(source.scan(spark, f"{name}/p/b/C.JS")) == ["C.JS"]
+    both = source.scan_paths(spark, [f"{name}/p", str(folder / "dist"), f"{name}/p/a.py"])
+    assert _names(both) == ["C.JS", "a.py", "f.go", "g.py"]
+    with pytest.raises(FileNotFoundError):
+        source.scan(spark, f"{name}/absent")
+    errors = source.scan_errors(spark, [f"{name}/p", f"{name}/absent"]).collect()
+    assert [(r.path, r.error) for r in errors] == [(f"{name}/absent", "no such file or directory")]
+    large = source.raw_files(spark, [f"{name}/p"], most_bytes=3).collect()
+    assert len(large) == 5 and all(r.content is None and "3 bytes" in r.error for r in large)
+
+
+def test_levels_of_folders(spark, tmp_path, monkeypatch):
+    """One job a depth, every folder dealt on its own; an excluded folder is never entered."""
+    from corpuslint.sources import raw
+
+    for i in range(40):
+        path = tmp_path / f"a{i % 4}" / f"_b{i % 8}" / f".c{i}"
+        path.mkdir(parents=True, exist_ok=True)
+        (path / f"_f{i}.py").write_text(str(i))
+    (tmp_path / "a0" / "dist").mkdir()
+    levels = []
+    keep = raw.saved
+    monkeypatch.setattr(raw, "saved", lambda frame: levels.append(frame.rdd.getNumPartitions()) or keep(frame))
+    found = source.scan(spark, str(tmp_path), excluded=("dist",))
+    assert sorted(r.content for r in found.collect()) == sorted(map(str, range(40)))
+    assert len(levels) == 4 and min(levels) >= 8
+
+
+def test_table_of_paths(spark, tmp_path):
+    """Every path of a table is read where a task finds it, once, with a row for what cannot be read."""
+    rows = []
+    for i in range(400):
+        (tmp_path / f"_{i}.py").write_text(f"print({i})\r\n")
+        rows.append((i, f"{tmp_path}/_{i}.py", "s"))
+    rows += [(500, f"{tmp_path}/_1.py", "s"), (501, f"{tmp_path}/gone.py", "s"), (502, str(tmp_path), "s"), (503, None, "s"),
+             (504, "nostore://x/y.py", "s")]
+    paths = spark.createDataFrame(rows, "n int, path string, content string")
+    found = source.scan_table(paths)
+    assert sorted(r.content for r in found.collect()) == sorted(f"print({i})\n" for i in range(400))
+    errors = {r.path: r.error for r in source.scan_table_errors(paths).collect()}
+    assert set(errors) == {f"{tmp_path}/gone.py", str(tmp_path), "nostore://x/y.py"}
+    assert errors[f"{tmp_path}/gone.py"] == "no such file" and errors[str(tmp_path)] == "not a file"
+    assert source.scan_table(paths, (".js",)).count() == 0 and source.scan_table(paths.limit(0)).count() == 0
+
+
+def test_audit_of_a_table_of_paths(spark, tmp_path):
+    from corpuslint import audit_table
+
+    (tmp_path / "a.py").write_text("eval(x)\n")
+    paths = spark.createDataFrame([(f"{tmp_path}/a.py",)], "path string")
+    found = audit_table(paths, analyzers=["security"]).findings().select("check_id").distinct().collect()
+    assert "SEC001-eval" in {r.check_id for r in found}
