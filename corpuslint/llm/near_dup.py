@@ -206,48 +206,55 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(every.join(moved, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` (g, id, ...) of groups in several components, with component and size of the group."""
-    labelled = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _in_several(labelled: DataFrame) -> DataFrame:
+    """Members (g, id, component) of groups in several components, with the size of the group."""
     groups = labelled.groupBy("g").agg(
         F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high")
     return labelled.join(groups.select("g", "size"), "g")
 
 
-def smaller_groups(members: DataFrame, differences: DataFrame, similarity: float) -> DataFrame:
-    """Groups (g, id) in which every linked pair of different components of a group meets again.
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (g, id) of groups in several components, with component and size of the group."""
+    return _in_several(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+
+
+def smaller_groups(described: DataFrame, similarity: float) -> DataFrame:
+    """Groups (g, id, component) in which every linked pair of different components of a group meets again.
 
-    ``members``: g, id, component; ``differences``: g, id, lacks, beside, hub_size, features. Members are sorted into
-    classes of similar cost, as what a pair needs depends on both costs."""
+    ``described``: g, id, component, lacks, beside, hub_size, features. Members are sorted into classes of similar cost, as
+    what a pair needs depends on both costs; one that needs more than it has at all is left out first."""
     r = similarity / (1 + similarity)
-    described = members.select("g", "id", "component").join(differences, ["g", "id"])
-    features = described.select("g", "id", "component", F.explode("features").alias("e"))
+    cost = F.col("lacks") * (1 - r) + F.col("beside") * r
+    classed = saved(described.select("g", "id", "component", "hub_size", "features", cost.alias("cost")).withColumn(
+        "class", F.floor(F.log(F.greatest("cost", F.lit(0.1))) / math.log(1.25)).cast("int")
+    ).withColumn("most", F.size("features")))
+
+    def met(members: DataFrame) -> DataFrame:
+        """Members with every class of their group that they may have a partner in, and what the pair needs."""
+        theirs = members.groupBy("g", F.col("class").alias("their_class")).agg(
+            F.min("cost").alias("their_least"), F.max("most").alias("their_most")
+        )
+        # At most a few dozen classes a group; a margin keeps rounding from asking for one too many.
+        need = F.greatest(
+            F.lit(1), F.ceil(F.col("cost") + F.col("their_least") - F.col("hub_size") * (1 - 2 * r) - 1e-6).cast("int")
+        )
+        return members.join(theirs, "g").withColumn("need", need).filter(
+            "most >= need AND their_most >= need"
+        )
+
+    able = met(classed.drop("features")).select("g", "id").distinct()
+    features = classed.join(able, ["g", "id"], "left_semi").select("g", "id", "component", F.explode("features").alias("e"))
     useful = features.groupBy("g", "e").agg(
         F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("g", "e", "often")
     ranked = features.join(useful, ["g", "e"]).groupBy("g", "id").agg(
         F.array_sort(F.collect_list(F.struct("often", "e"))).alias("features")
     )
-    cost = F.col("lacks") * (1 - r) + F.col("beside") * r
-    own = saved(
-        described.select("g", "id", "hub_size", cost.alias("cost")).join(ranked, ["g", "id"])
-        .withColumn("class", F.floor(F.log(F.greatest("cost", F.lit(0.1))) / math.log(1.25)).cast("int"))
-        .withColumn("most", F.size("features"))
-    )
-    classes = own.groupBy("g", "class").agg(F.min("cost").alias("least"), F.max("most").alias("most"))
-    mine = classes.select("g", "class", F.col("least").alias("my_least"))
-    theirs = classes.select("g", F.col("class").alias("their_class"), F.col("least").alias("their_least"), F.col("most").alias("their_most"))
-    # At most a few dozen classes a group; a margin keeps rounding from asking for one too many.
-    need = F.greatest(
-        F.lit(1), F.ceil(F.col("my_least") + F.col("their_least") - F.col("hub_size") * (1 - 2 * r) - 1e-6).cast("int")
-    )
-    met = own.join(mine, ["g", "class"]).join(theirs, "g").withColumn("need", need).filter(
-        "most >= need AND their_most >= need"
-    )
+    own = saved(classed.drop("features", "most").join(ranked, ["g", "id"]).withColumn("most", F.size("features")))
     prefix = F.expr("slice(features, 1, most - need + 1)")
     key = F.xxhash64("g", F.least("class", "their_class"), F.greatest("class", "their_class"), "f.e")
-    return met.withColumn("f", F.explode(prefix)).select(key.alias("g"), "id").distinct()
+    return met(own).withColumn("f", F.explode(prefix)).select(key.alias("g"), "id", "component").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int = 5, bands: int = 9,
@@ -280,7 +287,7 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     members = classes.select("id", F.explode(keys).alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = saved(members.join(shared, "key").select("key", "id", "size"))
-    weights = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
+    weights = saved(buckets.groupBy("id").agg(F.sum("size").alias("weight")))
     hubs = buckets.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top"))
     starred = buckets.join(hubs.select("key", (-F.col("top.col2")).alias("other")), "key")
     around = saved(starred.filter("id <> other").select("id", "other").distinct())
@@ -293,8 +300,7 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     links = saved(_compared(stars, sets, similarity_percent).filter("linked").select("id", "other"))
     labels = components(links)
 
-    groups = around.select(F.col("other").alias("g"), "id").unionByName(around.select(F.col("other").alias("g"), F.col("other").alias("id")).distinct())
-    opened = saved(_open(groups, labels).drop("size"))
+    opened = saved(_open(_around_roots(around, weights), labels).drop("size"))
     if not opened.isEmpty():
         sets = _sets(docs, texts.join(opened.select("id").distinct(), "id", "left_semi"), width)
         # A shingle that no other of these documents has is in no intersection.
@@ -322,34 +328,59 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int =
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays"))
 
 
+def _around_roots(around: DataFrame, weights: DataFrame) -> DataFrame:
+    """Groups (g, id) of the members around hubs (id, other): a hub that lies around heavier ones hands its members on to the
+    heaviest, twice over, so that the many hubs of one large group share one."""
+    hubs = around.select(F.col("other").alias("id")).distinct()
+    heavy = weights.select(F.col("id").alias("other"), F.col("weight").alias("above"))
+    up = saved(
+        around.join(hubs, "id", "left_semi").join(weights, "id").join(heavy, "other")
+        .filter("above > weight OR (above = weight AND other < id)").groupBy("id")
+        .agg(F.max(F.struct("above", -F.col("other"))).alias("top")).select(F.col("id").alias("g"), (-F.col("top.col2")).alias("up"))
+    )
+    twice = up.join(up.select(F.col("g").alias("up"), F.col("up").alias("root")), "up", "left").select(
+        "g", F.coalesce("root", "up").alias("root")
+    )
+    stars = around.select(F.col("other").alias("g"), "id").unionByName(hubs.select(F.col("id").alias("g"), "id"))
+    return stars.join(twice, "g", "left").select(F.coalesce("root", "g").alias("g"), "id").distinct()
+
+
 def _refined(groups: DataFrame, labels: DataFrame, sets: DataFrame, hopeful: DataFrame, test: Column,
              similarity_percent: int, leaf: int) -> DataFrame:
-    """``labels`` after all links between members of one group (g, id) are found."""
-    small = None
+    """``labels`` after all links between members of one group (g, id) are found.
+
+    While groups are split, a member linked to its hub takes the hub's label in that group only; the links of all levels
+    together change the labels of all once at the end."""
+    small, links = [], []
+    groups = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     while True:
-        opened = saved(_open(groups, labels))
-        few = opened.filter(F.col("size") <= leaf).select("g", "id")
-        small = few if small is None else small.unionByName(few)
+        opened = saved(_in_several(groups))
+        small.append(opened.filter(F.col("size") <= leaf).select("g", "id"))
         large = opened.filter(F.col("size") > leaf)
         if large.isEmpty():
             break
-        # Level by level: the hub is the first member of the component that has the most.
+        # The hub is the first member of the component that has the most.
         parts = large.groupBy("g", "component").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        hubs = parts.groupBy("g").agg(F.max(F.struct("n", -F.col("id"))).alias("top")).select("g", (-F.col("top.col2")).alias("other"))
-        spokes = large.join(hubs, "g").filter("id <> other").select("g", "id", "other")
-        pairs = saved(_compared(spokes.select("id", "other").distinct(), sets, similarity_percent).select(
+        hubs = parts.groupBy("g").agg(F.max(F.struct("n", -F.col("id"), "component")).alias("top")).select(
+            "g", (-F.col("top.col2")).alias("other"), F.col("top.component").alias("hub_component")
+        )
+        spokes = large.join(hubs, "g").select("g", "id", "other", "component", "hub_component")
+        pairs = saved(_compared(
+            spokes.filter("id <> other").select("id", "other").distinct(), sets, similarity_percent
+        ).select(
             "id", "other", "linked", (F.size("other_set") - F.col("shared")).alias("lacks"),
             (F.size("set") - F.col("shared")).alias("beside"), F.size("other_set").alias("hub_size"),
             F.concat(F.array_except("other_set", "set"), F.array_except("set", "other_set")).alias("features"),
         ))
-        labels = _relabelled(labels, pairs.filter("linked").select("id", "other"))
-        still = saved(_open(large.select("g", "id"), labels))
-        differences = spokes.join(still.select("g").distinct(), "g", "left_semi").join(pairs, ["id", "other"])
-        groups = saved(smaller_groups(still, differences.select(
-            "g", "id", "lacks", "beside", "hub_size", "features"
-        ), similarity_percent / 100))
-
-    held = saved(_open(small, labels)).join(hopeful, "id")
+        links.append(pairs.filter("linked").select("id", "other"))
+        described = spokes.join(pairs, ["id", "other"]).withColumn(
+            "component", F.when(F.col("linked"), F.col("hub_component")).otherwise(F.col("component"))
+        )
+        groups = smaller_groups(described, similarity_percent / 100)
+
+    if links:
+        labels = _relabelled(labels, reduce(DataFrame.unionByName, links))
+    held = saved(_open(reduce(DataFrame.unionByName, small), labels)).join(hopeful, "id")
     u, v = held.alias("u"), held.alias("v")
     most = F.least("u.common", "v.common")
     possible = 100 * most >= similarity_percent * (F.col("u.n") + F.col("v.n") - most)

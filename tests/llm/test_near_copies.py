@@ -41,7 +41,7 @@ def compared(monkeypatch):
 @pytest.mark.parametrize("percent, changed", [(80, 2), (85, 1)])
 def test_linear_in_near_copies(make_docs, compared, percent, changed):
     per_row = []
-    for n in (150, 600):
+    for n in (100, 400):
         compared.clear()
         rows = near_copies(n, changed, n)
         found = near_dup.near_duplicates(make_docs(rows), percent).collect()
