@@ -101,6 +101,18 @@ def match_lines(pattern: str, **flags: bool) -> Column:
     return F.expr(_match_lines_sql(pattern, **flags))
 
 
+def matches_of(regex: Column) -> Column:
+    """array<struct<n, g0>>, start line and text of every match of a regex that is a value."""
+    content, lines = F.col("content"), F.col("lines")
+    marked = F.split(F.regexp_replace(content, regex, F.lit(MARK + "$0")), "\n", -1)
+    starts = F.flatten(F.transform(
+        F.arrays_zip(marked.alias("marked"), lines),
+        lambda pair, i: F.array_repeat(i + 1, F.length(pair["marked"]) - F.length(pair["lines"])),
+    ))
+    found = F.regexp_extract_all(content, regex, F.lit(0))
+    return F.transform(F.arrays_zip(starts.alias("n"), found.alias("g0")), lambda m: F.struct(m["n"], m["g0"]))
+
+
 def match_table_sql(
     pattern: str, groups: tuple[int, ...] = (), ahead: str = "", **flags: bool
 ) -> str:

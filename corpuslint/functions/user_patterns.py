@@ -6,6 +6,7 @@ group names mean what they mean there. A part without a counterpart is reported
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from re import _constants as c, _parser as parser
 
 from .patterns import DIGIT, SPACE, WORD, Translated
@@ -102,6 +103,7 @@ def _write(parts, flags: int) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=100_000)
 def user_regex(pattern: str) -> Translated:
     """The pattern for the engine; ``re.error`` if it is invalid, ``Unsupported`` if it has no counterpart."""
     compiled = re.compile(pattern)

@@ -1,17 +1,24 @@
-"""User rules: they become part of the pass over the files, page by page, with no join."""
+"""User rules: they become part of the pass over the files, with no join.
+
+The parse tree of a pattern proves literals of which every match holds one. Up to ``RULES_PER_PASS`` rules are expressions
+of the plan, each behind a search for its literals. Beyond that one automaton over the literals of all rules reads every
+file once and names the rules to try; their patterns are looked up in a constant table, so neither the plan nor the time
+of a file grows with rules that cannot match it. Rules without such literals stay expressions of the plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from ..functions.text import bind, with_lines
+from ..functions.literals import needed_literals, occurring
+from ..functions.text import bind, matches_of, with_lines
 from ..functions.user_patterns import user_regex
 from ..packs.catalog import Check
 from ..packs.probes import Pattern
+from ..sources import rules as rule_source
 from ..sources.rules import active_rules, engine_problems, pattern_problem
 from ..schemas import FINDING
 from .probe import (
-    FINDING_COLUMNS, Probe, all_hits, catalog_array, each_match, flatten_findings, hit, pattern_gate,
+    FINDING_COLUMNS, Probe, all_hits, catalog_array, each_match, flatten_findings, hit, no_hits, pattern_gate,
 )
 
 # Texts of rule findings.
@@ -27,6 +34,7 @@ TODO_HINT = (
     "\n处理建议:\n1. 完成待办任务\n2. 如果暂时不需要，删除该标记\n3. 添加任务跟踪系统的链接"
 )
 DEFAULT_SUGGESTION = "请根据项目规范修复此问题"
+SEPARATOR = "\x01"
 
 
 def _check(rule: Row, problem: str | None) -> Check:
@@ -48,25 +56,46 @@ def _probe(ordinal: int, rule: Row, problem: str | None) -> Probe:
     if problem is not None:
         return Probe(rule.rule_id, "custom", lambda: F.lit(True),
                      lambda: F.array(hit(ordinal)), suffixes)
-    pattern = Pattern(user_regex(rule.pattern))
+    literals = needed_literals(rule.pattern)
+    pattern = Pattern(user_regex(rule.pattern), folded=literals if all(map(str.isascii, literals)) else ())
     return Probe(rule.rule_id, "custom", pattern_gate([pattern]),
                  lambda: each_match(ordinal, pattern, (0,), what="m.g0"), suffixes, True)
 
 
-def rule_pages(spark: SparkSession, rules: DataFrame) -> list[tuple[list[Probe], list[Check]]]:
-    """Probes and catalog entries for every page of active rules."""
-    pages = []
-    for page in active_rules(rules):
-        problems = [pattern_problem(rule.pattern) for rule in page]
-        refused = engine_problems(
-            spark, [rule.pattern for rule, problem in zip(page, problems) if problem is None]
-        )
-        problems = [p if p is not None else refused.get(r.pattern) for r, p in zip(page, problems)]
-        pages.append((
-            [_probe(i, rule, problem) for i, (rule, problem) in enumerate(zip(page, problems))],
-            [_check(rule, problem) for rule, problem in zip(page, problems)],
-        ))
-    return pages
+def judged_rules(spark: SparkSession, rules: DataFrame) -> list[tuple[Row, str | None]]:
+    """Active rules with what is wrong with their patterns."""
+    active = [rule for page in active_rules(rules) for rule in page]
+    problems = {p: pattern_problem(p) for p in {rule.pattern for rule in active}}
+    refused = engine_problems(spark, [p for p, problem in problems.items() if problem is None])
+    return [(rule, problems[rule.pattern] or refused.get(rule.pattern)) for rule in active]
+
+
+def _constants(values: list[str]) -> Column:
+    """A constant array of texts, however long, that is one short expression to the planner."""
+    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR, -1)
+
+
+def _looked_up(rules: list[Row]) -> Column:
+    """array<finding> of rules that all need a literal: only those whose literal occurs are tried."""
+    tried = occurring(F.col("content"), [needed_literals(rule.pattern) for rule in rules])
+    regexes = _constants([str(user_regex(rule.pattern)) for rule in rules])
+    suffixes = _constants(["/".join(rule.file_extensions or ()) for rule in rules])
+    checks = [_check(rule, None)._asdict() for rule in rules]
+    entries = {name: _constants([check[name].replace(SEPARATOR, " ") for check in checks]) for name in checks[0]}
+
+    def hits(number: Column) -> Column:
+        wanted = F.get(suffixes, number)
+        return bind(F.get(regexes, number), lambda regex: F.when(
+            ((wanted == "") | F.array_contains(F.split(wanted, "/"), F.col("ext"))) & F.regexp_like("content", regex),
+            F.transform(matches_of(regex), lambda m: hit(
+                number, m["n"], F.coalesce(F.try_element_at("lines", m["n"]), F.lit("")), m["g0"]
+            )),
+        ).otherwise(no_hits()))
+
+    found = F.flatten(F.transform(tried, hits))
+    return F.transform(found, lambda h: _rule_finding(
+        h, F.struct(*[F.get(texts, h["check"]).alias(name) for name, texts in entries.items()])
+    ))
 
 
 def _rule_finding(h: Column, entry: Column) -> Column:
@@ -100,9 +129,20 @@ def rule_findings(spark: SparkSession, rules: DataFrame | None) -> Column:
     nothing = F.expr(f"CAST(array() AS ARRAY<{FINDING}>)")
     if rules is None:
         return nothing
+    judged = judged_rules(spark, rules)
+    many = len(judged) > rule_source.RULES_PER_PASS
+    looked_up = [rule for rule, problem in judged if many and problem is None and needed_literals(rule.pattern)]
+    chosen = {id(rule) for rule in looked_up}
+    others = [(rule, problem) for rule, problem in judged if id(rule) not in chosen]
     parts = [nothing]
-    for probes, checks in rule_pages(spark, rules):
-        parts.append(_page(probes, checks))
+    for start in range(0, len(others), rule_source.RULES_PER_PASS):
+        page = others[start : start + rule_source.RULES_PER_PASS]
+        parts.append(_page(
+            [_probe(i, rule, problem) for i, (rule, problem) in enumerate(page)],
+            [_check(rule, problem) for rule, problem in page],
+        ))
+    if looked_up:
+        parts.append(_looked_up(looked_up))
     return F.concat(*parts) if len(parts) > 1 else nothing
 
 

@@ -73,7 +73,7 @@ def no_hits() -> Column:
 
 
 def hit(
-    check: Check | int,
+    check: Check | int | Column,
     line: Column | None = None,
     snippet: Column | None = None,
     what: Column | None = None,
@@ -82,9 +82,9 @@ def hit(
     tags: Column | None = None,
 ) -> Column:
     """One hit; a hit about a whole file has line number 0."""
-    number = check if isinstance(check, int) else ORDINALS[check.check_id]
+    number = ORDINALS[check.check_id] if isinstance(check, Check) else check
     return F.struct(
-        F.lit(number).alias("check"),
+        (number if isinstance(number, Column) else F.lit(number)).alias("check"),
         F.lit(0).alias("line_number") if line is None else line.alias("line_number"),
         F.lit("").alias("snippet") if snippet is None else snippet.alias("snippet"),
         F.lit("").alias("what") if what is None else what.alias("what"),
