@@ -142,7 +142,7 @@ def _rules_lookup_sql() -> str:
 def rules_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule file per document, as a list, an object or one rule, parsed with all defaults."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rule = ("named_struct('id', concat('R', doc_id), 'pattern', left(text, 8), 'severity', CASE doc_id % 3 WHEN 0 THEN 'HIGH' "
+    rule = ("named_struct('id', concat('R', doc_id), 'pattern', text, 'severity', CASE doc_id % 3 WHEN 0 THEN 'HIGH' "
             "WHEN 1 THEN 'odd' END, 'category', IF(doc_id % 2 = 0, 'security', NULL), 'file_extensions', "
             "IF(doc_id % 5 = 0, array('.py', '.js'), NULL), 'enabled', doc_id % 4 <> 0)")
     value = (f"CASE doc_id % 3 WHEN 0 THEN to_json(array({rule})) WHEN 1 THEN to_json(named_struct('rules', array({rule}))) "
@@ -153,7 +153,7 @@ def rules_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARSED_SQL = """SELECT 'R' || doc_id AS rule_id, 'R' || doc_id AS name,
   CASE WHEN doc_id % 2 = 0 THEN 'security' ELSE 'code_quality' END AS category,
-  CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'medium' END AS severity, left(text, 8) AS pattern,
+  CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'medium' END AS severity, coalesce(text, '') AS pattern,
   CASE WHEN doc_id % 5 = 0 THEN '.py,.js' ELSE '' END AS suffixes, doc_id % 4 <> 0 AS enabled FROM documents"""
 
 
