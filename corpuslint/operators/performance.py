@@ -142,46 +142,64 @@ def repeated_attributes() -> Probe:
                  lambda: _has_loop() & matches(content(), pack.ATTRIBUTE), rows)
 
 
+FLOOR = -1_000_000_000  # as a step: back to zero, from whatever depth a file can reach
+
+
 def nested_loops() -> Probe:
     """PERF001: loop depth inside functions is a walk that never goes below zero. Each
     line moves it by one step: up for an indented loop line, down for any other line at
     the margin, and a ``def`` line sends it back to zero. Lines before the first ``def``
-    stay outside. A loop line is reported when it is at least the third level."""
+    stay outside. A loop line is reported when it is at least the third level.
+
+    A step takes depth x to greatest(x + up, low), and two steps in a row are a step of the
+    same form. So the depth behind every line that moves comes from a scan by doubling,
+    without a fold that carries its findings along."""
 
     def rows() -> Column:
-        def step_of(line: Column, text: Column) -> Column:
+        def step_of(line: Column, text: Column, i: Column) -> Column:
             loop = matches(text, pack.LOOP_START)
+            head = text.startswith("def ")
             level = F.when(text.startswith("return"), 0).when(
                 loop, F.when(_unindented(line), 0).otherwise(1)
             ).otherwise(F.when(_unindented(line), -1).otherwise(0))
             return F.struct(
-                text.startswith("def ").alias("head"),
-                (loop & ~text.startswith("return")).alias("loop"),
-                level.alias("move"), text.alias("t"),
+                (i + 1).alias("n"), head.alias("head"), (loop & ~text.startswith("return") & ~head).alias("loop"),
+                F.when(head, FLOOR).otherwise(level).alias("up"), F.lit(0).alias("low"), text.alias("t"),
             )
 
-        steps = F.transform(lines(), lambda line: bind(strip(line), lambda t: step_of(line, t)))
-        hit_type = "ARRAY<STRUCT<n: INT, depth: INT, t: STRING>>"
-        start = F.struct(
-            F.lit(0).alias("n"), F.lit(-1).alias("depth"),
-            F.array().cast(hit_type).alias("hits"),
+        steps = F.filter(
+            F.transform(lines(), lambda line, i: bind(strip(line), lambda t: step_of(line, t, i))),
+            lambda s: s["loop"] | (s["up"] != 0),
         )
+        inside = bind(steps, lambda all_: F.slice(
+            all_, F.greatest(F.lit(1), F.array_position(F.transform(all_, lambda s: s["head"]), True).cast("int")),
+            F.when(F.exists(all_, lambda s: s["head"]), F.size(all_)).otherwise(0),
+        ))
 
-        def walk(acc: Column, s: Column) -> Column:
-            n, depth = acc["n"] + 1, acc["depth"]
-            inside = depth >= 0
-            deep = inside & ~s["head"] & s["loop"] & (depth >= 2)
-            moved = F.when(inside, F.greatest(F.lit(0), depth + s["move"])).otherwise(depth)
-            hit = F.struct(n.alias("n"), (depth + 1).alias("depth"), s["t"].alias("t"))
-            return F.struct(
-                n.alias("n"), F.when(s["head"], F.lit(0)).otherwise(moved).alias("depth"),
-                F.when(deep, F.concat(acc["hits"], F.array(hit).cast(hit_type)))
-                .otherwise(acc["hits"]).alias("hits"),
+        def doubled(scanned: Column, k: Column) -> Column:
+            far = F.call_function("shiftleft", F.lit(1), k)
+
+            def joined(first: Column, then: Column) -> Column:
+                return F.struct(
+                    F.greatest(F.lit(FLOOR), first["up"] + then["up"]).alias("up"),
+                    F.greatest(then["low"], first["low"] + then["up"]).alias("low"),
+                )
+
+            return F.when(F.size(scanned) > far, F.transform(
+                scanned, lambda s, i: F.when(i >= far, joined(F.get(scanned, i - far), s)).otherwise(s)
+            )).otherwise(scanned)
+
+        def deep(events: Column) -> Column:
+            single = F.transform(events, lambda s: F.struct(s["up"], s["low"]))
+            depths = F.transform(
+                F.aggregate(F.sequence(F.lit(0), F.lit(30)), single, doubled), lambda s: F.greatest(s["up"], s["low"])
             )
+            return F.filter(bind(depths, lambda behind: F.transform(events, lambda s, i: F.struct(
+                s["n"], s["t"], s["loop"], F.when(i > 0, F.get(behind, i - 1)).otherwise(0).alias("before")
+            ))), lambda s: s["loop"] & (s["before"] >= 2))
 
         return F.transform(
-            F.aggregate(steps, start, walk)["hits"],
-            lambda h: hit(CHECKS["PERF001"], h["n"], h["t"], count=h["depth"]),
+            bind(inside, deep), lambda s: hit(CHECKS["PERF001"], s["n"], s["t"], count=s["before"] + 1)
         )
 
     def gate() -> Column:

@@ -159,3 +159,23 @@ def test_late_imports_and_first_print(corpus, found):
 
     _same(corpus, found, "BP008", late)
     _same(corpus, found, "BP013", printing)
+
+
+def test_nested_loops_in_time_linear_in_the_file(make_files):
+    """Every second line of a file is a finding; twice the file takes about twice the time."""
+    import time
+
+    probe = [p for p in performance.probes() if p.check_id == "PERF001"]
+
+    def seconds(n):
+        text = "def f():\n    for a in b:\n        for c in d:\n" + "            for e in f:\n            x = 1\n" * n
+        files = make_files({"a.py": text})
+        best = []
+        for _ in range(2):
+            start = time.time()
+            assert run_probes(files, probe).count() == n
+            best.append(time.time() - start)
+        return min(best)
+
+    seconds(1000)
+    assert seconds(80_000) < 3 * seconds(40_000) + 1
