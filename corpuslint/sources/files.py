@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .raw import exists, raw_files, table_files
@@ -127,6 +129,11 @@ def only_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
     return files.join(paths.select("path"), "path", "left_semi").select(*files.columns)
 
 
+def union_files(*files: DataFrame) -> DataFrame:
+    """Several file tables as one, every path once."""
+    return reduce(DataFrame.unionByName, files).dropDuplicates(["path"])
+
+
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per line: ``file_id, path, ext, line_number, line, stripped, indent``."""
     from ..functions.text import indent, split_lines, strip

@@ -87,13 +87,37 @@ def load_rule_directory(spark: SparkSession, path: str, recursive: bool = True)
     return _readable(_documents(spark, [path], recursive))
 
 
+def rule_statuses(documents: DataFrame) -> DataFrame:
+    """``path, status, rules, rejected`` of rule documents (path, value, error), one row each.
+
+    Status: ``missing`` or ``unreadable`` (nothing was read), ``not_json``, ``bad_rule`` (a rule without an id, which is
+    left out while the others load) or ``ok``."""
+    value, error = F.col("value"), F.col("error")
+    items = F.coalesce(_rule_texts(value), F.array(F.lit(None).cast("string")))
+    ids = F.transform(items, lambda item: F.coalesce(
+        F.nullif(F.get_json_object(item, "$.rule_id"), F.lit("")), F.nullif(F.get_json_object(item, "$.id"), F.lit(""))
+    ))
+    read = error.isNull() & _is_json(value)
+    rules = F.when(read, F.size(F.filter(ids, lambda i: i.isNotNull()))).otherwise(0)
+    rejected = F.when(read, F.size(F.filter(ids, lambda i: i.isNull()))).otherwise(0)
+    status = (
+        F.when(error.startswith("no such file"), "missing").when(error.isNotNull(), "unreadable")
+        .when(~read, "not_json").when(F.col("rejected") > 0, "bad_rule").otherwise("ok")
+    )
+    return documents.withColumns({"rules": rules, "rejected": rejected}).select("path", status.alias("status"), "rules", "rejected")
+
+
 def rule_errors(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
-    """``path, error`` for files that are missing or hold no JSON; of directories, their JSON files."""
+    """``path, error`` for files that are missing, cannot be read or hold no JSON; of directories, their JSON files. Rules
+    without an id are counted by ``rule_statuses``."""
     documents = _documents(spark, list(paths), recursive)
-    missing = F.concat(F.lit("规则文件不存在: "), "path")
-    return documents.where(F.col("error").isNotNull() | ~_is_json(F.col("value"))).select(
-        "path", F.when(F.col("error").isNotNull(), missing).otherwise(F.lit("加载规则文件出错: JSON")).alias("error")
+    found = documents.select("path", F.col("error").alias("why")).join(rule_statuses(documents), "path")
+    text = (
+        F.when(F.col("status") == "missing", F.concat(F.lit("规则文件不存在: "), "path"))
+        .when(F.col("status") == "unreadable", F.concat(F.lit("加载规则文件出错: "), "why"))
+        .otherwise(F.lit("加载规则文件出错: JSON"))
     )
+    return found.where("status IN ('missing', 'unreadable', 'not_json')").select("path", text.alias("error"))
 
 
 def by_category(rules: DataFrame, category: str) -> DataFrame:

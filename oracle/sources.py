@@ -157,6 +157,26 @@ PARSED_SQL = """SELECT 'R' || doc_id AS rule_id, 'R' || doc_id AS name,
   CASE WHEN doc_id % 5 = 0 THEN '.py,.js' ELSE '' END AS suffixes, doc_id % 4 <> 0 AS enabled FROM documents"""
 
 
+def rules_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule document per text: gone, locked, broken, with a rule that has no id, or whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rule = "named_struct('id', concat('R', doc_id), 'pattern', text)"
+    nameless = "named_struct('name', 'n', 'pattern', text)"
+    documents = docs.selectExpr(
+        "concat('rules/', doc_id, '.json') AS path",
+        f"CASE doc_id % 6 WHEN 2 THEN concat('{{', text) WHEN 3 THEN concat('[', to_json({rule}), ',', to_json({nameless}), ']') "
+        f"WHEN 4 THEN to_json(named_struct('rules', array({rule}, {rule}))) WHEN 5 THEN to_json({rule}) END AS value",
+        "CASE doc_id % 6 WHEN 0 THEN 'no such file or directory' WHEN 1 THEN 'permission denied' END AS error",
+    )
+    return rule_source.rule_statuses(documents)
+
+
+STATUSES_SQL = """SELECT 'rules/' || doc_id || '.json' AS path,
+  ['missing', 'unreadable', 'not_json', 'bad_rule', 'ok', 'ok'][doc_id % 6 + 1] AS status,
+  CAST([0, 0, 0, 1, 2, 1][doc_id % 6 + 1] AS INT) AS rules, CAST([0, 0, 0, 1, 0, 0][doc_id % 6 + 1] AS INT) AS rejected
+FROM documents"""
+
+
 def analyzer_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files each analyzer reads, from the counts per suffix."""
     rows = [(name, suffix) for name, suffixes in SUFFIXES.items() for suffix in suffixes]
@@ -179,7 +199,7 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
     scripts = file_source.supported(files, (".py", ".js"))
     some = file_source.outside_directories(files, "src", ("m4", "m5", "m6"))
-    return scripts.unionByName(some).dropDuplicates(["path"]).select("file_id", "path", "ext")
+    return file_source.union_files(scripts, some).select("file_id", "path", "ext")
 
 
 def source_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +397,7 @@ REGISTERED = {
     "rules_custom": (rules_custom, _rule_sql()),
     "rules_lookup": (rules_lookup, _rules_lookup_sql()),
     "rules_parsed": (rules_parsed, PARSED_SQL),
+    "rules_statuses": (rules_statuses, STATUSES_SQL),
     "rules_dialect": (rules_dialect, _dialect_sql()),
     "extension_findings": (
         extension_findings,

@@ -225,3 +225,23 @@ def test_audit_of_a_table_of_paths(spark, tmp_path):
     paths = spark.createDataFrame([(f"{tmp_path}/a.py",)], "path string")
     found = audit_table(paths, analyzers=["security"]).findings().select("check_id").distinct().collect()
     assert "SEC001-eval" in {r.check_id for r in found}
+
+
+def test_rule_statuses(spark, tmp_path):
+    """Missing, locked, broken and partly rejected files side by side, from real files."""
+    (tmp_path / "ok.json").write_text('{"rules": [{"rule_id": "A", "pattern": "a"}, {"id": "B"}]}')
+    (tmp_path / "bad.json").write_text('[{"rule_id": "C"}, {"name": "no id"}, {"rule_id": ""}]')
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "folder.json").mkdir()
+    names = ["ok", "bad", "broken", "empty", "absent"]
+    documents = rule_source._documents(spark, [f"{tmp_path}/{n}.json" for n in names])
+    large = documents.limit(1).select(F.lit("x/large.json").alias("path"), F.lit(None).cast("string").alias("value"),
+                                      F.lit("larger than 5 bytes").alias("error"))
+    found = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in rule_source.rule_statuses(documents.unionByName(large)).collect()}
+    assert found == {
+        "ok.json": ("ok", 2, 0), "bad.json": ("bad_rule", 1, 2), "broken.json": ("not_json", 0, 0), "empty.json": ("not_json", 0, 0),
+        "absent.json": ("missing", 0, 0), "large.json": ("unreadable", 0, 0),
+    }
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in rule_source.rule_errors(spark, *[f"{tmp_path}/{n}.json" for n in names]).collect()}
+    assert set(errors) == {"broken.json", "empty.json", "absent.json"} and "不存在" in errors["absent.json"]
