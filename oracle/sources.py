@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslint.functions.text import NAMING, naming_style
 from corpuslint.functions.patterns import extract
-from corpuslint.operators.context import attach_context
+from corpuslint.operators.context import findings_with_context
 from corpuslint.operators.custom_rules import (
     BAD_RULE_MESSAGE, BAD_RULE_NAME, BAD_RULE_SUGGESTION, DEFAULT_SUGGESTION, FIX_EXAMPLE, PRINT_HINT,
     TODO_HINT, apply_rules,
@@ -226,9 +226,8 @@ CONTEXT_CHECKS = [c for c in FIXES]
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .registry import PROBES
 
-    files = code_files(spark, sf_dir)
-    found = run_probes(files, [PROBES[c] for c in CONTEXT_CHECKS])
-    return attach_context(found, files).select(
+    found = findings_with_context(code_files(spark, sf_dir), [PROBES[c] for c in CONTEXT_CHECKS])
+    return found.select(
         "file_id", "path", "check_id", "line_number", "message", "context", "fix"
     )
 

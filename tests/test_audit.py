@@ -157,6 +157,14 @@ def test_context(files):
     assert rows["SEC001-eval"].context == "    import os\n    def f(x=[]):\n>>>     eval(x)\n        return x\n    "
     assert "ast.literal_eval" in rows["SEC001-eval"].fix and "BP011" in rows
     assert context.repair_hint(found).where("fix is null").count() == 0
+    from corpuslint.operators import best_practices, documentation, performance, quality, security
+
+    probes = [p for m in (best_practices, documentation, performance, quality, security) for p in m.probes()]
+    direct = context.findings_with_context(files, probes)
+    assert "Join" not in direct._jdf.queryExecution().executedPlan().toString()
+    columns = ["path", "check_id", "line_number", "message", "context", "fix"]
+    stored = context.attach_context(Audit(files, analyzers=["quality", "best_practices", "security", "performance", "documentation"]).findings(), files)
+    assert sorted(map(tuple, direct.select(*columns).collect())) == sorted(map(tuple, stored.select(*columns).collect()))
 
 
 def test_metrics(make_files):
