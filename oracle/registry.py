@@ -189,7 +189,7 @@ register("java_structure", _java_structure,
          + ", ".join(f"array_to_string(regexp_extract_all(content, {re2(p)}, 1), '|') AS {n}" for n, p in _LISTS.items())
          + " FROM code_files WHERE ends_with(path, '.java')")
 register("java_practices", lambda spark, sf_dir: java.practice_scores(code_files(spark, sf_dir)).withColumn(
-    "evidence", F.array_join("evidence", "|")))
+    "evidence", F.array_join("evidence", "|")), skill_sql.practices_sql())
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,21 @@ def java_sql() -> str:
     return f"WITH {CODE_FILES}, {JAVA} {java_select()}"
 
 
+def practices_sql() -> str:
+    """The practice pack; the pattern with a look-ahead is written as what it matches and what it does not."""
+    plain = {r"extends\s+\w+\s*(?!\.)": r"extends\s+\w(?:[^.]|\z)"}  # a name of two letters or not before a dot
+    rows = ", ".join(
+        f"({i}, {q(name)}, {q(level)}, {j}, {q(p)}, {re2(plain.get(p, p))}, {tenths(w)}, {q(java.import_probe(p))})"
+        for i, (name, (level, patterns)) in enumerate(java.PRACTICES.items()) for j, (p, w) in enumerate(patterns)
+    )
+    return f"""WITH {CODE_FILES}, {JAVA}, rules(sk, name, level, ord, raw, rx, w, probe) AS (VALUES {rows}),
+hits AS (SELECT file_id, path, sk, sum(w) AS w, array_to_string(list(raw ORDER BY ord)[1:3], '|') AS ev
+         FROM jf, rules WHERE regexp_matches(content, rx) GROUP BY ALL),
+used AS (SELECT file_id, path, sk, count(DISTINCT i) AS c FROM jimp, rules WHERE contains(imp, probe) GROUP BY ALL)
+SELECT file_id, path, name, level, CAST(coalesce(w, 0) + 3 * coalesce(c, 0) AS INT) AS score, coalesce(ev, '') AS evidence
+FROM hits FULL JOIN used USING (file_id, path, sk) JOIN (SELECT DISTINCT sk, name, level FROM rules) USING (sk)"""
+
+
 def all_skill_select() -> str:
     """Traits and Java skills of one file in one numbering, traits first."""
     return (
