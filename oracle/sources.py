@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuslint.functions import scoring
 from corpuslint.functions.text import NAMING, naming_style
 from corpuslint.functions.patterns import extract
 from corpuslint.operators.context import findings_with_context
@@ -24,6 +25,7 @@ from corpuslint.sources.samples import code_files, document_files, page_files
 
 from .base import CODE_FILES, LINES, SPACE, match_cte, plain, q, re2, suffix_test
 from .checks import CHECK_PARTS, union_ctes
+from .rollups import PENALTY_SUM
 
 # Our own rules for the registered rule queries.
 RULES = [
@@ -179,12 +181,42 @@ FROM documents"""
 
 def analyzer_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files each analyzer reads, from the counts per suffix."""
-    rows = [(name, suffix) for name, suffixes in SUFFIXES.items() for suffix in suffixes]
-    gates = spark.createDataFrame(rows, "analyzer STRING, ext STRING")
+    gates = audit_plan.analyzer_catalog(spark).select("analyzer", F.explode("suffixes").alias("ext"))
     counts = code_files(spark, sf_dir).groupBy("ext").agg(F.count("*").alias("n"))
     return counts.join(gates, "ext").groupBy("analyzer").agg(F.sum("n").alias("files"))
 
 
+HOOK = "function_words"
+
+
+def _function_words(files: DataFrame) -> DataFrame:
+    """Skill rows of a registered hook: scripts that say ``function``."""
+    return files.where(F.col("content").contains("function")).select(
+        "file_id", "path", F.lit(0).alias("seq"), F.lit("Functions").alias("name"), F.lit("script").alias("category"),
+        F.lit("beginner").alias("level"), F.lit(0.5).alias("confidence"), F.array(F.lit("function")).alias("evidence"),
+        F.lit("").alias("description"), F.lit("").alias("version_hint"),
+    )
+
+
+def skills_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills of an audit in which a user's hook takes part, for its suffixes only, and its line of the catalog."""
+    audit_plan.register_skills(HOOK, _function_words, (".js", ".ts"), title="Function words", category="professional")
+    try:
+        rows = audit_plan.Audit(code_files(spark, sf_dir), analyzers=[HOOK]).skills()
+        shown = audit_plan.analyzer_catalog(spark).select(
+            "analyzer", F.col("name").alias("analyzer_name"), F.array_join("suffixes", ",").alias("suffixes")
+        )
+        found = rows.select("file_id", "path", "name", "category", "level", "confidence", F.lit(HOOK).alias("analyzer"))
+        return found.join(shown, "analyzer").drop("analyzer")
+    finally:
+        del audit_plan.EXTRA_SKILLS[HOOK]
+
+
+HOOK_SQL = f"""WITH {CODE_FILES} SELECT file_id, path, 'Functions' AS name, 'script' AS category, 'beginner' AS level,
+  CAST(0.5 AS DOUBLE) AS confidence, 'Function words' AS analyzer_name, '.js,.ts' AS suffixes
+FROM code_files WHERE contains(content, 'function') AND (ends_with(path, '.js') OR ends_with(path, '.ts'))"""
+
+
 def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the labelled documents, named by path."""
     files = code_files(spark, sf_dir)
@@ -248,6 +280,35 @@ def _context_sql() -> str:
     )
 
 
+GRADED = ["QUAL001", "BP001", "BP003", "BP017", "SEC012", "QUAL006"]
+
+
+def file_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, grade and band of every file on its own, from the findings of a few checks."""
+    from .registry import PROBES
+
+    files = code_files(spark, sf_dir)
+    lost = run_probes(files, [PROBES[c] for c in GRADED]).groupBy("file_id").agg(
+        F.sum(scoring.penalty(F.col("severity"))).alias("lost")
+    )
+    rated = files.select("file_id", "path").join(lost, "file_id", "left").withColumn(
+        "score", scoring.score(F.coalesce("lost", F.lit(0)), F.lit(1))
+    )
+    return rated.select("file_id", "path", "score", scoring.grade(F.col("score")).alias("grade"),
+                        scoring.band(F.col("score")).alias("band"))
+
+
+def _grades_sql() -> str:
+    ctes, union = union_ctes(GRADED)
+    return f"""WITH {', '.join(ctes)}, f AS ({union}),
+lost AS (SELECT file_id, {PENALTY_SUM} AS lost FROM f GROUP BY file_id),
+rated AS (SELECT c.file_id, c.path, CAST(greatest(0, least(100, 100 - coalesce(lost, 0))) AS DOUBLE) AS score
+          FROM code_files c LEFT JOIN lost USING (file_id))
+SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END
+  AS grade, CASE WHEN score >= 90 THEN 'green' WHEN score >= 70 THEN 'yellow' WHEN score >= 50 THEN 'orange' ELSE 'red' END AS band
+FROM rated"""
+
+
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as nested JSON documents."""
     from .registry import PROBES
@@ -397,6 +458,8 @@ REGISTERED = {
     "rules_lookup": (rules_lookup, _rules_lookup_sql()),
     "rules_parsed": (rules_parsed, PARSED_SQL),
     "rules_statuses": (rules_statuses, STATUSES_SQL),
+    "skills_hook": (skills_hook, HOOK_SQL),
+    "file_grades": (file_grades, _grades_sql()),
     "rules_dialect": (rules_dialect, _dialect_sql()),
     "extension_findings": (
         extension_findings,
