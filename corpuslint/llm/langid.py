@@ -34,6 +34,7 @@ from .rule_ensemble import remainder
 
 ORDER = 4
 UNSEEN = math.log(1e-9)
+SLICE_BYTES = 500_000  # of text that a worker counts at a time; its arrays take many times that
 NOT_LETTERS = r"[^\p{L}]+"
 
 
@@ -76,7 +77,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             total.clear()
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 langs = part.column(0)
                 for lang in pc.unique(langs).to_pylist():
                     points, bounds = letters(part.filter(pc.equal(langs, lang)).column(1))
@@ -252,7 +253,7 @@ def cross_entropies(docs: DataFrame, tables: list[dict], langs: list[str], *keep
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(keep)):
+            for part in slices(batch, len(keep), SLICE_BYTES):
                 points, bounds = letters(part.column(len(keep)))
                 codes = packed(points, ORDER) if len(points) >= ORDER else np.zeros(0, np.uint64)
                 spans, firsts, counts = [], [], []
