@@ -5,6 +5,9 @@ character classes, so that a pattern means the same on every Java version."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -180,9 +183,80 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# Letters and the blank by how often they occur, most first; all else is taken for rarer.
+FREQUENT = " etaoinsrhldcumfpgwybv"
+LEAST_END, LEAST_TOGETHER, BRANCHES = 3, 40, 6
+_TOGETHER: ContextVar[set[str] | None] = ContextVar("together", default=None)
+
+
+@contextmanager
+def searched_together() -> Iterator[set[str]]:
+    """Within it, SQL tests for plain texts in ``content`` are read off a column ``marks`` (see ``marks``), which holds
+    every text of the set that occurs; the set fills as tests are written."""
+    token = _TOGETHER.set(set())
+    try:
+        yield _TOGETHER.get()
+    finally:
+        _TOGETHER.reset(token)
+
+
+def rare_end(text: str) -> str:
+    """The end of a text from its rarest character on; a search that starts there stops at few places."""
+    def rarity(i: int) -> int:
+        at = FREQUENT.find(text[i])
+        return len(FREQUENT) if at < 0 else at
+
+    return text[max(range(max(1, len(text) - LEAST_END + 1)), key=lambda i: (rarity(i), -i)):]
+
+
+def sql_contains(column: str, text: str) -> str:
+    """SQL test: a plain substring occurs."""
+    test, together = f"contains({column}, {sql_text(text)})", _TOGETHER.get()
+    if together is None or column != "content" or len(text) < LEAST_END or not re.fullmatch("[ -~]+", text):
+        return test
+    end = rare_end(text)
+    together.add(end)
+    marked = f"contains(marks, {sql_text(end)})"
+    return marked if end == text else f"({marked} AND {test})"
+
+
+def _tree(texts: list[str]) -> str:
+    """A regex for the longest of the texts that begins at a place; no place looks at more than a few branches."""
+    heads: dict[str, list[str]] = {}
+    for text in filter(None, texts):
+        heads.setdefault(text[0], []).append(text[1:])
+
+    def branches(letters: list[str]) -> str:
+        if len(letters) == 1:
+            return re.escape(letters[0]) + _tree(heads[letters[0]])
+        if len(letters) <= BRANCHES:
+            return "(?:" + "|".join(branches([letter]) for letter in letters) + ")"
+        size = -(-len(letters) // BRANCHES)
+        groups = [letters[i : i + size] for i in range(0, len(letters), size)]
+        return "(?:" + "|".join(f"(?={_one_of(group)}){branches(group)}" for group in groups) + ")"
+
+    if not heads:
+        return ""
+    tree = branches(sorted(heads))
+    return f"(?:{tree})?+" if "" in texts else tree
+
+
+def _one_of(letters: Iterable[str]) -> str:
+    return "[" + "".join(map(re.escape, sorted(set(letters)))) + "]"
+
+
+def marks(texts: Iterable[str]) -> Column:
+    """Text that contains one of ``texts`` exactly if ``content`` does: at every place of the content the longest that
+    begins there, each once. A text inside a listed one occurs, and one that occurs begins a listed one."""
+    texts = sorted(texts)
+    regex = f"(?={_one_of(text[0] for text in texts)})(?=({_tree(texts)}))"
+    found = F.regexp_extract_all(F.col("content"), F.lit(regex), F.lit(1))
+    return F.array_join(F.array_distinct(found), "\n")
+
+
 def sql_any(column: str, needles) -> str:
     """SQL test: at least one plain substring occurs."""
-    return "(" + " OR ".join(f"contains({column}, {sql_text(n)})" for n in needles) + ")"
+    return "(" + " OR ".join(sql_contains(column, n) for n in needles) + ")"
 
 
 def sql_matches(column: str, pattern: str, **flags: bool) -> str:
@@ -192,8 +266,8 @@ def sql_matches(column: str, pattern: str, **flags: bool) -> str:
         return test
     text = required_text(pattern)
     if text and is_plain(pattern):
-        return f"contains({column}, {sql_text(text)})"
-    return f"(contains({column}, {sql_text(text)}) AND {test})" if text else test
+        return sql_contains(column, text)
+    return f"({sql_contains(column, text)} AND {test})" if text else test
 
 
 # SQL: content in lower case with the letters that equal an ASCII letter when case is

@@ -111,8 +111,6 @@ def late_imports() -> Probe:
 
     def gate() -> Column:
         # The first code line as a number; a file without code has no header at all.
-        rows = F.split(content(), "\n", -1)
-
         def late(all_lines: Column) -> Column:
             top = F.slice(all_lines, 1, 5)
             is_code = F.transform(
@@ -136,7 +134,7 @@ def late_imports() -> Probe:
             )
             return below & ~header
 
-        return contains_any(content(), ("import ", "from ")) & bind(rows, late)
+        return contains_any(content(), ("import ", "from ")) & bind(lines(), late)
 
     return whole_file(CHECKS["BP008"], "best_practices", gate)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions.patterns import SPACE, java_regex, matches, occurrences, sql_text
-from ..functions.text import bind, cut, indent, lstrip, match_table, newlines, numbered, strip
+from ..functions.text import bind, cut, indent, lstrip, match_table, numbered, strip
 from ..packs import probes as pack
 from ..packs.catalog import QUALITY
 from .probe import Probe, content, each_match, hit, lines, pattern_gate, whole_file
@@ -80,7 +80,7 @@ def long_functions(limit: int = pack.MAX_FUNCTION_LINES) -> Probe:
 
     def gate() -> Column:
         return pattern_gate([head])() & (
-            newlines(content()) > limit
+            F.array_size(lines()) - 1 > limit
         )
 
     return Probe("QUAL002", "quality", gate, rows)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.patterns import LEAST_TOGETHER, marks, searched_together
 from ..functions.text import line_count, with_lines
 from ..operators import (
     best_practices, documentation, java, performance, quality, rollups, security, skills,
@@ -128,7 +129,7 @@ def chosen_analyzers(enabled: str | list[str] = "all") -> list[str]:
 
 # Column expressions do not depend on the data, so equal audits share the last few. The key holds the callables, so
 # none of them can be taken for another.
-_BUILT: OrderedDict[tuple, tuple[Column, Column]] = OrderedDict()
+_BUILT: OrderedDict[tuple, tuple[Column, Column, list[Column], Column | None]] = OrderedDict()
 
 
 class Audit:
@@ -194,30 +195,40 @@ class Audit:
         if self._stored is not None:
             return self._stored
         rows = with_lines(self.files)
-        if "skills" in self.analyzers:
-            rows = rows.select("*", *skills.trait_columns(only_readable=True))
-        hits, found_skills = self._columns()
+        hits, found_skills, traits, marked = self._columns()
+        if marked is not None:
+            rows = rows.withColumn("marks", marked)
+        if traits:
+            rows = rows.select("*", *traits)
         if self._rule_findings is None:
             self._rule_findings = rule_findings(self.files.sparkSession, self.rules)
         return rows.select(
-            "file_id", "path", line_count(F.col("content")).alias("line_count"),
+            "file_id", "path", line_count(F.col("content"), F.col("lines")).alias("line_count"),
             hits.alias("hits"), self._rule_findings.alias("rule_findings"),
             found_skills.alias("skills"),
         )
 
-    def _columns(self) -> tuple[Column, Column]:
-        """Hits and skills of one file row."""
+    def _columns(self) -> tuple[Column, Column, list[Column], Column | None]:
+        """Hits and skills of one file row, the traits that they read, and the plain texts found, if many are searched."""
         gateway = SparkContext._gateway
         key = (gateway, *self.analyzers, *self.limits.values(), self.per_file, *self._active(EXTRA_PROBES))
         if key not in _BUILT:
-            hits = all_hits(self.probes())
-            if "skills" in self.analyzers:
-                hits = F.concat(hits, skills.trait_hits())
-            _BUILT[key] = (hits, self._skills())
+            with searched_together() as texts:
+                built = self._made_columns()
+            if len(texts) < LEAST_TOGETHER:
+                _BUILT[key] = (*self._made_columns(), None)
+            else:
+                _BUILT[key] = (*built, marks(texts))
             if len(_BUILT) > 8:
                 _BUILT.popitem(last=False)
         return _BUILT[key]
 
+    def _made_columns(self) -> tuple[Column, Column, list[Column]]:
+        hits, traits = all_hits(self.probes()), []
+        if "skills" in self.analyzers:
+            hits, traits = F.concat(hits, skills.trait_hits()), skills.trait_columns(only_readable=True)
+        return hits, self._skills(), traits
+
     def save(self, path: str | None = None) -> "Audit":
         """Write the per-file results once; later rollups read them instead of the files.
         The table also cuts the lineage, so a lost executor costs a re-read, not a re-audit.
