@@ -9,7 +9,9 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
+from re import _constants as c, _parser as parser
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 WORD = r"\p{L}\p{N}_"
@@ -185,7 +187,7 @@ def sql_text(value: str) -> str:
 
 # Letters and the blank by how often they occur, most first; all else is taken for rarer.
 FREQUENT = " etaoinsrhldcumfpgwybv"
-LEAST_END, LEAST_TOGETHER, BRANCHES = 3, 40, 6
+LEAST_END, LEAST_TOGETHER = 3, 40
 _TOGETHER: ContextVar[set[str] | None] = ContextVar("together", default=None)
 
 
@@ -220,38 +222,36 @@ def sql_contains(column: str, text: str) -> str:
     return marked if end == text else f"({marked} AND {test})"
 
 
-def _tree(texts: list[str]) -> str:
-    """A regex for the longest of the texts that begins at a place; no place looks at more than a few branches."""
-    heads: dict[str, list[str]] = {}
-    for text in filter(None, texts):
-        heads.setdefault(text[0], []).append(text[1:])
+def marks(texts: Iterable[str]) -> Column:
+    """Text that contains one of ``texts`` (ASCII, no line end) exactly if ``content`` does: those that occur, each once.
 
-    def branches(letters: list[str]) -> str:
-        if len(letters) == 1:
-            return re.escape(letters[0]) + _tree(heads[letters[0]])
-        if len(letters) <= BRANCHES:
-            return "(?:" + "|".join(branches([letter]) for letter in letters) + ")"
-        size = -(-len(letters) // BRANCHES)
-        groups = [letters[i : i + size] for i in range(0, len(letters), size)]
-        return "(?:" + "|".join(f"(?={_one_of(group)}){branches(group)}" for group in groups) + ")"
+    One automaton over all texts reads every content once, whatever their number; its bytes are taken one by one, so they
+    need not be valid text."""
+    texts = sorted(texts)
 
-    if not heads:
-        return ""
-    tree = branches(sorted(heads))
-    return f"(?:{tree})?+" if "" in texts else tree
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
 
+        machine = ahocorasick.Automaton()
+        for text in texts:
+            machine.add_word(text, text)
+        machine.make_automaton()
+        for batch in batches:
+            rows = []
+            for value in batch:
+                content = value.as_py()
+                found = None if content is None else {text for _, text in machine.iter(content.decode("latin-1"))}
+                rows.append(None if found is None else "\n".join(sorted(found)))
+            yield pa.array(rows, pa.string())
 
-def _one_of(letters: Iterable[str]) -> str:
-    return "[" + "".join(map(re.escape, sorted(set(letters)))) + "]"
+    find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, "string")(F.col("content").cast("binary"))
 
 
-def marks(texts: Iterable[str]) -> Column:
-    """Text that contains one of ``texts`` exactly if ``content`` does: at every place of the content the longest that
-    begins there, each once. A text inside a listed one occurs, and one that occurs begins a listed one."""
-    texts = sorted(texts)
-    regex = f"(?={_one_of(text[0] for text in texts)})(?=({_tree(texts)}))"
-    found = F.regexp_extract_all(F.col("content"), F.lit(regex), F.lit(1))
-    return F.array_join(F.array_distinct(found), "\n")
+def sql_all(tests: list[str]) -> str:
+    """SQL test: all hold, none evaluated before those in front of it hold. The engine computes a test that it sees more
+    than once ahead of an AND, for every row; it does not do so inside an IF."""
+    return tests[0] if len(tests) == 1 else f"IF({tests[0]}, {sql_all(tests[1:])}, false)"
 
 
 def sql_any(column: str, needles) -> str:
@@ -259,9 +259,50 @@ def sql_any(column: str, needles) -> str:
     return "(" + " OR ".join(sql_contains(column, n) for n in needles) + ")"
 
 
+def _needed(parts) -> list[frozenset[str]]:
+    """Sets of plain texts of a parsed sequence; every match contains at least one text of each set."""
+    found, run = [], ""
+    for kind, value in [*parts, (None, None)]:
+        if kind is c.LITERAL and 32 <= value < 127:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run]))
+            run = ""
+        if kind is c.SUBPATTERN and not value[1] and not value[2]:
+            found += _needed(value[3])
+        elif kind is c.BRANCH:
+            branches = [max(_needed(branch), key=lambda texts: min(map(len, texts)), default=None) for branch in value[1]]
+            if all(branches):
+                found.append(frozenset().union(*branches))
+        elif kind in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and value[0] > 0:
+            found += _needed(value[2])
+        elif kind is c.ATOMIC_GROUP:
+            found += _needed(value)
+    return found
+
+
+@lru_cache(maxsize=None, typed=True)
+def needed_texts(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Tuples of plain texts, the longest first; every match of the pattern contains at least one text of each tuple."""
+    if isinstance(pattern, Translated):
+        return ()
+    try:
+        parsed = parser.parse(pattern)
+    except re.error:  # written for the engine only
+        return ()
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return ()
+    return tuple(sorted((tuple(sorted(s)) for s in set(_needed(parsed))), key=lambda s: (-min(map(len, s)), s)))
+
+
 def sql_matches(column: str, pattern: str, **flags: bool) -> str:
     """SQL test: the pattern occurs. See ``matches``."""
     test = f"regexp_like({column}, {sql_text(java_regex(pattern, **flags))})"
+    together = _TOGETHER.get() is not None and column == "content" and not flags.get("ignore_case")
+    if together and not is_plain(pattern):
+        # A search for plain texts costs next to nothing here, so all that a match needs are looked for.
+        return sql_all([*[sql_any(column, texts) for texts in needed_texts(pattern)], test])
     if flags:
         return test
     text = required_text(pattern)
@@ -273,6 +314,8 @@ def sql_matches(column: str, pattern: str, **flags: bool) -> str:
 # SQL: content in lower case with the letters that equal an ASCII letter when case is
 # ignored written as that letter. Text is only tested for plain words in this form.
 FOLDED = (
-    "IF(octet_length(content) = char_length(content), lower(content), "
+    "IF(octet_length(content) = char_length(content) OR NOT (contains(content, '\u017f') OR "
+    "contains(content, '\u0131') OR contains(content, '\u0130') OR contains(content, '\u0307') OR "
+    "contains(content, '\u212a')), lower(content), "
     "translate(lower(content), '\u017f\u0131\u212a\u0307', 'sik'))"
 )

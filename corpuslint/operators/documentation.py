@@ -39,17 +39,19 @@ VISIBLE = "(NOT startswith(m.g1, '_') OR m.g1 IN ({}))".format(
 )
 
 
-def _functions(check_id: str, keep: str, snippet: str = "''", words=()) -> Probe:
-    """``words`` must be missing from the text behind the head: group 5 stays empty."""
+def _functions(check_id: str, keep: str, snippet: str = "''", words=(), filled: str = "") -> Probe:
+    """``words`` must be missing from the text behind the head: group 5 stays empty. ``filled`` is a pattern that any head
+    to be kept matches."""
     pattern = FUNCTION._replace(ahead=_body_has(words) if words else "")
     groups = (1, 2, 3, 4, 5) if words else (1, 2, 3, 4)
+    gate = pattern_gate([FUNCTION._replace(regex=filled)]) if filled else pattern_gate([FUNCTION])
     return Probe(
-        check_id, "documentation", pattern_gate([FUNCTION]),
+        check_id, "documentation", gate,
         lambda: each_match(
             CHECKS[check_id], pattern, groups,
             keep=f"{VISIBLE} AND {keep}", snippet=snippet, what="m.g1",
         ),
-        self_gated=True,
+        self_gated=not filled,
     )
 
 
@@ -63,17 +65,22 @@ def function_docstrings() -> Probe:
 DOCUMENTED_WITH_PARAMETERS = f"m.g4 <> '' AND {sql_strip('m.g2')} <> ''"
 
 
+# Heads with a docstring, and those that say what they return as well: the optional groups of the pattern, filled.
+QUOTED = pack.DOCUMENTED_FUNCTION.removesuffix("?")
+TYPED_AND_QUOTED = QUOTED.replace("+))?", "+))")
+
+
 def argument_sections() -> Probe:
     """DOC003."""
     return _functions("DOC003", f"{DOCUMENTED_WITH_PARAMETERS} AND m.g5 = ''",
-                      words=pack.ARGUMENT_WORDS)
+                      words=pack.ARGUMENT_WORDS, filled=QUOTED)
 
 
 def return_sections() -> Probe:
     """DOC004."""
     return _functions(
         "DOC004", f"{DOCUMENTED_WITH_PARAMETERS} AND m.g3 NOT IN ('', 'None') AND m.g5 = ''",
-        words=pack.RETURN_WORDS,
+        words=pack.RETURN_WORDS, filled=TYPED_AND_QUOTED,
     )
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.patterns import sql_any, sql_matches, sql_text
+from ..functions.patterns import sql_all, sql_any, sql_matches, sql_text
 from ..functions.text import MATCH_LINE, match_table_sql, with_lines
 from ..packs import catalog
 from ..packs.catalog import Check
@@ -48,7 +48,7 @@ class Probe:
     def applies(self) -> Column:
         """Suffix test first, then the text test: the cheap one decides most files."""
         suffix, gate = self._suffix_test(), self.gate()
-        return gate if suffix is None else suffix & gate
+        return gate if suffix is None else F.when(suffix, gate).otherwise(False)
 
     def hits(self) -> Column:
         """The guarded rows. Rows that test their own patterns are not tested twice."""
@@ -97,11 +97,13 @@ def hit(
 def pattern_test(pattern: Pattern, **flags: bool) -> str:
     """SQL: needle test on the bytes, then the regex."""
     tests = [sql_matches("content", pattern.regex, **flags)]
+    if pattern.lowered:
+        tests.insert(0, sql_matches("folded", pattern.lowered))
     if pattern.folded:
         tests.insert(0, sql_any("folded", pattern.folded))
     if pattern.needles:
         tests.insert(0, sql_any("content", pattern.needles))
-    return "(" + " AND ".join(tests) + ")"
+    return sql_all(tests)
 
 
 def pattern_gate(patterns: Iterable[Pattern], **flags: bool) -> Callable[[], Column]:
@@ -111,7 +113,7 @@ def pattern_gate(patterns: Iterable[Pattern], **flags: bool) -> Callable[[], Col
     if len(patterns) > 1 and all(pattern.folded for pattern in patterns):
         # One look at the folded text settles most files for all patterns together.
         words = [word for pattern in patterns for word in pattern.folded]
-        text = f"{sql_any('folded', words)} AND ({text})"
+        text = sql_all([sql_any("folded", words), f"({text})"])
     return lambda: F.expr(text)
 
 

@@ -166,6 +166,8 @@ def mixed_naming() -> Probe:
     search for them stops at the eleventh; only files with fewer are counted in full.
     """
     snake, camel, pascal = pack.NAME_STYLES
+    # One search for both; a name's run of letters ends where it must.
+    either = r"(?=[a-zA-Z])(?<![\w])[A-Z]?+[a-z]++[A-Z][a-zA-Z]*+(?![\w])"
     eleven = java_regex(r"\A(?>(?s:.)*?" + snake + "){11}")
 
     def gate() -> Column:
@@ -177,7 +179,7 @@ def mixed_naming() -> Probe:
             + occurrences(content(), pascal)
         ) > 10
         two = (has_camel & has_pascal) | matches(content(), snake)
-        return mixed & (has_camel | has_pascal) & (many | (two & enough))
+        return mixed & matches(content(), either) & (many | (two & enough))
 
     return whole_file(CHECKS["QUAL006"], "quality", gate)
 
@@ -203,7 +205,8 @@ def deep_nesting(allowed: int = pack.MAX_NESTING) -> Probe:
 
 def magic_numbers() -> Probe:
     """QUAL008."""
-    pattern = pack.Pattern(pack.MAGIC_NUMBER)
+    # The digit is looked for first, as it rejects most places at once.
+    pattern = pack.Pattern("(?=[1-9])" + pack.MAGIC_NUMBER)
 
     ordinary = ", ".join(sql_text(str(n)) for n in pack.ORDINARY_NUMBERS)
 

@@ -1,19 +1,25 @@
 """Patterns of the text checks. ``needles`` are plain substrings of which a matching
 text must contain at least one; they are tested on the raw bytes before the regex.
 ``folded`` are the same for patterns that ignore case, in lower case. ``ahead`` is an
-optional look-ahead behind the pattern that fills further groups."""
+optional look-ahead behind the pattern that fills further groups. ``lowered`` is a pattern that must occur in the text in
+lower case; it has no classes that a removed character could fill."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
 
+# What stands between a quoted name and its quoted value.
+ASSIGNED = r"""["']\s*[=:]\s*["']"""
+
+
 class Pattern(NamedTuple):
     regex: str
     what: str = ""
     needles: tuple[str, ...] = ()
     folded: tuple[str, ...] = ()
     ahead: str = ""
+    lowered: str = ""
 
 
 # SEC001 family — name, pattern, severity, description, suggestion.
@@ -41,7 +47,7 @@ DANGEROUS = [
     ("hardcoded_password",
      Pattern(r"""["'][^"']*(?:password|passwd|pwd|secret|api_key|apikey|token)[^"']*["']\s*[=:]\s*["']""",
              "硬编码密码/密钥存在安全风险",
-             ("password", "passwd", "pwd", "secret", "api_key", "apikey", "token")),
+             ("password", "passwd", "pwd", "secret", "api_key", "apikey", "token"), lowered=ASSIGNED),
      "high", "使用环境变量或安全的密钥管理服务"),
     ("insecure_hash", Pattern(r"md5\s*\(", "MD5不适合用于安全目的", ("md5",)), "medium",
      "使用hashlib.sha256()或hashlib.sha512()"),
@@ -84,10 +90,11 @@ SECURITY = {
         Pattern(r"""["'][^"']*(?:password|passwd|pwd|secret|api_key|api_key|apikey|token|auth_token|"""
                 r"""access_token|private_key)[^"']*["']\s*[=:]\s*["'][^"']+["']""",
                 "检测到硬编码的敏感信息", ('"', "'"),
-                ("password", "passwd", "pwd", "secret", "api_key", "apikey", "token", "private_key")),
+                ("password", "passwd", "pwd", "secret", "api_key", "apikey", "token", "private_key"), lowered=ASSIGNED),
         Pattern(r"(?:github|aws|azure|gcp|stripe|sendgrid|mailgun)[_-]?(?:key|token|secret)",
                 "检测到可能的API密钥",
-                folded=("github", "aws", "azure", "gcp", "stripe", "sendgrid", "mailgun")),
+                folded=("github", "aws", "azure", "gcp", "stripe", "sendgrid", "mailgun"),
+                lowered=r"(?=[agms])(?:github|aws|azure|gcp|stripe|sendgrid|mailgun)[_-]?(?:key|token|secret)"),
         Pattern(r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----", "检测到私钥", ("-----",)),
     ],
     "SEC014": [

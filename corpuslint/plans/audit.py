@@ -194,10 +194,8 @@ class Audit:
         one narrow pass, no shuffle."""
         if self._stored is not None:
             return self._stored
-        rows = with_lines(self.files)
         hits, found_skills, traits, marked = self._columns()
-        if marked is not None:
-            rows = rows.withColumn("marks", marked)
+        rows = with_lines(self.files if marked is None else self.files.withColumn("marks", marked))
         if traits:
             rows = rows.select("*", *traits)
         if self._rule_findings is None:

@@ -5,8 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from corpuslint import Audit
-from corpuslint.functions.patterns import marks, rare_end, searched_together, sql_contains
+from corpuslint.functions.patterns import (
+    java_regex, marks, needed_texts, rare_end, searched_together, sql_contains, sql_matches,
+)
 from corpuslint.functions.text import count_text, line_count, match_lines, with_lines
+from corpuslint.operators.performance import called_names
 
 NEEDLES = (
     "eval", "execute", "cursor.execute", "pickle.load", "pickle.loads", "django", "django.db", "react", "Query", "@Query",
@@ -61,3 +64,40 @@ def test_counts_of_lines_and_plain_texts(spark):
         expected = None if row.content is None else len(row.content.splitlines())
         assert row.searched == row.sized == expected
         assert row.n == (None if row.content is None else row.content.count("append"))
+
+
+def test_a_match_contains_a_text_of_every_needed_set():
+    assert needed_texts(r"new\s+\w+\[\]") == (("new",), ("[]",))
+    assert needed_texts(r":\s*(?:string|any)\b") == (("any", "string"), (":",))
+    assert needed_texts(r"(?i)password") == needed_texts(r"\p{L}+x") == needed_texts(r"a?|b") == ()
+    for pattern, text in [(r"(ab|cd)+e{2}x*", "cdabeex"), (r"a\.b|a\.cd", "a.cd"), (r"def\s+\w+(?:\s*->\s*\w+)?:", "def f:")]:
+        assert all(any(part in text for part in parts) for parts in needed_texts(pattern))
+
+
+def test_called_names_are_those_of_the_regex(spark):
+    random.seed(7)
+    pieces = ["f", "g1", "(", "((", " (", "\t(", " (", "\n", " ", "é", ".", "_x", ")", "𝒳", "̇"]
+    texts = ["".join(random.choices(pieces, k=i % 14)) for i in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "content STRING")
+    regex = F.lit(java_regex(r"\b(\w+)\s*\("))
+    found = rows.select("content", called_names(F.col("content")).alias("names"),
+                        F.regexp_extract_all("content", regex, F.lit(1)).alias("expected")).collect()
+    assert all(row["names"] == row["expected"] for row in found)
+
+
+def test_gates_test_nothing_behind_a_text_that_is_missing():
+    with searched_together():
+        test = sql_matches("content", r"print\s*\(")
+    assert test.startswith("IF((contains(marks, 'print')), IF((contains(content, '(')), regexp_like(") and "AND" not in test
+    assert sql_matches("content", r"print\s*\(").startswith("(contains(content, 'print') AND regexp_like(")
+
+
+def test_sections_names_and_secrets_are_found_as_before(spark, make_files):
+    code = (
+        'def f(a): int: "text"\n    g(1); f (2); f(3); f(4)\n\n'
+        "def h(b):\n    '''Args'''\n    return other_name + camelCase\n"
+        'x.y = {"password" : "hidden", "api\\u0307": 1}\nAWS_KEY = gitHub_token\ncopy = rows[:]\nn = 77\n'
+    )
+    found = Audit(make_files({"p/a.py": code})).findings().groupBy("check_id").count().collect()
+    counts = {row.check_id: row["count"] for row in found}
+    assert counts["DOC004"] == 1 and counts["PERF004"] == 1 and counts["QUAL008"] >= 1 and counts["SEC013"] >= 2
