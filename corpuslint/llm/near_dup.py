@@ -13,7 +13,8 @@ A shingle that only one of these documents has can be in no intersection, which
 most members that are not linked to the hub drop out by that bound.
 
 Groups of at most ``leaf`` members are compared pair by pair. In a larger group every member is described by its
-difference from the hub: the hub's shingles it lacks and those it has beside. For two members x and y
+difference from the hub (any set would do; the groups made from this one keep it, as their own hubs differ from most
+members in more): the hub's shingles it lacks and those it has beside. For two members x and y
 
     |x & y| = |hub| - |lacks(x) | lacks(y)| + |beside(x) & beside(y)|,
 
@@ -219,42 +220,63 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return _in_several(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
 
 
-def smaller_groups(described: DataFrame, similarity: float) -> DataFrame:
-    """Groups (g, id, component) in which every linked pair of different components of a group meets again.
+def smaller_groups(described: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Groups (g, parent, id, component) in which every linked pair of different components of a group ``parent`` meets
+    again, and what describes the members there (parent, id, hub_size, cost, features): of their differences those
+    that can be in common with a member of another component, in this group and in all groups made from it.
 
-    ``described``: g, id, component, lacks, beside, hub_size, features. Members are sorted into classes of similar cost, as
-    what a pair needs depends on both costs; one that needs more than it has at all is left out first."""
+    ``described``: g, id, component, hub_size, cost, features. Members are sorted into classes of similar cost, as
+    what a pair needs depends on both costs; one that needs more than it has at all, or finds only its own component, is
+    left out first."""
     r = similarity / (1 + similarity)
-    cost = F.col("lacks") * (1 - r) + F.col("beside") * r
-    classed = saved(described.select("g", "id", "component", "hub_size", "features", cost.alias("cost")).withColumn(
+    classed = saved(described.select("g", "id", "component", "hub_size", "features", "cost").withColumn(
         "class", F.floor(F.log(F.greatest("cost", F.lit(0.1))) / math.log(1.25)).cast("int")
     ).withColumn("most", F.size("features")))
 
     def met(members: DataFrame) -> DataFrame:
         """Members with every class of their group that they may have a partner in, and what the pair needs."""
         theirs = members.groupBy("g", F.col("class").alias("their_class")).agg(
-            F.min("cost").alias("their_least"), F.max("most").alias("their_most")
+            F.min("cost").alias("their_least"), F.max("most").alias("their_most"),
+            F.min("component").alias("their_low"), F.max("component").alias("their_high"),
         )
         # At most a few dozen classes a group; a margin keeps rounding from asking for one too many.
         need = F.greatest(
             F.lit(1), F.ceil(F.col("cost") + F.col("their_least") - F.col("hub_size") * (1 - 2 * r) - 1e-6).cast("int")
         )
         return members.join(theirs, "g").withColumn("need", need).filter(
-            "most >= need AND their_most >= need"
+            "most >= need AND their_most >= need AND (their_low <> component OR their_high <> component)"
         )
 
     able = met(classed.drop("features")).select("g", "id").distinct()
     features = classed.join(able, ["g", "id"], "left_semi").select("g", "id", "component", F.explode("features").alias("e"))
+    # Differences that the same members have lead to one group, under the hash of those members.
     useful = features.groupBy("g", "e").agg(
-        F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("g", "e", "often")
+        F.count("*").alias("often"), F.bit_xor(F.xxhash64("id")).alias("held_by"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    ).filter("low < high").select("g", "e", "often", "held_by")
     ranked = features.join(useful, ["g", "e"]).groupBy("g", "id").agg(
-        F.array_sort(F.collect_list(F.struct("often", "e"))).alias("features")
+        F.array_sort(F.collect_list(F.struct("often", "held_by", "e"))).alias("features")
     )
     own = saved(classed.drop("features", "most").join(ranked, ["g", "id"]).withColumn("most", F.size("features")))
-    prefix = F.expr("slice(features, 1, most - need + 1)")
-    key = F.xxhash64("g", F.least("class", "their_class"), F.greatest("class", "their_class"), "f.e")
-    return met(own).withColumn("f", F.explode(prefix)).select(key.alias("g"), "id", "component").distinct()
+    prefix = F.expr("array_distinct(transform(slice(features, 1, most - need + 1), f -> f.held_by))")
+    key = F.xxhash64("g", F.least("class", "their_class"), F.greatest("class", "their_class"), "held_by")
+    found = met(own).withColumn("held_by", F.explode(prefix)).select(
+        key.alias("g"), F.col("g").alias("parent"), "id", "component"
+    ).distinct()
+    return _one_of_equal(saved(found)), own.select(
+        F.col("g").alias("parent"), "id", "hub_size", "cost", F.transform("features", lambda f: f["e"]).alias("features")
+    )
+
+
+def _one_of_equal(groups: DataFrame) -> DataFrame:
+    """``groups`` (g, id, component, ...) without those in one component and without those that have the
+    same members in the same components as another."""
+    members = groups.groupBy("g").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("id", "component")).alias("d1"),
+        F.bit_xor(F.xxhash64("component", "id")).alias("d2"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    ).filter("low < high")
+    return groups.join(members.groupBy("size", "d1", "d2").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, similarity_percent: int = 85, width: int = 5, bands: int = 9,
@@ -351,7 +373,8 @@ def _refined(groups: DataFrame, labels: DataFrame, sets: DataFrame, hopeful: Dat
 
     While groups are split, a member linked to its hub takes the hub's label in that group only; the links of all levels
     together change the labels of all once at the end."""
-    small, links = [], []
+    similarity, description, small, links = similarity_percent / 100, None, [], []
+    r = similarity / (1 + similarity)
     groups = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     while True:
         opened = saved(_in_several(groups))
@@ -364,19 +387,23 @@ def _refined(groups: DataFrame, labels: DataFrame, sets: DataFrame, hopeful: Dat
         hubs = parts.groupBy("g").agg(F.max(F.struct("n", -F.col("id"), "component")).alias("top")).select(
             "g", (-F.col("top.col2")).alias("other"), F.col("top.component").alias("hub_component")
         )
-        spokes = large.join(hubs, "g").select("g", "id", "other", "component", "hub_component")
-        pairs = saved(_compared(
-            spokes.filter("id <> other").select("id", "other").distinct(), sets, similarity_percent
-        ).select(
-            "id", "other", "linked", (F.size("other_set") - F.col("shared")).alias("lacks"),
-            (F.size("set") - F.col("shared")).alias("beside"), F.size("other_set").alias("hub_size"),
-            F.concat(F.array_except("other_set", "set"), F.array_except("set", "other_set")).alias("features"),
-        ))
+        spokes = large.join(hubs, "g").drop("size")
+        compared = _compared(spokes.filter("id <> other").select("id", "other").distinct(), sets, similarity_percent)
+        if description is None:
+            lacks, beside = F.size("other_set") - F.col("shared"), F.size("set") - F.col("shared")
+            pairs = saved(compared.select(
+                "id", "other", "linked", F.size("other_set").alias("hub_size"), (lacks * (1 - r) + beside * r).alias("cost"),
+                F.concat(F.array_except("other_set", "set"), F.array_except("set", "other_set")).alias("features"),
+            ))
+            spokes = spokes.join(pairs, ["id", "other"])
+        else:
+            pairs = saved(compared.select("id", "other", "linked"))
+            spokes = spokes.join(pairs, ["id", "other"]).join(description, ["parent", "id"])
         links.append(pairs.filter("linked").select("id", "other"))
-        described = spokes.join(pairs, ["id", "other"]).withColumn(
+        described = spokes.withColumn(
             "component", F.when(F.col("linked"), F.col("hub_component")).otherwise(F.col("component"))
         )
-        groups = smaller_groups(described, similarity_percent / 100)
+        groups, description = smaller_groups(described, similarity)
 
     if links:
         labels = _relabelled(labels, reduce(DataFrame.unionByName, links))

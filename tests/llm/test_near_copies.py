@@ -84,3 +84,16 @@ def test_pipeline_decides_rows(spark, make_docs):
     assert got == sorted([("1", a), ("1", b), ("None", "alone and without an id"), ("7", "twice the same"), ("8", "None"), ("9", "")])
     clean = corpus_pipeline.secret_scan(spark, docs, "")
     assert clean.columns == docs.columns and clean.count() == len(rows)
+
+
+def test_one_smaller_group_for_the_same_members(spark):
+    """Ten members of two components with the same six differences meet once, not once a difference."""
+    rows = [(1, i, i // 5, 3, 3, 10, 3.0, [1, 2, 3, 4, 5, 6, 100 + i]) for i in range(10)]
+    described = spark.createDataFrame(rows, "g long, id long, component long, lacks int, beside int, hub_size int, cost double, "
+                                            "features array<long>")
+    found = near_dup.smaller_groups(described, 0.8)
+    groups, kept = found if isinstance(found, tuple) else (found, None)
+    members = groups.select("g", "id").collect()
+    assert len({r.g for r in members}) == 1 and {r.id for r in members} == set(range(10))
+    # Differences that one member has alone are not looked at again.
+    assert {tuple(sorted(r.features)) for r in kept.collect()} == {(1, 2, 3, 4, 5, 6)}
